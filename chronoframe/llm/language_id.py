@@ -8,11 +8,13 @@ prototype has the largest cosine with the document wins.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronoframe.llm.common import crc_mod, groups, labelled_sample, table
 
@@ -21,13 +23,18 @@ N_CODES = 0x110000
 UNIT = 1 << 20
 
 
+@cache
+def alphabet() -> np.ndarray:
+    return np.fromiter((chr(i).isalpha() for i in range(N_CODES)), bool, N_CODES)
+
+
 class Space:
     """Vectors of letters, and documents as counts of n-grams over them."""
 
     def __init__(self, dim: int = 1024, n: int = 3, seed: int = 7):
         self.dim, self.n, self.seed = dim, n, seed
         self.letters: dict[int, np.ndarray] = {}
-        self.alpha = np.fromiter((chr(i).isalpha() for i in range(N_CODES)), bool, N_CODES)
+        self.alpha = alphabet()
         self.index = np.zeros(N_CODES, np.int32)
         self.seen = np.zeros(N_CODES, bool)
 
@@ -130,17 +137,19 @@ def learn_prototypes(docs: DataFrame, per_lang: int = 2000, dim: int = 1024, n:
     return {k: (v / max(np.linalg.norm(v), 1e-9)).astype(np.float32) for k, v in sorted(found.items())}
 
 
-def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray], key: str = "doc_id", n: int = 3) -> DataFrame:
+def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray], key: str | None = "doc_id", n: int = 3) -> DataFrame:
     """``key, lang_pred, score`` for every row: the language of the largest cosine (floored at 0), read from ``text`` alone.
 
     A text that is null or has no letter is ``und`` with score 0, and so is every text when no language was learned.
-    Ties go to the language that comes first; repeated rows are each answered; other columns are ignored.
+    Ties go to the language that comes first; repeated rows are each answered. Other columns are ignored, or with no
+    ``key`` kept as they are (but for columns that have the names of the two new ones).
     """
     names = list(prototypes)
     spark = docs.sparkSession
     matrix = np.stack([prototypes[k] for k in names]) if names else np.zeros((0, 1024), np.float32)
     held = spark.sparkContext.broadcast(matrix)  # dim numbers for each learned language
-    kind = docs.schema[key].dataType.simpleString()
+    kept = [f for f in docs.schema if (f.name == key if key else f.name not in ("lang_pred", "score"))]
+    names_out = [f.name for f in kept]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
@@ -157,9 +166,10 @@ def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray], key: st
                 best = cos.argmax(axis=1)
                 pred += [names[k] if ok else "und" for k, ok in zip(best, lettered, strict=True)]
                 score += np.where(lettered, np.clip(cos[np.arange(len(best)), best], 0, 1), 0.0).astype(float).tolist()
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(pred, pa.string()), pa.array(score, pa.float64())], [key, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names_out], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*names_out, "lang_pred", "score"])
 
-    return docs.select(key, "text").mapInArrow(predict, f"{key} {kind}, lang_pred string, score double")
+    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.select(*dict.fromkeys([*names_out, "text"])).mapInArrow(predict, schema)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

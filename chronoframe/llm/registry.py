@@ -1,10 +1,11 @@
 """Name → query and name → DuckDB SQL of this subpackage."""
 
 from chronoframe.llm.chat_format import OP9_SQL, op9_chat_formatting
+from chronoframe.llm.decontaminate import op1_decontamination
 from chronoframe.llm.language_id import op2_language_id
 from chronoframe.llm.mixing import OP4_SQL, op4_mixing_sources
 from chronoframe.llm.ngram_join import op8_ngram_join
 from chronoframe.llm.toxicity import op6_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_mixing_sources, op6_toxicity, op8_ngram_join, op9_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op4_mixing_sources, op6_toxicity, op8_ngram_join, op9_chat_formatting)}
 ORACLES = {"op4_mixing_sources": OP4_SQL, "op9_chat_formatting": OP9_SQL}

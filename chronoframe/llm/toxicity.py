@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronoframe.llm.common import crc_mod, groups, labelled_sample, table
 
@@ -251,15 +252,17 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 2500, mo
     return train([r.text for r in got], [r._tx_label for r in got])
 
 
-def tag_toxicity(docs: DataFrame, model: Field, key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
+def tag_toxicity(docs: DataFrame, model: Field, key: str | None = "doc_id", threshold: float = 0.5) -> DataFrame:
     """``key, score, spans`` for every row, from the whole ``text`` alone.
 
     ``spans`` are (start, end, p) of runs of tokens whose marginal is over ``threshold``, in code points of the text
     lower-cased as Python does it. An empty or null text has no token and the score of a text without toxic signs;
-    repeated rows are each answered; an empty table gives no rows; other columns are ignored.
+    repeated rows are each answered; an empty table gives no rows. Other columns are ignored, or with no ``key`` kept as
+    they are (but for columns that have the names of the two new ones).
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights
-    kind = docs.schema[key].dataType.simpleString()
+    kept = [f for f in docs.schema if (f.name == key if key else f.name not in ("score", "spans"))]
+    names = [f.name for f in kept]
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,9 +285,10 @@ def tag_toxicity(docs: DataFrame, model: Field, key: str = "doc_id", threshold:
                                     found.append({"start": m.start(), "end": m.end(), "p": float(p[k])})
                                 last = k
                     spans.append(found)
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(scores, pa.float64()), pa.array(spans, span)], [key, "score", "spans"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(scores, pa.float64()), pa.array(spans, span)], [*names, "score", "spans"])
 
-    return docs.select(key, "text").mapInArrow(tag, f"{key} {kind}, score double, spans array<struct<start:int,end:int,p:double>>")
+    schema = T.StructType([*kept, *T.StructType.fromDDL("score double, spans array<struct<start:int,end:int,p:double>>")])
+    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(tag, schema)
 
 
 #: A document is rejected from this score on.
