@@ -14,6 +14,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +49,6 @@ class Field:
     trans: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     score: tuple[float, float, float] = (0.0, 0.0, -3.0)
 
-    def emission(self, word: str) -> float:
-        return float(self.weights[slots(word)].sum()) + self.bias
-
 
 def marginals(emit: np.ndarray, first: np.ndarray, trans: np.ndarray) -> np.ndarray:
     """P(toxic) of each token by forward-backward over chains laid end to end; ``first`` marks where each chain starts.
@@ -108,7 +106,7 @@ def marginals(emit: np.ndarray, first: np.ndarray, trans: np.ndarray) -> np.ndar
 def _window_pass(e: np.ndarray, mask: np.ndarray, tags: np.ndarray, trans: np.ndarray):
     """Marginals, and expected minus seen transitions, of a batch of padded windows."""
     b, length = e.shape
-    forward, scale = np.zeros((b, length, 2)), None
+    forward = np.zeros((b, length, 2))
     node = np.stack([np.ones_like(e), np.exp(np.clip(e, -30, 30))], axis=2)
     a = np.exp(trans)
     forward[:, 0] = node[:, 0] / node[:, 0].sum(axis=1, keepdims=True)
@@ -133,7 +131,7 @@ def _window_pass(e: np.ndarray, mask: np.ndarray, tags: np.ndarray, trans: np.nd
     for i in (0, 1):
         for j in (0, 1):
             grad_t[i, j] -= ((tags[:, :-1] == i) & (tags[:, 1:] == j) & live).sum()
-    return p, grad_t, scale
+    return p, grad_t
 
 
 def label_tokens(docs: list[list[str]], toxic: list[int], ratio: float = 20.0, least: int = 6) -> set[str]:
@@ -160,7 +158,7 @@ def train(texts: list[str], toxic: list[int], window: int = 48, most_windows: in
     for words, v in zip(docs, y, strict=True):
         for i in range(0, len(words), window):
             part = words[i : i + window]
-            for w in set(part) - known.keys():
+            for w in filterfalse(known.__contains__, set(part)):
                 known[w] = (slots(w), any(f in marks for f in features(w)[:4]))
             (chosen if v and any(known[w][1] for w in part) else plain).append((part, bool(v)))
     rng.shuffle(chosen)
@@ -183,7 +181,7 @@ def train(texts: list[str], toxic: list[int], window: int = 48, most_windows: in
             some = order[i : i + 512]
             x, live = ids[some], mask[some]
             e = theta[x].sum(axis=2) + theta[1 << BITS]
-            p, grad_t, _ = _window_pass(e, live, tags[some], theta[(1 << BITS) + 1 :].reshape(2, 2))
+            p, grad_t = _window_pass(e, live, tags[some], theta[(1 << BITS) + 1 :].reshape(2, 2))
             diff = (p - tags[some]) * live / len(some)
             g = np.bincount(x.ravel(), weights=np.repeat(diff.ravel(), 5), minlength=size)[:size]
             g[1 << BITS] = diff.sum()
@@ -218,8 +216,9 @@ class Tagger:
         flat = [w for words in docs for w in words]
         if len(self.known) > REMEMBERED:
             self.known = {}
-        for w in set(flat) - self.known.keys():
-            self.known[w] = self.model.emission(w)
+        new = sorted(filterfalse(self.known.__contains__, set(flat)))
+        if new:
+            self.known.update(zip(new, (self.model.weights[np.array([slots(w) for w in new])].sum(axis=1) + self.model.bias).tolist(), strict=True))
         first = np.zeros(len(flat), bool)
         ends = np.cumsum([len(w) for w in docs]) if docs else np.zeros(0, int)
         first[[s for s, e in zip([0, *ends[:-1]], ends, strict=True) if s < e]] = True
