@@ -124,8 +124,6 @@ def may_link(n: int, x: tuple, m: int, y: tuple, percent: int) -> bool:
     """False only where sets of n and m shingles with these signatures can't be linked."""
     if 100 * min(n, m) < percent * max(n, m):
         return False
-    if not (len(np.intersect1d(x[0], y[0], True)) and len(np.intersect1d(x[1], y[1], True))):
-        return False
     a, b = x[2], y[2]
     while len(a) > len(b):  # a bit of the narrower bitmap stands for several of the wider one, half by half
         a = a[: len(a) // 2] | a[len(a) // 2 :]
@@ -133,7 +131,9 @@ def may_link(n: int, x: tuple, m: int, y: tuple, percent: int) -> bool:
         b = b[: len(b) // 2] | b[len(b) // 2 :]
     # each bit that differs is a shingle of one set only; those are n + m - 2 common, and common >= p / (100 + p) (n + m)
     differ = int(np.bitwise_count(a ^ b).sum())
-    return differ * (100 + percent) <= (n + m) * (100 - percent)
+    if differ * (100 + percent) > (n + m) * (100 - percent):
+        return False
+    return all(len(np.intersect1d(x[o], y[o], True)) for o in (0, 1))
 
 
 def each_set(docs: DataFrame, key: str, k: int, make, out: str) -> DataFrame:
@@ -211,7 +211,13 @@ def postings(docs: DataFrame, key: str, k: int, percent: int, often: np.ndarray)
     return each_set(docs, key, k, make, "token long, set long, n int, heavy boolean")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _texts(docs: DataFrame, key: str, sets: DataFrame, broadcast_rows: int) -> DataFrame:
+    """The documents that stand for the sets (``set, id``): by ids sent to every task if they are few, else by a join."""
+    ids = cut(sets.select(F.col("id").alias(key)).distinct())
+    return docs.select(key, "text").join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, key)
+
+
+def _linked(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, key: str, k: int, percent: int, broadcast_rows: int) -> DataFrame:
     """The pairs (a, b) of sets that are linked: signatures first, whole sets for what they leave."""
 
     def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,8 +228,17 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
-    side = lambda x: sets.select(F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
-    left = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(passes, "a long, b long")
+    side = lambda x: sigs.select(F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
+    left = cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(passes, "a long, b long"))
+    needed = left.select(F.col("a").alias("set")).union(left.select("b")).distinct()
+
+    def describe(sets):
+        for _, found in sets:
+            some = [s for s in found if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in some], pa.int64()), pa.array([signed(s) for s in some], pa.list_(pa.int64()))], ["set", "tokens"])
+
+    texts = _texts(docs, key, needed.join(sigs, "set"), broadcast_rows)
+    sets = cut(each_set(texts, key, k, describe, "set long, tokens array<long>").join(needed, "set", "left_semi").dropDuplicates(["set"]))
     whole = lambda x: sets.select(F.col("set").alias(x), F.col("tokens").alias(f"t{x}"))
     both = left.join(whole("a"), "a").join(whole("b"), "b")
     common = F.size(F.array_intersect("ta", "tb"))
@@ -289,34 +304,24 @@ def similar_documents(
     p = p.withColumn("hub", F.min("set").over(w)).withColumn("last", F.max("set").over(w)).where("heavy or hub <> last")
     p = cut(p.select("token", "set", "n", "heavy", "hub").distinct())
 
-    # signatures and sets of the classes in lists, from one document of each
+    # signatures of the classes in lists, from one document of each
     in_lists = p.select("set").distinct()
-    wanted = cut(own.where("n > 0").groupBy("set").agg(F.min(key).alias("_nj_id")).join(in_lists, "set"))
-    few = wanted.count() <= broadcast_rows
-    ids = wanted.select(F.col("_nj_id").alias(key)).distinct()
-    texts = docs.select(key, "text").join(F.broadcast(ids) if few else ids, key)
+    wanted = cut(own.where("n > 0").groupBy("set").agg(F.min(key).alias("id")).join(in_lists, "set"))
 
     def describe(sets):
         for _, found in sets:
             some = [s for s in found if len(s)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([set_key(s) for s in some], pa.int64()),
-                    pa.array([len(s) for s in some], pa.int32()),
-                    pa.array([signature(s, percent) for s in some], pa.binary()),
-                    pa.array([signed(s) for s in some], pa.list_(pa.int64())),
-                ],
-                ["set", "n", "sig", "tokens"],
-            )
-
-    described = each_set(texts, key, k, describe, "set long, n int, sig binary, tokens array<long>")
-    sets = cut(described.join(in_lists, "set", "left_semi").dropDuplicates(["set"]))
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in some], pa.int64()), pa.array([len(s) for s in some], pa.int32()), pa.array([signature(s, percent) for s in some], pa.binary())], ["set", "n", "sig"])
+
+    described = each_set(_texts(docs, key, wanted, broadcast_rows), key, k, describe, "set long, n int, sig binary")
+    sigs = cut(described.dropDuplicates(["set"]).join(wanted, "set"))
+    linked = lambda pairs: _linked(pairs, sigs, docs, key, k, percent, broadcast_rows)
 
     # round 1: each list against its hub; the hubs of a frequent shingle's cells against the least of them
     stars = p.select(F.col("hub").alias("a"), F.col("set").alias("b"))
     cells = p.where("heavy").select("token", "hub").distinct()
     stars = stars.union(cells.join(cells.groupBy("token").agg(F.min("hub").alias("a")), "token").select("a", F.col("hub").alias("b")))
-    links = cut(_linked(stars.where("a <> b").distinct(), sets, percent))
+    links = cut(linked(stars.where("a <> b").distinct()))
     tied = components(links)
 
     # round 2: lists that still hold several components; equal lists once; long ones in blocks
@@ -329,8 +334,8 @@ def similar_documents(
     q = q.withColumn("block", F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("set"), F.col("blocks"))).cast("int"))
     parts = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.concat_ws(":", F.least("block", o), F.greatest("block", o)))
     lists = q.select(F.col("token").alias("list"), F.explode(parts).alias("part"), "set", "component", "block")
-    lists = lists.join(sets.select("set", "n", "sig"), "set")
-    more = _linked(_across(lists, percent), sets, percent)
+    lists = lists.join(sigs.select("set", "n", "sig"), "set")
+    more = linked(_across(lists, percent))
     tied = components(cut(links.union(more)))
 
     classes = own.where("n > 0").groupBy("set").agg(F.min(key).alias("least"))
