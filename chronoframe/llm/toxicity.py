@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoframe.llm.common import crc_mod, groups, labelled_sample, table
+from chronoframe.llm.common import crc_mod, cut, groups, labelled_sample, table
 
 TOKEN = re.compile(r"[^\W\d_]+")
 BITS = 18
@@ -245,8 +245,10 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 2500, mo
     Rows with a null text or label teach nothing; an id that is labelled twice counts twice.
     """
     known = labels.where("toxic is not null").select(F.col("doc_id"), F.col("toxic").cast("int").alias("_tx_label"))
-    rows = docs.select("doc_id", "text").where(f"text is not null and length(text) <= {int(most_chars)}").join(known, "doc_id")
-    got = labelled_sample(rows, "_tx_label", per_label).select("doc_id", "text", "_tx_label").collect()
+    fit = docs.select("doc_id", "text").where(f"text is not null and length(text) <= {int(most_chars)}")
+    # ids meet labels without their texts; only the sample's texts are read
+    chosen = labelled_sample(cut(fit.select("doc_id").join(known, "doc_id")), "_tx_label", per_label)
+    got = fit.join(F.broadcast(chosen), "doc_id").collect()  # about 2 * per_label rows
     got.sort(key=lambda r: (str(r.doc_id), r.text))
     return train([r.text for r in got], [r._tx_label for r in got])
 
