@@ -57,14 +57,12 @@ class Space:
         keep[1:] |= letter[:-1]  # the gap after a letter
         keep[starts] = True  # and the one before the text
         lettered = np.bincount(doc[letter], minlength=len(low))[: len(low)] > 0
-        # the place where a text starts also ends the one before, so it is kept twice
-        again = np.ones(len(codes), np.int8)
-        again[starts[1:]] = 2
-        again[len(codes) - 1] = 1
-        again = again * keep
+        # the place where a text starts also ends the one before: after a letter it is kept twice
+        again = keep.astype(np.int8)
+        ended = starts[1:][letter[starts[1:] - 1]]
+        again[ended] = 2
         symbols, doc = np.repeat(np.where(letter, codes, 0), again), np.repeat(doc, again)
-        twice = np.cumsum(again)[starts[1:]] - 2
-        doc[twice] -= 1
+        doc[np.cumsum(again)[ended] - 2] -= 1
         self.seen[symbols] = True
         ids = np.flatnonzero(self.seen)
         self.seen[ids] = False
