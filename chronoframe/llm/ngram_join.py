@@ -248,24 +248,55 @@ def _linked(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, key: str, k: int
 def _across(lists: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components within each list part that signatures don't rule out.
 
-    A part holds the rows of one list, or of two blocks of it (``one`` tells whether only pairs between the blocks count).
+    A part holds the rows of one list, or of two blocks of it; with two blocks only pairs between them count. Parts are
+    small, and come one after the other in sorted partitions.
     """
 
-    def pairs(t: pa.Table) -> pa.Table:
-        order = np.argsort(t.column("n").to_numpy(), kind="stable")
-        n, s, c, b = [t.column(x).to_numpy()[order] for x in ("n", "set", "component", "block")]
-        sig = [opened(x) for x in (t.column("sig")[int(i)].as_py() for i in order)]
+    def pairs(n: np.ndarray, s: np.ndarray, c: np.ndarray, b: np.ndarray, raw: list[bytes]) -> list[tuple[int, int]]:
+        sig = [opened(x) for x in raw]
         two = len(set(b.tolist())) > 1
+        width = np.array([len(x[2]) for x in sig])
         out = []
-        for i in range(len(n)):
-            for j in range(i + 1, len(n)):
-                if 100 * n[i] < percent * n[j]:
-                    break
-                if c[i] != c[j] and (not two or b[i] != b[j]) and may_link(n[i], sig[i], n[j], sig[j], percent):
-                    out.append((min(s[i], s[j]), max(s[i], s[j])))
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
-
-    return lists.groupBy("list", "part").applyInArrow(pairs, "a long, b long").distinct()
+        for w in sorted(set(width.tolist())):
+            # similar sets have bitmaps of one width, or of a width and its double
+            near = np.flatnonzero((width == w) | (width == 2 * w))
+            maps = np.stack([sig[j][2] if width[j] == w else sig[j][2][:w] | sig[j][2][w:] for j in near]).view(U)
+            for k, i in enumerate(near):
+                if width[i] != w:
+                    continue
+                differ = np.bitwise_count(maps ^ maps[k]).sum(axis=1, dtype=np.int64)
+                ok = (differ * (100 + percent) <= (n[near] + n[i]) * (100 - percent)) & (100 * np.minimum(n[near], n[i]) >= percent * np.maximum(n[near], n[i]))
+                ok &= (c[near] != c[i]) & ((width[near] != w) | (near > i))
+                if two:
+                    ok &= b[near] != b[i]
+                out += [(min(s[i], s[j]), max(s[i], s[j])) for j in near[ok] if all(len(np.intersect1d(sig[i][o], sig[j][o], True)) for o in (0, 1))]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def of(t: pa.Table, last: bool) -> tuple[list[tuple[int, int]], pa.Table]:
+            names, part = t.column("list").to_numpy(), t.column("part").to_numpy(zero_copy_only=False)
+            new = np.flatnonzero((names[1:] != names[:-1]) | (part[1:] != part[:-1])) + 1
+            ends = [*new.tolist(), *([t.num_rows] if last else [])]
+            cols = [t.column(x).to_numpy() for x in ("n", "set", "component", "block")]
+            raw, start, out = t.column("sig").to_pylist(), 0, []
+            for end in ends:
+                if end - start > 1:
+                    out += pairs(*[x[start:end] for x in cols], raw[start:end])
+                start = end
+            return out, t.slice(start)
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            found, rest = of(t if rest is None else pa.concat_tables([rest, t]), False)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[o] for x in found], pa.int64()) for o in (0, 1)], ["a", "b"])
+        if rest is not None and rest.num_rows:
+            found, _ = of(rest, True)
+            yield pa.RecordBatch.from_arrays([pa.array([x[o] for x in found], pa.int64()) for o in (0, 1)], ["a", "b"])
+
+    return lists.repartition("list", "part").sortWithinPartitions("list", "part").mapInArrow(run, "a long, b long").distinct()
 
 
 def similar_documents(
