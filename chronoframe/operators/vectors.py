@@ -121,5 +121,5 @@ def sentiment_label(scores: DataFrame, classes: list[str]) -> DataFrame:
 def prob_timelines(annos: DataFrame, classes: list[str]) -> DataFrame:
     """A row per class of each annotation: its share as text."""
     return annos.select("video_id", "segment_id", F.posexplode("probs").alias("_i", "p")).select(
-        "video_id", "segment_id", F.element_at(F.array(*map(F.lit, classes)), F.col("_i") + 1).alias("timeline"), F.concat(F.format_number(F.bround(F.col("p") * 100, 1), "0.0"), F.lit("%")).alias("value")
+        "video_id", "segment_id", F.element_at(F.array(*map(F.lit, classes)), F.col("_i") + 1).alias("timeline"), F.format_string("%.1f%%", F.bround(F.col("p") * 100, 1)).alias("value")
     )

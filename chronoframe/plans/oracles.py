@@ -13,6 +13,12 @@ segs AS (SELECT l_orderkey AS video_id, l_orderkey * 10 + l_linenumber AS segmen
 links AS (SELECT l_orderkey * 10 + l_linenumber AS segment_id, l_partkey % 50 AS annotation_id FROM items),
 dim AS (SELECT range AS annotation_id, 'note' || range AS name, CASE WHEN range % 3 < 2 THEN range % 3 END AS category_id FROM range(50)),
 cats AS (SELECT range AS category_id, CASE range WHEN 0 THEN 'Transcript' ELSE 'Mood' END AS category_name FROM range(2))"""
+MENTIONS = """
+i AS (SELECT l_orderkey AS seg_id, l_linenumber * 10 AS s, min(l_partkey) AS p, min(l_suppkey) AS u FROM lineitem GROUP BY l_orderkey, l_linenumber),
+m AS (SELECT seg_id, s::INT AS start_c, (s + 5)::INT AS end_c, 'p' || (p % 50) AS text, ['PER', 'ORG', 'LOC', 'MISC', 'DATE'][p % 5 + 1] AS type FROM i),
+c AS (SELECT seg_id, s + u % 7 - 3 AS ch_from, s + u % 7 + 1 AS ch_to, (p % 1000) / 100000.0::DOUBLE AS page_rank, 'Q' || (u % 100) AS wd_id FROM i WHERE p % 3 > 0),
+best AS (SELECT m.seg_id, m.start_c, m.end_c, arg_max(c.wd_id, (c.page_rank, -c.ch_from)) AS wd FROM m JOIN c ON m.seg_id = c.seg_id AND c.page_rank >= 1e-4 AND ch_from >= start_c - 2 AND ch_to <= end_c + 2 GROUP BY 1, 2, 3),
+linked AS (SELECT m.*, coalesce(wd, CASE WHEN substr(text, 2)::INT < 25 THEN 'F' || substr(text, 2) END, 'unk') AS wd_id FROM m LEFT JOIN best USING (seg_id, start_c, end_c) WHERE type <> 'DATE')"""
 PARTS = "parts AS (SELECT l_orderkey AS video_id, l_linenumber::BIGINT AS timeline_id, (l_partkey % 10)::INT AS ord, CASE WHEN l_linenumber > 1 THEN l_linenumber // 2 END::BIGINT AS parent_id FROM lineitem)"
 PIXELS = "px AS (SELECT l_orderkey % 50 AS video_id, l_orderkey AS frame_idx, l_partkey * 7 % 256 AS r, l_suppkey * 11 % 256 AS g, l_linenumber * 31 % 256 AS b FROM lineitem)"
 CHUNKS = "chunks AS (SELECT video_id, floor(time / 864000)::BIGINT AS segment_id, floor(time / 86400)::BIGINT AS chunk, series AS label, max(y) AS prob FROM a_scalars GROUP BY ALL)"
@@ -199,4 +205,45 @@ ORACLES: dict[str, str] = {
     "export_many": v("SELECT video_id, owner_id, round(duration, 9) AS duration FROM a_videos WHERE owner_id IN (1, 2, 3) OR video_id IN (7, 32)", "a_videos"),
     "export_individual": v("SELECT DISTINCT video_id, 'tier' AS timeline, start_s, '[\"l' || segment_id || '\"]' AS value FROM a_segments", "a_segments"),
     "dedupe_by_content": "SELECT doc_id, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept, sha1(coalesce(text, '')) AS sha1 FROM documents",
+    "sample_frames": v("""SELECT video_id, segment_id, part, time FROM (
+        SELECT *, row_number() OVER (PARTITION BY video_id, segment_id, part ORDER BY dist, time) AS n FROM (
+          SELECT video_id, segment_id, time, unnest([{'part': 'start', 'ok': time >= start_s, 'dist': abs(time - start_s)}, {'part': 'middle', 'ok': true, 'dist': abs(time - (start_s + end_s) / 2)}, {'part': 'end', 'ok': time <= end_s, 'dist': abs(time - end_s)}], recursive := true)
+          FROM span JOIN f USING (video_id) WHERE i > coalesce(prev, 0) AND i <= last) WHERE ok) WHERE n = 1""", "a_segments", extra="""
+        f AS (SELECT video_id, time, row_number() OVER (PARTITION BY video_id ORDER BY time) AS i FROM (SELECT DISTINCT video_id, time FROM a_scalars)),
+        k AS (SELECT s.*, row_number() OVER (PARTITION BY video_id ORDER BY start_s, segment_id) AS k FROM a_segments s),
+        c AS (SELECT k.*, (SELECT min(i) FROM f WHERE f.video_id = k.video_id AND f.time >= k.end_s) AS first_i FROM k),
+        e AS (SELECT *, max(first_i - k) OVER (PARTITION BY video_id ORDER BY k) + k AS last FROM c),
+        span AS (SELECT *, lag(last) OVER (PARTITION BY video_id ORDER BY k) AS prev FROM e)"""),
+    "multi_scale_mean": v("""SELECT g.video_id, g.i, round_even(avg(coalesce(score, -5.0)), 1) AS score FROM (SELECT DISTINCT m.video_id, m.i, s.series FROM m JOIN (SELECT DISTINCT video_id, series FROM m) s USING (video_id)) g
+        LEFT JOIN m ON m.video_id = g.video_id AND m.i = g.i AND m.series = g.series GROUP BY 1, 2""", "a_scalars", extra="m AS (SELECT video_id, series, row_number() OVER (PARTITION BY video_id, series ORDER BY time, y) - 1 AS i, floor(y * 8)::DOUBLE AS score FROM a_scalars)"),
+    "shot_sides": v(f"""SELECT video_id, segment_id, cluster, CASE WHEN sum(l) > sum(r) THEN 'left' ELSE 'right' END AS side FROM (SELECT s.video_id, s.segment_id, p.cluster,
+        lx * oy / (p.w * p.h + 0.5 - lx * oy) AS l, rx * oy / (p.w * p.h + 0.5 - rx * oy) AS r FROM a_segments s JOIN (SELECT b.*, c.cluster, greatest(0, least(x + w, 0.5) - greatest(x, 0)) AS lx, greatest(0, least(x + w, 1) - greatest(x, 0.5)) AS rx, greatest(0, least(y + h, 1) - greatest(y, 0)) AS oy
+        FROM a_bboxes b JOIN a_clusters c ON b.video_id = c.video_id AND b.id = c.ref_id) p ON {IN} > s.start_s AND p.time < s.end_s) GROUP BY 1, 2, 3""", "a_segments", "a_bboxes", "a_clusters"),
+    "prompt_probs": v("SELECT u.video_id, u.id, u.time, round(sum(u.u[i] * m.x) / sqrt((SELECT sum(x * x) FROM m)), 9) AS y FROM units u, m GROUP BY 1, 2, 3", "a_embeddings",
+        extra=f"{UNITS}, m AS (SELECT i, avg(x) AS x FROM (SELECT unnest(range(1, 65)) AS i, unnest(u) AS x FROM units WHERE id < 3) GROUP BY 1)"),
+    "time_formats": v("""SELECT DISTINCT video_id, time, printf('%02d:%02d:%02d.', w // 3600, w // 60 % 60, w % 60) || round_even((t - w) * 1000, 0)::BIGINT AS iso,
+        CASE WHEN w >= 3600 THEN printf('%d h %d min %d sec', w // 3600, w // 60 % 60, w % 60) WHEN w >= 60 THEN printf('%d min %d sec', w // 60, w % 60) ELSE printf('%d sec', w) END AS shown
+        FROM (SELECT video_id, time, time / 7 AS t, floor(time / 7)::BIGINT AS w FROM a_scalars)""", "a_scalars"),
+    "snake_case": r"SELECT camel, lower(regexp_replace(regexp_replace(camel, '(.)([A-Z][a-z]+)', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g')) AS snake FROM (SELECT upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2)) AS camel FROM nation)",
+    "cluster_to_scalar": v("SELECT video_id, time, round(CASE WHEN max(y) OVER w > min(y) OVER w THEN (y - min(y) OVER w) / (max(y) OVER w - min(y) OVER w) ELSE 0.0 END, 9) AS y FROM sims WINDOW w AS (PARTITION BY video_id)", "a_embeddings",
+        extra=f"""{UNITS}, m AS (SELECT i, avg(x) AS x FROM (SELECT unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS x FROM units WHERE id % 5 = 1 AND id % 2 = 0) GROUP BY 1),
+        cos AS (SELECT u.video_id, u.id, u.time, (sum(u.u[i] * m.x) / sqrt((SELECT sum(x * x) FROM m)) + 1) / 2 AS y FROM units u, m GROUP BY 1, 2, 3), sims AS (SELECT video_id, time, max(y) AS y FROM cos GROUP BY 1, 2)"""),
+    "first_chunk_label": v("SELECT video_id, segment_id, label, round(prob, 9) AS prob FROM (SELECT *, min(chunk) OVER (PARTITION BY video_id, segment_id) AS c FROM chunks) WHERE chunk = c QUALIFY row_number() OVER (PARTITION BY video_id, segment_id ORDER BY prob DESC, label) = 1", "a_scalars", extra=CHUNKS),
+    "prob_timelines": v("""SELECT video_id, segment_id, timeline, printf('%.1f%%', round_even(p * 100, 1)) AS value FROM (SELECT video_id, segment_id, unnest(['click', 'purchase', 'view']) AS timeline, unnest([c, p, w]) AS p FROM (SELECT video_id, segment_id,
+        coalesce(max(floor(prob * 16) / 16) FILTER (label = 'click'), 0) AS c, coalesce(max(floor(prob * 16) / 16) FILTER (label = 'purchase'), 0) AS p, coalesce(max(floor(prob * 16) / 16) FILTER (label = 'view'), 0) AS w FROM chunks WHERE label IN ('click', 'purchase', 'view') GROUP BY 1, 2))""", "a_scalars", extra=CHUNKS),
+    "cluster_places": v("SELECT m.video_id, m.cluster_rank::INT AS cluster_rank, count(*) AS n, min(m.id) AS first, max('place' || u.label) AS place FROM members m JOIN units u ON u.id = m.id GROUP BY 1, 2", "a_embeddings", extra=_components(0.7)),
+    "face_clustering": v("SELECT m.video_id, 'Cluster ' || (m.cluster_rank + 1) AS name, m.id, u.time FROM members m JOIN units u ON u.id = m.id WHERE m.cluster_rank < 3", "a_embeddings", extra=_components(0.7).replace("FROM a_embeddings)", "FROM a_embeddings WHERE (id % 20) / 40.0 >= 0.1)")),
+    "place_clustering": v("SELECT m.video_id, 'Cluster ' || (m.cluster_rank + 1) AS name, m.id, u.time FROM members m JOIN units u ON u.id = m.id WHERE m.cluster_rank < 3", "a_embeddings", extra=_components(0.7).replace("FROM a_embeddings)", "FROM a_embeddings WHERE (video_id, time) IN (SELECT video_id, time FROM a_embeddings WHERE id % 40 < 20))")),
+    "link_entities": f"WITH {MENTIONS} SELECT * FROM linked",
+    "resolve_entity_types": f"""WITH {MENTIONS} SELECT type, CASE WHEN q IS NOT NULL AND q % 10 = 2 THEN 'EVENT' WHEN q IS NOT NULL AND q % 10 = 1 THEN 'ORG' WHEN q % 8 = 0 THEN 'EPER' WHEN q % 4 = 0 THEN 'LPER' WHEN q % 3 = 0 THEN 'LOC'
+        WHEN wd_id = 'unk' THEN CASE type WHEN 'PER' THEN 'LPER' ELSE type END ELSE 'MISC' END AS resolved, count(*) AS n FROM (SELECT *, CASE WHEN wd_id LIKE 'Q%' THEN substr(wd_id, 2)::INT END AS q FROM linked) GROUP BY 1, 2""",
+    "move_items": v("SELECT video_id, CASE WHEN ref_id % 3 = 0 THEN 0 ELSE cluster END AS cluster, count(*) AS n FROM a_clusters GROUP BY 1, 2", "a_clusters"),
+    "to_documents": """SELECT r AS result_id, min(event_id) AS first_time, (length('{"result_id":' || r || ',"type":"scalar","data_id":"' || r || '"}') + CASE WHEN count(event_id) > 0 THEN length(',"data":[]') + sum(length('{"time":' || event_id || ',"y":' || floor(value)::BIGINT || '}')) + count(*) - 1 ELSE 0 END)::BIGINT AS chars
+        FROM range(60) t(r) LEFT JOIN events ON user_id % 50 = r GROUP BY 1""",
+    "export_merged": v("""SELECT video_id, segment_id, row_number() OVER w AS "#", printf('%02d:%02d:%02d.', floor(start_s)::BIGINT // 3600, floor(start_s)::BIGINT // 60 % 60, floor(start_s)::BIGINT % 60) || round_even((start_s - floor(start_s)) * 1000, 0)::BIGINT AS start_s_iso,
+        round(end_s - start_s, 9) AS duration, round(coalesce(lead(start_s) OVER w, end_s) - start_s, 9) AS gap_duration, 'n' || (segment_id % 3) AS notes FROM a_segments WINDOW w AS (PARTITION BY video_id ORDER BY start_s, segment_id)""", "a_segments"),
+    "export_bundle": v("SELECT DISTINCT 'd' || (video_id % 100) AS data_id FROM a_runs WHERE run_id % 2 = 0", "a_runs"),
+    "softmax": v("SELECT id, round(a / (a + b + c), 9) AS p0, round(b / (a + b + c), 9) AS p1, round(c / (a + b + c), 9) AS p2 FROM (SELECT id, exp(10 * (embedding[1]::DOUBLE - m)) AS a, exp(10 * (embedding[2]::DOUBLE - m)) AS b, exp(10 * (embedding[3]::DOUBLE - m)) AS c FROM (SELECT *, greatest(embedding[1], embedding[2], embedding[3])::DOUBLE AS m FROM a_embeddings))", "a_embeddings"),
+    "label_map": v("SELECT CASE series WHEN 'click' THEN 'Click' WHEN 'view' THEN 'View' ELSE series END AS label, count(*) AS n FROM a_scalars GROUP BY 1", "a_scalars"),
+    "clean_ocr_text": "SELECT r_regionkey, 'a  b' || r_name AS text FROM region",
 }

@@ -727,3 +727,120 @@ def q_export_individual(s, d):
 @query
 def q_dedupe_by_content(s, d):
     return io.dedupe_by_content(a.table(s, d, "documents").select("doc_id", "text"), "text", "doc_id")["mapping"]
+
+
+# further compositions
+
+@query
+def q_cluster_to_scalar(s, d):
+    e = a.embeddings(s, d)
+    c = e.select((F.col("id") % 5).alias("cluster"), F.col("id").alias("ref_id"), (F.col("id") % 2 == 0).alias("is_sample"))
+    return r9(vectors.cluster_to_scalar(c, e, 1, e), "y")
+
+
+@query
+def q_prob_timelines(s, d):
+    classes = ["click", "purchase", "view"]
+    return vectors.prob_timelines(vectors.sentiment_label(events_as_probs(s, d).where(F.col("label").isin(classes)).withColumn("prob", F.floor(F.col("prob") * 16) / 16), classes), classes)
+
+
+@query
+def q_first_chunk_label(s, d):
+    return r9(vectors.first_chunk_label(first_chunks(s, d)), "prob")
+
+
+def first_chunks(s, d):
+    p = events_as_probs(s, d)
+    return p.join(p.groupBy("video_id", "segment_id").agg(F.min("chunk").alias("_c")), ["video_id", "segment_id"]).withColumn("chunk", F.col("chunk") - F.col("_c")).drop("_c")
+
+
+@query
+def q_cluster_places(s, d):
+    e = a.embeddings(s, d)
+    return clusters.cluster_places(e, e.select("video_id", "id", F.concat(F.lit("place"), "label").alias("place")), 0.7).groupBy("video_id", "cluster_rank").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("place").alias("place"))
+
+
+@query
+def q_face_clustering(s, d):
+    e = a.embeddings(s, d).withColumn("ref_id", F.col("id"))
+    b = e.select("video_id", "id", "ref_id", ((F.col("id") % 20) / 40.0).alias("h"))
+    return clusters.face_clustering(b, b.select("video_id", "id"), e, 0.7, 3).select("video_id", "name", "id", "time")
+
+
+@query
+def q_place_clustering(s, d):
+    e = a.embeddings(s, d)
+    return clusters.place_clustering(e.where("id % 40 < 20").select("video_id", "time"), e, 0.7, 3).select("video_id", "name", "id", "time")
+
+
+def mentions(s, d):
+    i = a.table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("u"))
+    start = F.col("l_linenumber") * 10
+    kind = F.element_at(F.array(*map(F.lit, ("PER", "ORG", "LOC", "MISC", "DATE"))), (F.col("p") % 5 + 1).cast("int"))
+    m = i.select(F.col("l_orderkey").alias("seg_id"), start.cast("int").alias("start_c"), (start + 5).cast("int").alias("end_c"), F.concat(F.lit("p"), F.col("p") % 50).alias("text"), kind.alias("type"))
+    at = start + F.col("u") % 7 - 3
+    c = i.where("p % 3 > 0").select(F.col("l_orderkey").alias("seg_id"), at.cast("int").alias("ch_from"), (at + 4).cast("int").alias("ch_to"), ((F.col("p") % 1000) / 100000.0).alias("page_rank"), F.concat(F.lit("Q"), F.col("u") % 100).alias("wd_id"))
+    f = s.range(25).select(F.concat(F.lit("p"), F.col("id")).alias("surface"), F.concat(F.lit("F"), F.col("id")).alias("wd_id"))
+    return m, c, f
+
+
+@query
+def q_link_entities(s, d):
+    return joins.link_entities(*mentions(s, d))
+
+
+@query
+def q_resolve_entity_types(s, d):
+    linked = joins.link_entities(*mentions(s, d))
+    n = F.substring("wd_id", 2, 9).cast("int")
+    ids = s.range(100).select(F.concat(F.lit("Q"), "id").alias("wd_id"))
+    b = ids.select("wd_id", (n % 4 == 0).alias("is_person"), (n % 8 == 0).alias("notable"), (n % 3 == 0).alias("is_place"))
+    out = joins.resolve_entity_types(linked, b, ids.where(n % 10 == 1), ids.where(n % 10 == 2))
+    return out.groupBy("type", "resolved").agg(F.count("*").alias("n"))
+
+
+@query
+def q_move_items(s, d):
+    c = a.clusters(s, d).select("video_id", "cluster", "ref_id")
+    return timelines.move_items(c, c.where("ref_id % 3 = 0").select("ref_id", F.lit(0).cast("long").alias("cluster"))).groupBy("video_id", "cluster").agg(F.count("*").alias("n"))
+
+
+@query
+def q_to_documents(s, d):
+    data = a.table(s, d, "events").select((F.col("user_id") % 50).cast("string").alias("data_id"), F.col("event_id").cast("double").alias("time"), F.floor("value").alias("y"))
+    results = s.range(60).select(F.col("id").alias("result_id"), F.lit("scalar").alias("type"), F.col("id").cast("string").alias("data_id"))
+    out = io.to_documents(results, data.withColumn("time", F.col("time").cast("long")))
+    return out.select("result_id", F.get_json_object("json", "$.data[0].time").cast("long").alias("first_time"), F.length("json").cast("long").alias("chars"))
+
+
+@query
+def q_export_merged(s, d):
+    seg = a.segments(s, d)
+    cells = seg.select("video_id", "segment_id", F.lit("notes").alias("name"), F.concat(F.lit("n"), F.col("segment_id") % 3).alias("value"))
+    names = s.createDataFrame([("notes", "annotation")], "name string, type string")
+    return io.export_merged(seg, names, a.scalars(s, d), cells, ["notes"]).select("video_id", "segment_id", "#", "start_s_iso", F.round("duration", 9).alias("duration"), F.round("gap_duration", 9).alias("gap_duration"), "notes")
+
+
+@query
+def q_export_bundle(s, d):
+    seg = a.segments(s, d)
+    results = a.runs(s, d).select("video_id", "run_id", "status", F.when(F.col("run_id") % 2 == 0, F.concat(F.lit("d"), F.col("video_id") % 100)).alias("data_id"))
+    return io.export_bundle(seg, seg, seg.select("video_id", "segment_id"), results, results)["data_ids"]
+
+
+@query
+def q_softmax(s, d):
+    e = a.embeddings(s, d).select("id", F.slice(F.col("embedding"), 1, 3).alias("v"))
+    p = fn.softmax_t(F.transform("v", lambda x: x.cast("double")), 0.1)
+    return e.select("id", *[F.round(p[k], 9).alias(f"p{k}") for k in range(3)])
+
+
+@query
+def q_label_map(s, d):
+    return a.scalars(s, d).select("video_id", fn.map_label(F.col("series"), {"click": "Click", "view": "View"}).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query
+def q_clean_ocr_text(s, d):
+    t = F.concat(F.lit("a <img>"), F.col("region.r_name"), F.lit("</img> b<watermark>x</watermark>"), F.col("region.r_name"))
+    return a.table(s, d, "region").alias("region").select("r_regionkey", fn.clean_ocr_text(t).alias("text"))
