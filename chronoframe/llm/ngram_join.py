@@ -107,33 +107,39 @@ def first_of(s: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
 ORDERS = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))
 
 
-def signature(s: np.ndarray, percent: int) -> bytes:
-    """Fingerprints of the prefixes under the further orders, then a bitmap as wide as the set asks for."""
+def prints_of(s: np.ndarray, percent: int) -> bytes:
+    """Fingerprints of the prefixes under the further orders, the first one's number ahead."""
     parts = [np.unique((x >> U(8)).astype(np.uint16)) for x in (first_of(s, mixed(s * m), percent) for m in ORDERS)]
-    bits = np.zeros(max(64, 1 << int(len(s) - 1).bit_length()), bool)
-    bits[(mixed(s) % U(len(bits))).astype(np.int64)] = True
-    return b"".join([np.array([len(p) for p in parts], np.int32).tobytes(), *[p.tobytes() for p in parts], np.packbits(bits).tobytes()])
+    return b"".join([np.array([len(parts[0])], np.int32).tobytes(), *[p.tobytes() for p in parts]])
+
+
+def prints_meet(x: bytes, y: bytes) -> bool:
+    """Whether the prefixes may share a shingle under each further order."""
+    a, b = np.frombuffer(x, np.uint16, offset=4), np.frombuffer(y, np.uint16, offset=4)
+    i, j = int.from_bytes(x[:4], "little"), int.from_bytes(y[:4], "little")
+    return len(np.intersect1d(a[:i], b[:j], True)) > 0 and len(np.intersect1d(a[i:], b[j:], True)) > 0
 
 
-def opened(sig: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    a, b = np.frombuffer(sig, np.int32, 2)
-    return np.frombuffer(sig, np.uint16, a, 8), np.frombuffer(sig, np.uint16, b, 8 + 2 * a), np.frombuffer(sig, np.uint8, -1, 8 + 2 * (a + b))
+def bitmap(s: np.ndarray) -> bytes:
+    """One bit for each shingle, as wide as the set asks for."""
+    bits = np.zeros(max(64, 1 << int(len(s) - 1).bit_length()), bool)
+    bits[(mixed(s) % U(len(bits))).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
 
 
-def may_link(n: int, x: tuple, m: int, y: tuple, percent: int) -> bool:
-    """False only where sets of n and m shingles with these signatures can't be linked."""
+def bits_agree(n: int, x: bytes, m: int, y: bytes, percent: int) -> bool:
+    """False only where sets of n and m shingles with these bitmaps can't be linked."""
     if 100 * min(n, m) < percent * max(n, m):
         return False
-    a, b = x[2], y[2]
-    while len(a) > len(b):  # a bit of the narrower bitmap stands for several of the wider one, half by half
-        a = a[: len(a) // 2] | a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    a, b = int.from_bytes(x, "big"), int.from_bytes(y, "big")
+    wide, narrow = len(x) * 8, len(y) * 8
+    if wide < narrow:
+        a, b, wide, narrow = b, a, narrow, wide
+    while wide > narrow:  # a bit of the narrower bitmap stands for several of the wider one, half by half
+        wide //= 2
+        a = (a >> wide) | (a & ((1 << wide) - 1))
     # each bit that differs is a shingle of one set only; those are n + m - 2 common, and common >= p / (100 + p) (n + m)
-    differ = int(np.bitwise_count(a ^ b).sum())
-    if differ * (100 + percent) > (n + m) * (100 - percent):
-        return False
-    return all(len(np.intersect1d(x[o], y[o], True)) for o in (0, 1))
+    return (a ^ b).bit_count() * (100 + percent) <= (n + m) * (100 - percent)
 
 
 def each_set(docs: DataFrame, key: str, k: int, make, out: str) -> DataFrame:
@@ -217,19 +223,21 @@ def _texts(docs: DataFrame, key: str, sets: DataFrame, broadcast_rows: int) -> D
     return docs.select(key, "text").join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, key)
 
 
+def _passing(pairs: DataFrame, sigs: DataFrame, columns: list[str], test) -> DataFrame:
+    """The pairs (a, b) for which ``test`` of both sides' columns holds."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            keep = [test(*r) for r in zip(*[t.column(f"{c}{x}").to_pylist() for x in "ab" for c in columns], strict=True)]
+            yield pa.RecordBatch.from_arrays([t.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+
+    side = lambda x: sigs.select(F.col("set").alias(x), *[F.col(c).alias(f"{c}{x}") for c in columns])
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+
+
 def _linked(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, key: str, k: int, percent: int, broadcast_rows: int) -> DataFrame:
-    """The pairs (a, b) of sets that are linked: signatures first, whole sets for what they leave."""
-
-    def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = [
-                may_link(n, opened(x), m, opened(y), percent)
-                for n, x, m, y in zip(*[b.column(c).to_pylist() for c in ("na", "sa", "nb", "sb")], strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
-
-    side = lambda x: sigs.select(F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
-    left = cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(passes, "a long, b long"))
+    """The pairs (a, b) of sets that are linked: bitmaps, then prefixes under the further orders, then whole sets."""
+    left = _passing(pairs, sigs, ["n", "bits"], lambda n, x, m, y: bits_agree(n, x, m, y, percent))
+    left = cut(_passing(left, sigs, ["prints"], prints_meet))
     needed = left.select(F.col("a").alias("set")).union(left.select("b")).distinct()
 
     def describe(sets):
@@ -246,57 +254,16 @@ def _linked(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, key: str, k: int
 
 
 def _across(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within each list part that signatures don't rule out.
+    """Pairs of different components and fitting sizes that stand in a list, each once.
 
-    A part holds the rows of one list, or of two blocks of it; with two blocks only pairs between them count. Parts are
-    small, and come one after the other in sorted partitions.
+    A list is joined with itself part by part: a part holds one block of it (``i`` = ``j``) or two, and of two blocks only
+    pairs between them count. Lists of rare shingles are short, those of frequent ones are cut into blocks.
     """
-
-    def pairs(n: np.ndarray, s: np.ndarray, c: np.ndarray, b: np.ndarray, raw: list[bytes]) -> list[tuple[int, int]]:
-        sig = [opened(x) for x in raw]
-        two = len(set(b.tolist())) > 1
-        width = np.array([len(x[2]) for x in sig])
-        out = []
-        for w in sorted(set(width.tolist())):
-            # similar sets have bitmaps of one width, or of a width and its double
-            near = np.flatnonzero((width == w) | (width == 2 * w))
-            maps = np.stack([sig[j][2] if width[j] == w else sig[j][2][:w] | sig[j][2][w:] for j in near]).view(U)
-            for k, i in enumerate(near):
-                if width[i] != w:
-                    continue
-                differ = np.bitwise_count(maps ^ maps[k]).sum(axis=1, dtype=np.int64)
-                ok = (differ * (100 + percent) <= (n[near] + n[i]) * (100 - percent)) & (100 * np.minimum(n[near], n[i]) >= percent * np.maximum(n[near], n[i]))
-                ok &= (c[near] != c[i]) & ((width[near] != w) | (near > i))
-                if two:
-                    ok &= b[near] != b[i]
-                out += [(min(s[i], s[j]), max(s[i], s[j])) for j in near[ok] if all(len(np.intersect1d(sig[i][o], sig[j][o], True)) for o in (0, 1))]
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-
-        def of(t: pa.Table, last: bool) -> tuple[list[tuple[int, int]], pa.Table]:
-            names, part = t.column("list").to_numpy(), t.column("part").to_numpy(zero_copy_only=False)
-            new = np.flatnonzero((names[1:] != names[:-1]) | (part[1:] != part[:-1])) + 1
-            ends = [*new.tolist(), *([t.num_rows] if last else [])]
-            cols = [t.column(x).to_numpy() for x in ("n", "set", "component", "block")]
-            raw, start, out = t.column("sig").to_pylist(), 0, []
-            for end in ends:
-                if end - start > 1:
-                    out += pairs(*[x[start:end] for x in cols], raw[start:end])
-                start = end
-            return out, t.slice(start)
-
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            found, rest = of(t if rest is None else pa.concat_tables([rest, t]), False)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x[o] for x in found], pa.int64()) for o in (0, 1)], ["a", "b"])
-        if rest is not None and rest.num_rows:
-            found, _ = of(rest, True)
-            yield pa.RecordBatch.from_arrays([pa.array([x[o] for x in found], pa.int64()) for o in (0, 1)], ["a", "b"])
-
-    return lists.repartition("list", "part").sortWithinPartitions("list", "part").mapInArrow(run, "a long, b long").distinct()
+    side = lambda x: lists.select("list", "i", "j", *[F.col(c).alias(f"{c}_{x}") for c in ("set", "n", "component", "block")])
+    both = side("a").join(side("b"), ["list", "i", "j"])
+    least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    ok = (F.col("set_a") < F.col("set_b")) & (F.col("component_a") != F.col("component_b")) & (least * 100 >= most * percent)
+    return both.where(ok & ((F.col("i") == F.col("j")) | (F.col("block_a") != F.col("block_b")))).select(F.col("set_a").alias("a"), F.col("set_b").alias("b")).distinct()
 
 
 def similar_documents(
@@ -342,9 +309,9 @@ def similar_documents(
     def describe(sets):
         for _, found in sets:
             some = [s for s in found if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in some], pa.int64()), pa.array([len(s) for s in some], pa.int32()), pa.array([signature(s, percent) for s in some], pa.binary())], ["set", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in some], pa.int64()), pa.array([len(s) for s in some], pa.int32()), pa.array([prints_of(s, percent) for s in some], pa.binary()), pa.array([bitmap(s) for s in some], pa.binary())], ["set", "n", "prints", "bits"])
 
-    described = each_set(_texts(docs, key, wanted, broadcast_rows), key, k, describe, "set long, n int, sig binary")
+    described = each_set(_texts(docs, key, wanted, broadcast_rows), key, k, describe, "set long, n int, prints binary, bits binary")
     sigs = cut(described.dropDuplicates(["set"]).join(wanted, "set"))
     linked = lambda pairs: _linked(pairs, sigs, docs, key, k, percent, broadcast_rows)
 
@@ -363,9 +330,8 @@ def similar_documents(
     about = about.where("c0 <> c1").groupBy("rows", "h").agg(F.min("token").alias("token"))
     q = q.join(about, "token").withColumn("blocks", F.ceil(F.col("rows") / block).cast("int"))
     q = q.withColumn("block", F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("set"), F.col("blocks"))).cast("int"))
-    parts = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.concat_ws(":", F.least("block", o), F.greatest("block", o)))
-    lists = q.select(F.col("token").alias("list"), F.explode(parts).alias("part"), "set", "component", "block")
-    lists = lists.join(sigs.select("set", "n", "sig"), "set")
+    parts = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
+    lists = q.select(F.col("token").alias("list"), F.inline(parts), "set", "n", "component", "block")
     more = linked(_across(lists, percent))
     tied = components(cut(links.union(more)))
 

@@ -137,8 +137,8 @@ def test_signature_never_rules_out_a_link():
             other = np.unique(np.concatenate([base[cut:], np.array([rnd.randrange(1 << 60) for _ in range(cut // 3)], np.uint64)]))
             both = len(np.intersect1d(base, other))
             if 100 * both >= 75 * (len(base) + len(other) - both):
-                sig = [ngram_join.opened(ngram_join.signature(s, 75)) for s in (base, other)]
-                assert ngram_join.may_link(len(base), sig[0], len(other), sig[1], 75)
+                assert ngram_join.bits_agree(len(base), ngram_join.bitmap(base), len(other), ngram_join.bitmap(other), 75)
+                assert ngram_join.prints_meet(ngram_join.prints_of(base, 75), ngram_join.prints_of(other, 75))
 
 
 def test_frequent_counts_fall_short_by_total_over_size():
