@@ -6,8 +6,8 @@ and finds the candidates; two more orders, and a bitmap that bounds the symmetri
 before whole sets are compared.
 
 Equal sets are one class from the start. A first round compares each posting list's classes with the least of the list
-only, and joins what is similar into components; a second round compares what the lists still hold of different
-components. So a group of thousands of near copies costs one comparison each, and yet no link is lost.
+only, and joins what is similar into components; two more take other hubs; the last compares what the lists still hold of
+different components. So a group of thousands of near copies costs a few comparisons each, and yet no link is lost.
 """
 
 from __future__ import annotations
@@ -271,10 +271,12 @@ def similar_documents(
     key: str = "doc_id",
     k: int = 5,
     percent: int = 75,
-    heavy_from: int = 48,
+    heavy_from: int = 8,
     most_frequent: int = 200_000,
     summary_size: int = 1 << 20,
     block: int = 128,
+    rounds: int = 2,
+    hubs_each: int = 3,
     broadcast_rows: int = 2_000_000,
 ) -> DataFrame:
     """``key, n_shingles, component`` for every row of ``docs``: documents that chains of links tie together.
@@ -285,7 +287,7 @@ def similar_documents(
     same key stay; an empty table gives no rows; other columns are ignored. Shingles and sets are known by 64-bit hashes.
 
     ``heavy_from``, ``most_frequent``, ``summary_size``: which shingles count as frequent. They bound what is broadcast
-    and steer the first order; like ``block`` they don't change the result.
+    and steer the first order; like ``block``, ``rounds`` and ``hubs_each`` they don't change the result.
     """
     found = cut(summarise(docs, key, k, summary_size))
     frequent = (
@@ -322,13 +324,28 @@ def similar_documents(
     links = cut(linked(stars.where("a <> b").distinct()))
     tied = components(links)
 
-    # round 2: lists that still hold several components; equal lists once; long ones in blocks
-    q = p.join(tied.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("component", F.coalesce("component", "set"))
-    about = q.groupBy("token").agg(
-        F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("rows"), F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("h")
-    )
-    about = about.where("c0 <> c1").groupBy("rows", "h").agg(F.min("token").alias("token"))
-    q = q.join(about, "token").withColumn("blocks", F.ceil(F.col("rows") / block).cast("int"))
+    def still_open(tied: DataFrame) -> DataFrame:
+        """The lists that hold several components, equal ones once, with their number of rows."""
+        q = p.join(tied.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+        about = q.groupBy("token").agg(
+            F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("rows"), F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("h")
+        )
+        about = about.where("c0 <> c1").groupBy("rows", "h").agg(F.min("token").alias("token"))
+        return q.join(about, "token")
+
+    # further rounds against other hubs: copies of one text that are unlike each other meet through those between them
+    for r in range(rounds):
+        q = still_open(tied)
+        hub = F.struct("set", "component", "n")
+        hubs = q.groupBy("token").agg(*[F.min_by(hub, F.xxhash64(F.lit(r * hubs_each + i), F.col("set"))).alias(f"h{i}") for i in range(hubs_each)])
+        met = q.join(hubs, "token").select("set", "component", "n", F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(hubs_each)]))).alias("h"))
+        met = met.where((F.col("component") != F.col("h.component")) & (F.least("n", "h.n") * 100 >= F.greatest("n", "h.n") * percent))
+        links = cut(links.union(linked(met.select(F.least("set", "h.set").alias("a"), F.greatest("set", "h.set").alias("b")).distinct())))
+        tied = components(links)
+
+    # last round: all pairs of components in the lists that are still open; long lists in blocks
+    q = still_open(tied)
+    q = q.withColumn("blocks", F.ceil(F.col("rows") / block).cast("int"))
     q = q.withColumn("block", F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("set"), F.col("blocks"))).cast("int"))
     parts = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
     lists = q.select(F.col("token").alias("list"), F.inline(parts), "set", "n", "component", "block")
