@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -147,7 +148,8 @@ def train(texts: list[str], toxic: list[int], window: int = 48, most_windows: in
     """The field and the document score, from whole labelled texts. Needs both labels; else every score is the base rate's."""
     model = Field()
     distinct = list(dict.fromkeys(zip(texts, toxic, strict=True)))
-    docs, y = [TOKEN.findall(t.lower()) for t, _ in distinct], [v for _, v in distinct]
+    docs, y = [list(map(sys.intern, TOKEN.findall(t.lower()))) for t, _ in distinct], [v for _, v in distinct]
+    del texts, distinct
     if 0 not in y or 1 not in y:
         return model
     marks = label_tokens(docs, y)
@@ -191,11 +193,12 @@ def train(texts: list[str], toxic: list[int], window: int = 48, most_windows: in
             m = 0.9 * m + 0.1 * g
             s = 0.99 * s + 0.01 * g * g
             theta -= 0.08 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)
+    del ids, mask, tags, data, chosen, plain, known, m, s
     model.weights, model.bias = theta[: 1 << BITS].astype(np.float32), float(theta[1 << BITS])
     model.trans = theta[(1 << BITS) + 1 :].reshape(2, 2)
     # the document's score: logistic regression on two sums of its marginals
     tagger = Tagger(model)
-    x = np.array([tagger.summary(p) for p in tagger.tag_words(docs)])
+    x = np.array([tagger.summary(p) for i in range(0, len(docs), 200) for p in tagger.tag_words(docs[i : i + 200])])
     x = np.column_stack([x, np.ones(len(x))])
     w, target = np.zeros(3), np.array(y, float)
     for _ in range(30):
@@ -239,7 +242,7 @@ class Tagger:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, w[0] * a + w[1] * b + w[2]))))
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 2500, most_chars: int = 60_000) -> Field:
+def learn_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 2500, most_chars: int = 40_000) -> Field:
     """Train on about ``per_label`` labelled texts of either label, none longer than ``most_chars`` (the sample's bounds).
 
     Rows with a null text or label teach nothing; an id that is labelled twice counts twice.
