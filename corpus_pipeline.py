@@ -12,8 +12,6 @@ from chronoframe.llm.mixing import emit, mix
 from chronoframe.llm.ngram_join import similar_documents
 from chronoframe.llm.toxicity import REJECT, learn_toxicity, tag_toxicity
 
-#: Documents less like every language than this are in none of them.
-LEAST_LIKENESS = 0.1
 #: Dropped ids up to this number are sent to every task; beyond it the documents are shuffled.
 FEW_IDS = 2_000_000
 
@@ -25,9 +23,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or unlike every learned language, go."""
-    named = predict_language(docs, learn_prototypes(docs), key=None)
-    return named.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LIKENESS)).select(*docs.columns)
+    """Documents that ``predict_language`` calls ``und`` (without letters) go.
+
+    The score is no ground: a short text shares few n-grams with a profile of a whole language, whatever its language.
+    """
+    return predict_language(docs, learn_prototypes(docs), key=None).where(F.col("lang_pred") != "und").select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,6 +75,15 @@ def test_stages(spark, corpus, tmp_path):
     assert docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("copies").alias("c")).where("n <> c").count() == 0
 
 
+def test_language_keeps_short_texts(spark, corpus):
+    folder, _ = corpus
+    short = [(401, "A."), (402, "Ung."), (403, "Qu!"), (404, "K"), (405, "Edrere."), (406, "7."), (407, None)]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 300")
+    docs = docs.unionByName(spark.createDataFrame([(i, t, None, "s1", 0) for i, t in short], docs.schema))
+    got = {r.doc_id for r in corpus_pipeline.language(spark, docs, folder).where("doc_id > 400").collect()}
+    assert got == {401, 402, 403, 404, 405}
+
+
 def test_run_gives_the_stages_rows(spark, corpus):
     folder, _ = corpus
     out = corpus_pipeline.run(spark, folder)
