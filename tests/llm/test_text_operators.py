@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 import zlib
+from re import _constants as sre
+from re import _parser as sre_parser
 
 import numpy as np
 import pytest
@@ -285,6 +287,58 @@ def test_license_scan_against_every_rule(spark):
     assert license_scan.scan_licenses(docs(spark, []) if False else docs(spark, ["x"]).limit(0)).count() == 0
 
 
+def any_match(pattern, rnd):
+    """A random text that a rule's pattern matches."""
+
+    def make(op, arg):
+        if op in (sre.LITERAL, sre.NOT_LITERAL):
+            return chr(arg) if op is sre.LITERAL else "x"
+        if op is sre.IN:
+            kind, value = rnd.choice(arg)
+            if kind is sre.NEGATE:
+                return "x"
+            if kind is sre.RANGE:
+                return chr(rnd.randint(*value))
+            return {sre.CATEGORY_SPACE: rnd.choice(" \n\t"), sre.CATEGORY_DIGIT: "7", sre.CATEGORY_WORD: "w", sre.CATEGORY_NOT_SPACE: "x"}[value] if kind is sre.CATEGORY else chr(value)
+        if op is sre.SUBPATTERN:
+            return every(arg[-1])
+        if op is sre.BRANCH:
+            return every(rnd.choice(arg[1]))
+        if op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+            return "".join(every(arg[2]) for _ in range(rnd.randint(arg[0], min(arg[1], arg[0] + 2))))
+        assert op is sre.AT
+        return ""
+
+    every = lambda seq: "".join(make(*x) for x in seq)
+    return every(sre_parser.parse(pattern))
+
+
+def scan_without_keywords(low):
+    found = [(m.start(), m.end(), k) for k, r in enumerate(RULES) for m in re.finditer(r.pattern, low)]
+    taken = []
+    for d in sorted(found, key=lambda d: (-RULES[d[2]].priority, d[0] - d[1], d[2], d[0])):
+        if not any(t[0] <= d[0] and d[1] <= t[1] for t in taken):
+            taken.append(d)
+    return sorted(taken)
+
+
+def test_license_keywords_let_every_match_through():
+    rnd = random.Random(12)
+    scanner = license_scan.Scanner()
+    for k, r in enumerate(RULES):
+        for _ in range(60):
+            t = f"x\n{any_match(r.pattern, rnd)} "
+            if re.search(r.pattern, t):
+                assert k in scanner.candidates(t), (r, t)
+    labels = lambda t: {RULES[k].label for _, _, k in scanner.scan(t)}
+    assert labels("# GNU Lesser\n# General Public License") == {"lgpl"} and labels("MIT\nLicense") == labels("MIT Licence") == {"mit"}
+    assert labels("Apache License,\n Version 2.0") == {"apache-2.0"} and labels("license='MIT'") == {"tag"} and labels("The copyright holder") == {"copyright"}
+    pieces = ["GNU Lesser\n# General Public License", "MIT\nLicense", "Apache  Licence, Version 2.0", "license='MIT'", "see the LICENSE file for details", "without any warranty", "all rights\n * reserved", "CC BY NC ND", "word"]
+    for _ in range(12):
+        t = rnd.choice([" ", "\n"]).join(rnd.choices(pieces, k=rnd.randint(1, 12)))
+        assert scanner.scan(t) == scan_without_keywords(t.lower())
+
+
 # media
 
 
