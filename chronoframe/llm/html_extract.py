@@ -51,23 +51,27 @@ SIBLINGS = {
 
 def blocks(page: str) -> Iterator[tuple[str, bool, bool, str]]:
     """(style path, marked as noise, within a landmark, text) of each block of text, in page order."""
-    #: open elements: tag, path, noise, landmark
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    #: open elements: tag, path, noise by tag or role, landmark, numbers of the elements around that class or id mark as noise
+    stack: list[tuple[str, str, bool, bool, tuple[int, ...]]] = [("", "", False, False, ())]
     text: list[str] = []
     raw = ""
-    out: list[tuple[str, bool, bool, str]] = []
+    marked = 0
+    out: list[tuple[str, bool, bool, str, tuple[int, ...]]] = []
+
+    def noisy(e: tuple) -> bool:
+        return e[2] or bool(e[4])
 
     def flush() -> None:
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if joined:
-                _, path, noise, landmark = stack[-1]
-                out.append((path, noise, landmark, joined))
+                _, path, noise, landmark, marks = stack[-1]
+                out.append((path, noise, landmark, joined, marks))
 
     def close(k: int) -> None:
         """Elements from place k on end; text of a block or of a marked part ends with them."""
-        if any(e[0] not in INLINE or (e[2] and not stack[k - 1][2]) for e in stack[k:]):
+        if any(e[0] not in INLINE or (noisy(e) and not noisy(stack[k - 1])) for e in stack[k:]):
             flush()
         del stack[k:]
 
@@ -123,7 +127,7 @@ def blocks(page: str) -> Iterator[tuple[str, bool, bool, str]]:
                     break
         if tag not in INLINE:
             flush()
-        _, path, noise, landmark = stack[-1]
+        _, path, noise, landmark, marks = stack[-1]
         words = ""
         if m[3] and not m[3].isspace():
             found = {}
@@ -131,16 +135,30 @@ def blocks(page: str) -> Iterator[tuple[str, bool, bool, str]]:
                 found.setdefault(a[1].lower(), a[2] or a[3] or a[4] or "")
             words = f"{found.get('class', '')} {found.get('id', '')}".lower()
             if tag not in UNJUDGED and not noise:
-                noise = "hidden" in found or found.get("role", "").lower() in NOISE_ROLES or not NOISE_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", words))
+                noise = "hidden" in found or found.get("role", "").lower() in NOISE_ROLES
+                if not noise and not NOISE_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", words)):
+                    marks, marked = (*marks, marked), marked + 1
         noise = noise or tag in NOISE_TAGS
-        if noise and not stack[-1][2] and tag in INLINE:
+        if (noise or marks) and not noisy(stack[-1]) and tag in INLINE:
             flush()
         style = tag + "".join(f".{w}" for w in sorted(set(words.split())))
-        stack.append((tag, f"{path}/{style}", noise, landmark or tag in LANDMARKS))
+        stack.append((tag, f"{path}/{style}", noise, landmark or tag in LANDMARKS, marks))
         if tag in RAW:
             raw = tag
     flush()
-    return iter(out)
+    layouts = frame(out) if marked else frozenset()
+    return iter([(path, noise or not layouts.issuperset(marks), landmark, t) for path, noise, landmark, t, marks in out])
+
+
+def frame(out: list[tuple[str, bool, bool, str, tuple[int, ...]]]) -> frozenset[int]:
+    """The marked elements that hold more than half of the page's text, and all of its landmarks' text."""
+    whole, own = [0, 0], {}
+    for _, noise, landmark, t, marks in out:
+        if not noise:
+            for total in (whole, *(own.setdefault(k, [0, 0]) for k in marks)):
+                total[0] += len(t)
+                total[1] += len(t) * landmark
+    return frozenset(k for k, (n, inside) in own.items() if 2 * n > whole[0] and inside == whole[1])
 
 
 def pick(found: list[tuple[str, bool, bool, str]], low: frozenset[str]) -> str:

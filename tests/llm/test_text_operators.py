@@ -471,3 +471,12 @@ def test_style_tree_removes_what_recurs(spark):
         assert got[k].text == f"{words(k)}\n{words(k + 100)}" and got[k].n_chars == len(got[k].text)
     assert got[20].text.startswith("Our shop") and got[21].text == "" and got[22].text == ""
     assert html_extract.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_marked_layouts_keep_their_article():
+    text = lambda page: html_extract.pick(list(html_extract.blocks(page)), frozenset())
+    for mark in ("class='layout has-sidebar'", "id='search-page'", "class='content no-sidebar'", "class='related-work'"):
+        assert text(f"<body><div {mark}><article><p>the whole story</p></article><div class=comments><article>so so, says one</article></div></div>") == "the whole story"
+        assert text(f"<body><div {mark}><p>a page without a landmark</p><div class=ad>buy</div></div><footer>f</footer>") == "a page without a landmark"
+    assert text("<body><article>short</article><div class=comments><article>a comment that is longer than it</article></div>") == "short"
+    assert text("<body><aside class=sidebar><article>teaser</article></aside><p>body") == "body"
