@@ -5,7 +5,9 @@ its texts recur over the host's pages (their entropy over the pages), an inner n
 presentations with what stands below; branches of low importance are removed from each page of the host.
 
 Marked parts are not left to statistics: navigation, forms, adverts, comments and the like go by their tag, role or class,
-and an ``article`` or ``main`` element is never judged noise, since copies of an article on one host look like a template.
+but for an element that is marked by class or id alone and holds most of the page: that is a layout. Within an ``article``
+or ``main`` element only leaves that recur much more are removed, and none where the whole element recurs on the host, since
+copies of an article on one host look like a template.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ RAW = frozenset("script style title textarea noscript iframe xmp noembed noframe
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br input".split())
 NOISE_TAGS = frozenset("nav header footer aside form script style noscript template iframe svg button select textarea head title dialog menu object canvas audio video map datalist option".split())
 LANDMARKS = frozenset(("article", "main"))
+#: A path's part down to its first landmark.
+LANDMARK = r"\A(.*?/(?:article|main)(?:\.[^/]*)?)(?:/|\z)"
 UNJUDGED = frozenset(("html", "body", "article", "main"))
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promoted comment comments respond disqus sidebar widget menu nav navbar navigation "
@@ -162,12 +166,11 @@ def frame(out: list[tuple[str, bool, bool, str, tuple[int, ...]]]) -> frozenset[
 
 
 def pick(found: list[tuple[str, bool, bool, str]], low: frozenset[str]) -> str:
-    """The blocks that stay: those of landmarks if the page has any, else those that aren't under a low branch."""
+    """The blocks that stay: those that aren't a low leaf, nor (outside landmarks) under a low branch, its path and a slash."""
     kept = [b for b in found if not b[1]]
-    if any(b[2] for b in kept):
-        kept = [b for b in kept if b[2]]
-    elif low:
-        kept = [b for b in kept if not any(b[0] == p or b[0].startswith(p + "/") for p in low)]
+    if low:
+        branches = tuple(p for p in low if p.endswith("/"))
+        kept = [b for b in kept if b[0] not in low and (b[2] or not f"{b[0]}/".startswith(branches))]
     return "\n".join(b[3] for b in kept)
 
 
@@ -176,11 +179,11 @@ def host(url):
 
 
 def style_tree(pages: DataFrame, gamma: float = 0.9) -> DataFrame:
-    """``host, path, pages, importance`` of the style nodes outside landmarks, over all pages.
+    """``host, path, leaf, pages, importance`` of the style nodes, over all pages.
 
     A leaf seen on m pages with texts that recur on c pages each has importance 1 - mean(log c / log m); an inner node has
     (1 - gamma) times the entropy of its presentations (the sets of styles below it) plus gamma times the mean importance
-    of the leaves below. What is seen on one page has importance 1.
+    of the leaves below. What is seen on one page has importance 1. Marked noise isn't in the tree.
     """
     names = ["host", "path", "mark"]
 
@@ -188,7 +191,7 @@ def style_tree(pages: DataFrame, gamma: float = 0.9) -> DataFrame:
         for b in batches:
             rows: list[tuple[str, str, int]] = []
             for name, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-                leaves = {(p, xxhash.xxh3_64_intdigest(t) >> 1) for p, _, landmark, t in blocks(page or "") if not landmark}
+                leaves = {(p, xxhash.xxh3_64_intdigest(t) >> 1) for p, noise, _, t in blocks(page or "") if not noise}
                 below: dict[str, set[str]] = {}
                 for p, _ in leaves:
                     parts = p.split("/")
@@ -199,30 +202,37 @@ def style_tree(pages: DataFrame, gamma: float = 0.9) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in zip(*rows, strict=True)], names)
 
-    marks = pages.select("host", "html").mapInArrow(run, "host string, path string, mark long").groupBy("host", "path", "mark").agg(F.count("*").alias("c"))
+    marks = cut(pages.select("host", "html").mapInArrow(run, "host string, path string, mark long").groupBy("host", "path", "mark").agg(F.count("*").alias("c")))
     leaf = marks.where("mark >= 0").groupBy("host", "path").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("h"))
     leaf = leaf.select("host", "path", "m", F.when(F.col("m") > 1, 1 - F.col("h") / F.col("m") / F.log("m")).otherwise(1.0).alias("content"))
     inner = marks.where("mark < 0").groupBy("host", "path").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("h"))
     # the entropy of presentations to the base m: log m - sum(c log c) / m, over log m
     inner = inner.select("host", "path", "m", F.when(F.col("m") > 1, 1 - F.col("h") / F.col("m") / F.log("m")).otherwise(1.0).alias("shape"))
     parts = F.split("path", "/")
-    above = leaf.select("host", "m", "content", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts) - 1, F.lit(2))), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("path"))
-    above = above.groupBy("host", "path").agg((F.sum(F.col("content") * F.col("m")) / F.sum("m")).alias("content"))
-    nodes = inner.join(above, ["host", "path"]).select("host", "path", F.col("m").alias("pages"), ((1 - gamma) * F.col("shape") + gamma * F.col("content")).alias("importance"))
-    return leaf.select("host", "path", F.col("m").alias("pages"), F.col("content").alias("importance")).unionByName(nodes)
+    above = leaf.select("host", "m", "content", F.regexp_extract("path", LANDMARK, 1).alias("top"), F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts) - 1, F.lit(2))), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("path"))
+    # a landmark counts for what is in it, not for what is around it
+    above = above.where((F.col("top") == "") | F.startswith("path", "top")).groupBy("host", "path").agg((F.sum(F.col("content") * F.col("m")) / F.sum("m")).alias("content"))
+    nodes = inner.join(above, ["host", "path"]).select("host", "path", F.lit(False).alias("leaf"), F.col("m").alias("pages"), ((1 - gamma) * F.col("shape") + gamma * F.col("content")).alias("importance"))
+    return leaf.select("host", "path", F.lit(True).alias("leaf"), F.col("m").alias("pages"), F.col("content").alias("importance")).unionByName(nodes)
 
 
-def extract_text(pages: DataFrame, least_importance: float = 0.35, least_pages: int = 4, few: int = 100_000) -> DataFrame:
+def extract_text(pages: DataFrame, least_importance: float = 0.35, least_pages: int = 4, few: int = 100_000, prior: float = 0.2) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``page_id, url, html``.
 
     Character references are decoded, white space within a block becomes one space, blocks are joined by a line feed. A
     null or empty page has the empty text; a null url belongs to the host without a name; repeated rows are each answered
     (and count as pages of their host); an empty table gives no rows; other columns are ignored. Style nodes of less than
-    ``least_importance`` that ``least_pages`` pages of a host have are removed. The list of such nodes is sent to every
-    task if there are at most ``few``, else joined by host.
+    ``least_importance`` that ``least_pages`` pages of a host have are removed. In an article or main element only leaves
+    are judged, with ``prior`` more importance, and not where the element itself has less than ``least_importance``. The
+    list of such nodes is sent to every task if there are at most ``few``, else joined by host.
     """
     named = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    low = style_tree(named).where((F.col("importance") < least_importance) & (F.col("pages") >= least_pages))
+    nodes = cut(style_tree(named).where((F.col("importance") < least_importance) & (F.col("pages") >= least_pages)).withColumn("top", F.regexp_extract("path", LANDMARK, 1)))
+    outside = nodes.where("top = ''").where(F.col("leaf") | ~F.substring_index("path", "/", -1).rlike(r"\A(html|body)(\.|\z)"))
+    outside = outside.select("host", F.when(F.col("leaf"), F.col("path")).otherwise(F.concat("path", F.lit("/"))).alias("path"))
+    copies = nodes.where("not leaf and path = top").select("host", "top")
+    inside = nodes.where("leaf and top not in ('', path)").where(F.col("importance") + prior < least_importance).join(copies, ["host", "top"], "left_anti")
+    low = outside.unionByName(inside.select("host", "path"))
     low = cut(low.groupBy("host").agg(F.collect_set("path").alias("low")))
     small = (low.agg(F.sum(F.size("low"))).first()[0] or 0) <= few
     joined = named.join(F.broadcast(low) if small else low, "host", "left").select("page_id", "url", "html", "low")

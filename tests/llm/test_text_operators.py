@@ -480,3 +480,15 @@ def test_marked_layouts_keep_their_article():
         assert text(f"<body><div {mark}><p>a page without a landmark</p><div class=ad>buy</div></div><footer>f</footer>") == "a page without a landmark"
     assert text("<body><article>short</article><div class=comments><article>a comment that is longer than it</article></div>") == "short"
     assert text("<body><aside class=sidebar><article>teaser</article></aside><p>body") == "body"
+
+
+def test_style_tree_judges_in_and_around_landmarks(spark):
+    words = lambda k: " ".join(f"{w}{k}" for w in ("alpha", "beta", "gamma"))
+    page = lambda k, story: f"<body>Welcome<div class=lead>lead {words(k)}</div><div class=wrap><b>Now</b><article><p>{story}</p><div class=note>We use sources.</div></article></div><div class=shop>Our shop</div>"
+    rows = [(k, f"http://h.org/{k}", page(k, words(k + 100))) for k in range(8)] + [(k, f"http://copies.org/{k}", page(k, "one story")) for k in range(20, 28)]
+    rows += [(40, "http://cards.org/", "<body><div class=text>the story</div><article>card</article>")]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(8):
+        assert got[k] == f"lead {words(k)}\n{words(k + 100)}"
+        assert got[k + 20] == f"lead {words(k + 20)}\none story\nWe use sources."
+    assert got[40] == "the story\ncard"
