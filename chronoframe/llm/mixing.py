@@ -50,11 +50,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, see
     ``size`` names a column that holds the number of words, else it is counted in ``text`` (null: 0). ``copies`` is how
     often the mix takes the document, at most ``cap`` times; 0 where it doesn't. Every run gives the same copies. A null
     source is a source of its own; empty documents take part with size 0; rows with equal ids are separate documents, and
-    equal rows are interchangeable; an empty table gives no rows. ``bucket_bits`` splits the cells of a source further
-    for larger tables; it doesn't change the result.
+    equal rows are interchangeable; rows with a null id are separate documents too and come last in their size class, in
+    the order of a hash of their text (of their size if there is no text); an empty table gives no rows. ``bucket_bits``
+    splits the cells of a source further for larger tables; it doesn't change the result.
     """
     words = F.col(size) if size else F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD))
-    d = docs.withColumn("_mx_size", words.cast("long")).withColumn("_mx_hash", hash32(F.col("doc_id")))
+    d = docs.withColumn("_mx_size", words.cast("long"))
+    # null ids get hashes beyond those of all ids, from what tells their rows apart
+    own = F.coalesce("text", F.lit("")) if "text" in docs.columns else F.col("_mx_size")
+    d = d.withColumn("_mx_hash", F.coalesce(hash32(F.col("doc_id")), hash32(own) + F.lit(1 << 32)))
     # octave and quarter of the size; exact in whole numbers
     bits = F.length(F.bin("_mx_size"))
     d = d.withColumn("_mx_class", F.when(F.col("_mx_size") == 0, F.lit(0).cast("long")).otherwise(bits * 8 + F.expr("_mx_size * 8 div shiftleft(1L, length(bin(_mx_size)))")))
@@ -66,7 +70,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, see
     facts = cells.join(targets, F.col("_mx_source").eqNullSafe(F.col("source"))).select(
         F.col("_mx_source").alias("s"), F.col("_mx_class").alias("c"), F.col("_mx_cell").alias("b"), "before", F.col("source_size").alias("_mx_ss"), F.col("target").alias("_mx_target")
     )
-    place = F.row_number().over(W.partitionBy("_mx_source", "_mx_class", "_mx_cell").orderBy("_mx_hash", "doc_id"))
+    place = F.row_number().over(W.partitionBy("_mx_source", "_mx_class", "_mx_cell").orderBy("_mx_hash", "doc_id", "_mx_size"))
     d = d.withColumn("_mx_place", place)
     d = d.join(facts, F.col("_mx_source").eqNullSafe(F.col("s")) & (F.col("_mx_class") == F.col("c")) & (F.col("_mx_cell") == F.col("b")))
     rate = F.when(F.col("_mx_ss") > 0, F.col("_mx_target") / F.col("_mx_ss")).otherwise(F.lit(0.0))

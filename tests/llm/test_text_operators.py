@@ -87,6 +87,22 @@ def test_mixing_against_resharing(spark, seed):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("text", [True, False])
+def test_mixing_keeps_null_ids(spark, text):
+    rnd = random.Random(4)
+    rows = [(None if i % 3 == 0 else i, " ".join(rnd.choices("vwxyz", k=rnd.choice([0, 5, 40]))), rnd.choice(["a", "b", None]), i) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, row int").withColumn("words", F.regexp_count("text", F.lit("[a-z]")))
+    df, size = (df, None) if text else (df.drop("text"), "words")
+    out = mixing.mix(df, size=size).collect()
+    assert sorted(r.row for r in out) == list(range(240))
+    for s in ("a", "b", None):
+        mine = [r for r in out if r.source == s]
+        assert sum(r.size for r in mine) == mine[0].source_size and abs(sum(r.size * r.copies for r in mine) - mine[0].target) <= 2 * 40
+    again = mixing.mix(df.repartition(7), size=size, bucket_bits=3).collect()
+    key = lambda rs: sorted((r.source or "", r.size, r.doc_id or -1, r.text if text else "", r.copies) for r in rs)
+    assert key(out) == key(again)
+
+
 # n-gram join and components
 
 
