@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -181,18 +184,30 @@ def resolve_entity_types(entities: DataFrame, bindings: DataFrame, orgs: DataFra
     return x.select(*entities.columns, kind.alias("resolved"))
 
 
-def timeline_tree(timelines: DataFrame, most_depth: int = 32) -> DataFrame:
-    """``video_id, timeline_id, depth, path``: children below parents, siblings by their order, as one recursive query."""
-    view = "_timelines_" + str(abs(hash(timelines.semanticHash())))
-    timelines.createOrReplaceTempView(view)
-    sql = f"""
-      WITH RECURSIVE tree(video_id, timeline_id, depth, path) MAX RECURSION LEVEL {most_depth} AS (
-        SELECT video_id, timeline_id, 0, array(struct(ord, timeline_id)) FROM {view} WHERE parent_id IS NULL
-        UNION ALL
-        SELECT t.video_id, t.timeline_id, p.depth + 1, concat(p.path, array(struct(t.ord, t.timeline_id)))
-        FROM {view} t JOIN tree p ON t.video_id = p.video_id AND t.parent_id = p.timeline_id)
-      SELECT video_id, timeline_id, depth, path FROM tree"""
-    return timelines.sparkSession.sql(sql)
+def timeline_tree(timelines: DataFrame) -> DataFrame:
+    """``video_id, timeline_id, depth, path``: children below parents, siblings by their order, whatever the rows or levels.
+
+    The tree is walked level by level with ordinary joins; each level is written to the folder that all executors share. A
+    row whose id its own path has already (ids that are used twice in a circle) isn't followed.
+    """
+    spark = timelines.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = tempfile.mkdtemp(prefix="chronoframe-")
+        spark.sparkContext.setCheckpointDir(base)
+    top, paths = f"{base.rstrip('/')}/tree-{uuid.uuid4().hex}", []
+    step = F.array(F.struct("ord", "timeline_id"))
+    level = timelines.where("parent_id is null").select("video_id", "timeline_id", F.lit(0).alias("depth"), step.alias("path"))
+    below = timelines.where("parent_id is not null").select("video_id", "timeline_id", F.col("parent_id").alias("_parent"), step.alias("_step"))
+    while True:
+        paths.append(f"{top}/{len(paths)}")
+        level.write.parquet(paths[-1])
+        last = spark.read.schema(level.schema).parquet(paths[-1])
+        if last.isEmpty():
+            return spark.read.schema(last.schema).parquet(*paths)
+        above = last.select("video_id", F.col("timeline_id").alias("_parent"), "depth", "path")
+        met = below.join(above, ["video_id", "_parent"]).where(~F.array_contains(F.col("path.timeline_id"), F.col("timeline_id")))
+        level = met.select("video_id", "timeline_id", (F.col("depth") + 1).alias("depth"), F.concat("path", "_step").alias("path"))
 
 
 def clone_videos(tables: dict[str, DataFrame], requests: DataFrame) -> dict[str, DataFrame]:

@@ -85,6 +85,20 @@ def test_sample_frames_and_thumbnails(spark):
     assert rows(both, "segment_id", "part", "time") == [(1, "end", 1.0), (1, "start", 0.0), (2, "end", 2.0), (2, "start", 1.5)]
 
 
+def test_timeline_tree_has_no_bound(spark):
+    t = table(spark, "video_id long, timeline_id long, parent_id long, ord int", *[(1, k, k - 1 if k else None, k % 3) for k in range(36)], (2, 7, None, 5), (2, 8, 7, 1), (2, 9, 7, 0), (3, 1, None, 0), (3, 1, 2, 0), (3, 2, 1, 0))
+    before = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "10")
+    try:
+        got = joins.timeline_tree(t).collect()
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", before)
+    path = {(r.video_id, r.timeline_id): (r.depth, [tuple(p) for p in r.path]) for r in got}
+    assert len(got) == 41 and path[1, 35] == (35, [(k % 3, k) for k in range(36)])
+    assert path[2, 8] == (1, [(5, 7), (1, 8)]) and path[2, 9] == (1, [(5, 7), (0, 9)]) and path[3, 2] == (1, [(0, 1), (0, 2)])
+    assert joins.timeline_tree(t.limit(0)).count() == 0
+
+
 def test_neighbours(spark):
     s = segs(spark, (0, 1), (1, 2), (1, 3), (5, 6))
     assert rows(joins.neighbours(s), "segment_id", "previous_id", "next_id")[1:3] == [(2, 1, 4), (3, 1, 4)]
