@@ -18,21 +18,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local session without one gets its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="chronoframe-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and read them back: computed once, and no lineage to lose."""
+def cut(df: DataFrame, into: list[str] | None = None) -> DataFrame:
+    """Write the rows to the shared folder and read them back: computed once, and no lineage to lose.
+
+    The folder's path is added to ``into``, for ``discard`` when nothing reads it any more.
+    """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if into is not None:
+        into.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def groups(texts: list[str | None], limit: int = GROUP_CHARS) -> Iterator[tuple[int, list[str]]]:
     """Consecutive groups of texts with their first index; null becomes the empty text."""
     first, now, size = 0, [], 0

@@ -5,21 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import cut
+from chronoframe.llm.common import cut, discard
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, into: list[str] | None = None) -> DataFrame:
     """``a, b`` → ``node, component``: the smallest node that each node of an edge can reach.
 
     Nulls and loops are left out, repeated edges count once; an empty table gives no rows. Every round first ties each
     node's larger neighbours, then its smaller ones, to its least neighbour; the rounds grow with the logarithm of the
-    longest path. Rows of a node with many neighbours meet in map-side minima and in joins that can be split.
+    longest path. Rows of a node with many neighbours meet in map-side minima and in joins that can be split. A round's
+    table is deleted when the next one is written; the last one's path is added to ``into``.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e, before = cut(e), None
+    paths: list[str] = []
+    e, before = cut(e, paths), None
     for _ in range(most_rounds):
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if not now.n or (now.n, now.h) == before:
+            if into is not None:
+                into += paths
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         before = (now.n, now.h)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -27,5 +31,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         near = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(near, "u")
-        e = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(near.select("u", "m")).distinct())
+        old, paths = paths, []
+        e = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(near.select("u", "m")).distinct(), paths)
+        discard(e.sparkSession, old)
     raise RuntimeError(f"components are not found after {most_rounds} rounds")
+
+
+def joined(tied: DataFrame, links: DataFrame, into: list[str] | None = None) -> DataFrame:
+    """``tied`` (``node, component``) after more links ``a, b``: only components that a link ties are worked on."""
+    own = lambda x: tied.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    ends = links.join(own("a"), "a", "left").join(own("b"), "b", "left")
+    ends = cut(ends.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")), into)
+    moved = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")), into=into)
+    nodes = tied.unionByName(ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ca").alias("component")), F.struct(F.col("b").alias("node"), F.col("cb").alias("component")))).alias("x")).select("x.*")).distinct()
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return cut(nodes.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")), into)

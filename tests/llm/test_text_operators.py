@@ -121,8 +121,15 @@ def brute_components(texts, k=5, percent=75):
     return [len(s) for s in sets], own
 
 
-@pytest.mark.parametrize("heavy", [2, 48])
-def test_similar_documents_against_all_pairs(spark, heavy):
+def assert_joined(spark, texts, **how):
+    n, own = brute_components(texts)
+    got = {r.doc_id: r for r in ngram_join.similar_documents(docs(spark, texts), **how).collect()}
+    assert [got[i].n_shingles for i in range(len(texts))] == n
+    assert [got[i].component for i in range(len(texts))] == own
+
+
+@pytest.mark.parametrize(("heavy", "long", "bits"), [(2, 2, 64), (48, 3, 6)])
+def test_similar_documents_against_all_pairs(spark, heavy, long, bits):
     rnd = random.Random(heavy)
     vocab = [f"w{i}" for i in range(60)]
     line = " ".join(rnd.choices(vocab, k=25))
@@ -136,10 +143,35 @@ def test_similar_documents_against_all_pairs(spark, heavy):
                 copy[rnd.randrange(len(copy))] = rnd.choice(vocab)
             texts.append(" ".join(copy).upper())
         texts.append(line + " " + " ".join(rnd.choices(vocab, k=rnd.choice([1, 4, 8, 30]))))
-    n, own = brute_components(texts)
-    got = {r.doc_id: r for r in ngram_join.similar_documents(docs(spark, texts), heavy_from=heavy, summary_size=512, block=4, broadcast_rows=3).collect()}
-    assert [got[i].n_shingles for i in range(len(texts))] == n
-    assert [got[i].component for i in range(len(texts))] == own
+    assert_joined(spark, texts, heavy_from=heavy, summary_size=512, block=4, broadcast_rows=3, long_from=long, key_bits=bits)
+
+
+@pytest.mark.parametrize("block", [7])
+def test_a_group_of_copies_that_are_partly_linked(spark, block):
+    rnd = random.Random(block)
+    base = [f"w{i}" for i in range(90)]
+    texts = []
+    for i in range(150):
+        copy = list(base)
+        for _ in range(rnd.choice([0, 1, 2, 3, 4, 5])):
+            copy[rnd.randrange(len(copy))] = f"x{rnd.randrange(10**6)}"
+        texts.append(" ".join(copy[: rnd.choice([70, 80, 90])] if i % 2 else copy))
+    assert_joined(spark, texts, block=block)
+
+
+def test_blocks_emit_pairs_of_different_components_once(spark):
+    rnd = random.Random(5)
+    base = np.array(sorted(rnd.sample(range(1 << 60), 200)), np.uint64)
+    rows = []
+    for i in range(60):
+        s = np.unique(np.concatenate([base[rnd.sample(range(200), 190)], np.array([rnd.randrange(1 << 60) for _ in range(10)], np.uint64)]))
+        rows.append((9, i, len(s), 0 if i < 40 else i, bytearray(ngram_join.bitmap(s, 4)), bytearray(ngram_join.prints_of(s, 75))))
+    df = spark.createDataFrame(rows, "group long, set long, n int, component long, bits binary, prints binary")
+    rows, marks = df.select("group", "set", "n", "component"), df.select("set", "bits", "prints")
+    got = {(r.a, r.b) for r in ngram_join._in_blocks(rows, marks, 75, 8, False).collect()}
+    assert got == {(a, b) for a in range(60) for b in range(40, 60) if a < b}
+    best = [(r.a, r.b) for r in ngram_join._in_blocks(rows, marks, 75, 512, True).collect()]
+    assert set(best) <= got and {x for p in best for x in p} >= set(range(40, 60)) and len(best) <= 120
 
 
 def test_similar_documents_empty(spark):
@@ -155,7 +187,8 @@ def test_signature_never_rules_out_a_link():
             other = np.unique(np.concatenate([base[cut:], np.array([rnd.randrange(1 << 60) for _ in range(cut // 3)], np.uint64)]))
             both = len(np.intersect1d(base, other))
             if 100 * both >= 75 * (len(base) + len(other) - both):
-                assert ngram_join.bits_agree(len(base), ngram_join.bitmap(base), len(other), ngram_join.bitmap(other), 75)
+                for wide in (1, 4):
+                    assert ngram_join.bits_agree(len(base), ngram_join.bitmap(base, wide), len(other), ngram_join.bitmap(other, wide), 75)
                 assert ngram_join.prints_meet(ngram_join.prints_of(base, 75), ngram_join.prints_of(other, 75))
 
 
