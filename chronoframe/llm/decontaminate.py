@@ -72,9 +72,9 @@ def grams(symbols: np.ndarray, q: int) -> np.ndarray:
 
 @dataclass
 class Items:
-    """A block of items: q-grams in order with the items and places they come from, and each item's edit budget."""
+    """A block of distinct items: q-grams in order with the items and places they come from, and each item's edit budget."""
 
-    ids: list
+    ids: list[list]
     symbols: list[np.ndarray]
     edits: np.ndarray
     bound: np.ndarray
@@ -84,24 +84,36 @@ class Items:
     first: np.ndarray
 
 
-def index_items(rows: list[tuple], q: int, rate: float, normal: Normal) -> Items:
-    """Items of fewer than q symbols are no evidence and are left out."""
-    ids, symbols = [], []
+def index_items(rows: list[tuple], q: int, rate: float, normal: Normal, common: int = 32, spare: int = 8) -> Items:
+    """Items of fewer than q symbols are no evidence and are left out; items of the same symbols are searched once.
+
+    k edits spoil at most k q of an item's q-grams, whichever are looked up. So those that stand at more than ``common``
+    places of the items are left out, the most frequent first, while k q + ``spare`` stay; the bound falls with them.
+    """
+    same: dict[bytes, list] = {}
     for i, text in rows:
         s = normal.of([text or ""])[0][1:]
         s = s[:-1] if len(s) and s[-1] == 32 else s
         if len(s) >= q:
-            ids.append(i)
-            symbols.append(s)
+            same.setdefault(s.tobytes(), [s, []])[1].append(i)
+    symbols, ids = [s for s, _ in same.values()], [i for _, i in same.values()]
     m = np.array([len(s) for s in symbols], np.int64)
     edits = np.minimum((m * rate).astype(np.int64), np.maximum(0, (m - q) // q))
     gram = np.concatenate([grams(s, q) for s in symbols]) if ids else np.zeros(0, U)
     item = np.repeat(np.arange(len(ids)), m - q + 1)
     at = np.concatenate([np.arange(n - q + 1) for n in m]) if ids else np.zeros(0, np.int64)
+    _, which, count = np.unique(gram, return_inverse=True, return_counts=True)
+    often = count[which] if ids else np.zeros(0, np.int64)
+    order = np.lexsort((at, often, item))
+    gram, item, at, often = gram[order], item[order], at[order], often[order]
+    rank = np.arange(len(item)) - np.repeat(np.cumsum(m - q + 1) - (m - q + 1), m - q + 1)
+    keep = (often <= common) | (rank < (edits * q + spare)[item])
+    gram, item, at = gram[keep], item[keep], at[keep]
     order = np.argsort(gram, kind="stable")
+    held = np.bincount(item, minlength=len(ids))
     gram, item, at = gram[order], item[order], at[order]
     value, first = np.unique(gram, return_index=True)
-    return Items(ids, symbols, edits, m - q + 1 - edits * q, value, item, at, np.append(first, len(gram)))
+    return Items(ids, symbols, edits, held - edits * q, value, item, at, np.append(first, len(gram)))
 
 
 def align(item: np.ndarray, text: np.ndarray, low: int, width: int, most: int) -> tuple[int, int, int] | None:
@@ -144,6 +156,32 @@ def exact(item: np.ndarray, text: np.ndarray, low: int, width: int) -> tuple[int
     return None
 
 
+def bands(hit: np.ndarray, k: np.ndarray, items: Items, zero: int, most: int = 2_000_000) -> Iterator[tuple[int, int, int]]:
+    """(item, band, shared q-grams) of the bands that meet their item's bound, for q-grams k of the items at places ``hit``.
+
+    Bands of 2 (e + 1) diagonals begin every e + 1, for an item's budget of e: any e + 1 neighbouring diagonals lie within
+    one. About ``most`` shared grams are held at a time: a band is judged when the text is past it.
+    """
+    n = items.first[k + 1] - items.first[k]
+    whole, size = np.cumsum(n), 2 * zero
+    length = np.array([len(x) for x in items.symbols])
+    key, count, begin = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    while begin < len(hit):
+        end = max(begin + 1, int(np.searchsorted(whole, (whole[begin - 1] if begin else 0) + most, "right")))
+        here, of = n[begin:end], k[begin:end]
+        entry = np.repeat(items.first[of] - np.cumsum(here) + here, here) + np.arange(here.sum())
+        pos, item = np.repeat(hit[begin:end], here), items.item[entry]
+        band = item * size + (pos - items.at[entry] + zero) // (items.edits[item] + 1)
+        key, to = np.unique(np.concatenate([key, band, band - 1]), return_inverse=True)
+        count = np.bincount(to, np.concatenate([count, np.ones(2 * len(band), np.int64)])).astype(np.int64)
+        item = key // size
+        over = key % size * (items.edits[item] + 1) - zero + 2 * (items.edits[item] + 1) + length[item]
+        past = over < hit[end] if end < len(hit) else np.ones(len(key), bool)
+        good = past & (count >= items.bound[item])
+        yield from zip((key[good] // size).tolist(), (key[good] % size).tolist(), count[good].tolist(), strict=True)
+        key, count, begin = key[~past], count[~past], end
+
+
 def search(texts: list[str], items: Items, q: int, normal: Normal, bits: np.ndarray) -> list[tuple]:
     """(text, item, start, end, edits, shared q-grams) of every verified region; offsets in code points of the text."""
     symbols, place, own = normal.of(texts)
@@ -155,20 +193,10 @@ def search(texts: list[str], items: Items, q: int, normal: Normal, bits: np.ndar
     hit, k = hit[real], k[real]
     if not len(hit):
         return []
-    n = items.first[k + 1] - items.first[k]
-    entry = np.repeat(items.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
-    pos, item, at = np.repeat(hit, n), items.item[entry], items.at[entry]
-    # bands of 2 (k + 1) diagonals every k + 1: any k + 1 neighbouring diagonals lie within one
-    step = items.edits[item] + 1
     zero = len(symbols) + 3 * max(len(x) for x in items.symbols) + 3
-    band = (pos - at + zero) // step
-    size = 2 * zero
-    key = np.concatenate([item * size + band, item * size + band - 1])
-    found, where, count = np.unique(key, return_index=True, return_counts=True)
     out: dict[tuple, tuple] = {}
     ends = np.append(own[1:], len(symbols))
-    for f, c in zip(found[(m := count >= items.bound[found // size])], count[m], strict=True):
-        i, b = int(f // size), int(f % size)
+    for i, b, c in bands(hit, k, items, zero):
         w = int(items.edits[i]) + 1
         low, most, word = b * w - zero, int(items.edits[i]), items.symbols[i]
         for t in {int(x) for x in np.searchsorted(own, [max(low, 0), max(low, 0) + 2 * w, low + len(word)], "right") - 1 if x >= 0}:
@@ -181,8 +209,8 @@ def search(texts: list[str], items: Items, q: int, normal: Normal, bits: np.ndar
                 first, last = int(place[begin + s]), int(place[begin + min(x, len(text)) - 1]) + 1
                 old = out.get((t, i, first))
                 if old is None or e < old[4]:
-                    out[(t, i, first)] = (t, items.ids[i], first, last, e, int(c))
-    return list(out.values())
+                    out[(t, i, first)] = (t, i, first, last, e, c)
+    return [(t, one, *rest) for t, i, *rest in out.values() for one in items.ids[i]]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", q: int = 10, rate: float = 0.06, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -190,7 +218,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item:
 
     Texts are compared as lower-case letters and digits with single gaps, so case, punctuation and white space don't
     matter. Null and empty texts have no passages; items that are null or shorter than q symbols are no evidence; repeated
-    documents and items are each reported; one region may be reported for several items, and once per start; an empty
+    documents and items are each reported; ``shared`` counts those q-grams of an item that are looked up; one region may be reported for several items, and once per start; an empty
     table on either side gives no rows; other columns are ignored.
 
     The items are the stated query set: they are read in blocks of at most ``block_chars`` characters (plus one item), so
