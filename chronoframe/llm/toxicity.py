@@ -145,7 +145,7 @@ def label_tokens(docs: list[list[str]], toxic: list[int], ratio: float = 20.0, l
 
 
 def train(texts: list[str], toxic: list[int], window: int = 48, most_windows: int = 24_000, epochs: int = 4, seed: int = 5) -> Field:
-    """The field and the document score, from whole labelled texts. Needs both labels; else every score is the base rate's."""
+    """The field and the document score, from whole labelled texts. Needs both labels; else every text gets the same low score."""
     model = Field()
     distinct = list(dict.fromkeys(zip(texts, toxic, strict=True)))
     docs, y = [list(map(sys.intern, TOKEN.findall(t.lower()))) for t, _ in distinct], [v for _, v in distinct]
@@ -256,11 +256,18 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 2500, mo
     return train([r.text for r in got], [r._tx_label for r in got])
 
 
+def places(text: str, low: str):
+    """From places of the lower-cased text to those of the text; a few letters become two."""
+    if len(text) == len(low):
+        return int
+    begins = np.cumsum([0, *[len(c.lower()) for c in text]])
+    return lambda k: int(np.searchsorted(begins, k, "right")) - 1
+
+
 def tag_toxicity(docs: DataFrame, model: Field, key: str | None = "doc_id", threshold: float = 0.5) -> DataFrame:
     """``key, score, spans`` for every row, from the whole ``text`` alone.
 
-    ``spans`` are (start, end, p) of runs of tokens whose marginal is over ``threshold``, in code points of the text
-    lower-cased as Python does it. An empty or null text has no token and the score of a text without toxic signs;
+    ``spans`` are (start, end, p) of runs of tokens whose marginal is over ``threshold``, in code points of the text. An empty or null text has no token and the score of a text without toxic signs;
     repeated rows are each answered; an empty table gives no rows. Other columns are ignored, or with no ``key`` kept as
     they are (but for columns that have the names of the two new ones).
     """
@@ -274,19 +281,21 @@ def tag_toxicity(docs: DataFrame, model: Field, key: str | None = "doc_id", thre
         for b in batches:
             scores, spans = [], []
             for _, texts in groups(b.column("text").to_pylist()):
-                low = [t.lower() for t in texts]
-                for text, p in zip(low, tagger.tag_words([TOKEN.findall(t) for t in low]), strict=True):
+                lows = [t.lower() for t in texts]
+                for text, low, p in zip(texts, lows, tagger.tag_words([TOKEN.findall(t) for t in lows]), strict=True):
                     scores.append(tagger.score(p))
                     found: list[dict] = []
                     if len(p) and p.max() > threshold:
                         last = -2
                         hot = set(np.flatnonzero(p > threshold).tolist())
-                        for k, m in enumerate(TOKEN.finditer(text)):
+                        place = places(text, low)
+                        for k, m in enumerate(TOKEN.finditer(low)):
                             if k in hot:
+                                start, end = place(m.start()), place(m.end() - 1) + 1
                                 if last == k - 1:
-                                    found[-1]["end"], found[-1]["p"] = m.end(), max(found[-1]["p"], float(p[k]))
+                                    found[-1]["end"], found[-1]["p"] = end, max(found[-1]["p"], float(p[k]))
                                 else:
-                                    found.append({"start": m.start(), "end": m.end(), "p": float(p[k])})
+                                    found.append({"start": start, "end": end, "p": float(p[k])})
                                 last = k
                     spans.append(found)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(scores, pa.float64()), pa.array(spans, span)], [*names, "score", "spans"])
@@ -309,4 +318,5 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= REJECT).cast("int").alias("predicted"),
         F.size("spans").alias("n_spans"),
+        "spans",
     )
