@@ -17,10 +17,10 @@ PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "va
 
 
 def canonical_url(url: Column) -> Column:
-    """Scheme, ``www.``, default port and fragment are dropped, the host is lower-cased, query parts are sorted, a closing slash goes."""
+    """Scheme, ``www.``, the scheme's default port and fragment are dropped, the host is lower-cased, query parts are sorted, a closing slash goes."""
     u = F.regexp_replace(F.trim(url), r"#.*\z", "")
-    u = F.regexp_replace(u, r"(?i)\Ahttps?://", "")
-    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(u, r"\A[^/?]*", 0)), r":(?:80|443)\z", ""), r"\Awww\.", "")
+    u = F.regexp_replace(u, r"(?i)\A(?:http://([^/?]*):80|https://([^/?]*):443|https?://([^/?]*))(?=[/?]|\z)", "$1$2$3")
+    host = F.regexp_replace(F.lower(F.regexp_extract(u, r"\A[^/?]*", 0)), r"\Awww\.", "")
     path = F.regexp_replace(F.regexp_extract(u, r"\A[^/?]*([^?]*)", 1), r"/+\z", "")
     query = F.regexp_extract(u, r"\?(.*)\z", 1)
     return F.concat(host, path, F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), F.array_join(F.array_sort(F.split(query, "&")), "&"))))
@@ -76,23 +76,24 @@ def resolve_revisits(records: DataFrame, stretch_s: int = 21_600) -> DataFrame:
 def page_records(pages: DataFrame) -> DataFrame:
     """Capture records derived from ``pages``: each page is a response and, later, a revisit.
 
-    Pages that stand for one address (host and the page's number modulo 50) are captures of it. The response's etag is a
-    digest of the page; a revisit repeats the etag of the capture before it, another one, or none, in turn.
+    Pages that stand for one address (host and the page's number modulo 50) are captures of it. Validators come from the
+    page's digest; a revisit sends those of its own page, so that they agree with the capture before it only if that has
+    the same content. By turns an etag stands for changed content, or a validator is missing on one side.
     """
     host = F.regexp_extract(F.coalesce("url", F.lit("")), r"\Ahttps?://([^/?#]*)", 1)
     number = (F.col("page_id") % 50).cast("string")
     url, other = F.concat(F.lit("https://"), host, F.lit("/"), number, F.lit("/?b=2&a=1#top")), F.concat(F.lit("HTTP://"), F.upper(host), F.lit("/"), number, F.lit("?a=1&b=2"))
     base = pages.select("page_id", url.alias("url"), other.alias("other"), F.md5(F.coalesce("html", F.lit(""))).alias("digest"))
     ts = F.col("page_id") * 60
-    own = F.substring("digest", 1, 16)
+    own, changed, time = F.substring("digest", 1, 16), F.substring("digest", 17, 16), F.concat(F.lit("t"), F.substring("digest", 1, 2))
     response = base.select(
         (F.col("page_id") * 2).alias("record_id"), "url", ts.alias("ts"), F.lit("response").alias("kind"), F.when(F.col("page_id") % 11 == 0, 503).otherwise(200).alias("status"),
-        F.when(F.col("page_id") % 7 != 0, F.lit("v1")).alias("etag"), F.when(F.col("page_id") % 5 != 0, F.lit("t1")).alias("last_modified"),
-        F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("etag"), F.lit("v1"), F.lit("x-digest"), own).alias("headers"),
+        F.when(F.col("page_id") % 7 != 0, own).alias("etag"), F.when(F.col("page_id") % 5 != 0, time).alias("last_modified"),
+        F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("etag"), own, F.lit("x-page"), F.col("page_id").cast("string")).alias("headers"),
     )
     revisit = base.select(
         (F.col("page_id") * 2 + 1).alias("record_id"), F.col("other").alias("url"), (ts + 3600).alias("ts"), F.lit("revisit").alias("kind"), F.lit(304).alias("status"),
-        F.when(F.col("page_id") % 3 == 0, F.lit("v1")).when(F.col("page_id") % 3 == 1, F.lit("v2")).alias("etag"), F.when(F.col("page_id") % 4 != 0, F.lit("t1")).alias("last_modified"),
+        F.when(F.col("page_id") % 5 < 3, own).when(F.col("page_id") % 5 == 3, changed).alias("etag"), F.when(F.col("page_id") % 4 != 0, time).alias("last_modified"),
         F.create_map(F.lit("date"), (ts + 3600).cast("string"), F.lit("set-cookie"), F.lit("no")).alias("headers"),
     )
     return response.unionByName(revisit)
@@ -106,16 +107,16 @@ def op7_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH base AS (
-  SELECT page_id, regexp_replace(regexp_replace(lower(regexp_extract(coalesce(url, ''), '^https?://([^/?#]*)', 1)), ':(80|443)$', ''), '^www\.', '')
-    || '/' || (page_id % 50) || '?a=1&b=2' AS k, md5(coalesce(html, '')) AS digest FROM pages
+  SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^https?://([^/?#]*)', 1)) AS host, '/' || (page_id % 50) || '?a=1&b=2' AS rest,
+    substr(md5(coalesce(html, '')), 1, 16) AS own, substr(md5(coalesce(html, '')), 17, 16) AS changed, 't' || substr(md5(coalesce(html, '')), 1, 2) AS time FROM pages
 ), response AS (
-  SELECT page_id * 2 AS record_id, k AS r_k, page_id * 60 AS ts, page_id % 11 <> 0 AS ok,
-    CASE WHEN page_id % 7 <> 0 THEN 'v1' END AS etag, CASE WHEN page_id % 5 <> 0 THEN 't1' END AS lm, substr(digest, 1, 16) AS own FROM base
+  SELECT page_id, page_id * 2 AS record_id, regexp_replace(regexp_replace(host, ':443$', ''), '^www\.', '') || rest AS r_k, page_id * 60 AS ts, page_id % 11 <> 0 AS ok,
+    CASE WHEN page_id % 7 <> 0 THEN own END AS etag, CASE WHEN page_id % 5 <> 0 THEN time END AS lm, own FROM base
 ), revisit AS (
-  SELECT page_id * 2 + 1 AS record_id, k, page_id * 60 + 3600 AS ts,
-    CASE page_id % 3 WHEN 0 THEN 'v1' WHEN 1 THEN 'v2' END AS etag, CASE WHEN page_id % 4 <> 0 THEN 't1' END AS lm FROM base
+  SELECT page_id * 2 + 1 AS record_id, regexp_replace(regexp_replace(host, ':80$', ''), '^www\.', '') || rest AS k, page_id * 60 + 3600 AS ts,
+    CASE WHEN page_id % 5 < 3 THEN own WHEN page_id % 5 = 3 THEN changed END AS etag, CASE WHEN page_id % 4 <> 0 THEN time END AS lm FROM base
 ), found AS (
-  SELECT v.*, r.record_id AS target_id, r.ts AS target_ts, r.etag AS r_etag, r.lm AS r_lm, r.own,
+  SELECT v.*, r.record_id AS target_id, r.ts AS target_ts, r.etag AS r_etag, r.lm AS r_lm, r.own, r.page_id AS r_page,
     row_number() OVER (PARTITION BY v.record_id ORDER BY r.ts DESC, r.record_id DESC) AS n
   FROM revisit v LEFT JOIN response r ON v.k = r.r_k AND r.ok AND (r.ts < v.ts OR (r.ts = v.ts AND r.record_id < v.record_id))
 ), judged AS (
@@ -125,6 +126,6 @@ WITH base AS (
   FROM found WHERE n = 1
 )
 SELECT record_id, k AS url_key, ts, outcome, target_id, target_ts,
-  CASE WHEN outcome = 'resolved' THEN 'content-type=text/html;date=' || ts || ';etag=v1;x-digest=' || own ELSE 'date=' || ts || ';set-cookie=no' END AS headers
+  CASE WHEN outcome = 'resolved' THEN 'content-type=text/html;date=' || ts || ';etag=' || own || ';x-page=' || r_page ELSE 'date=' || ts || ';set-cookie=no' END AS headers
 FROM judged
 """
