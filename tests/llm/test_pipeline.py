@@ -90,3 +90,15 @@ def test_run_gives_the_stages_rows(spark, corpus):
     again = corpus_pipeline.run(spark, folder)
     key = lambda df: sorted((r.doc_id, r.copy) for r in df.collect())
     assert key(out) == key(again) and out.count() > 0
+
+
+def test_near_copies_judge_rows_of_one_id_by_their_texts(spark, corpus):
+    folder, _ = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(1, a, "s"), (2, a, "t"), (2, b, "t"), (3, b, "u"), (None, b, "v"), (4, None, "w"), (4, None, "w"), (5, "", "w"), (6, "alone here", "x"), (6, "alone here", "y")]
+    df = spark.createDataFrame([(i, t, None, s, 0) for i, t, s in rows], docs.schema)
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in corpus_pipeline.near_copies(spark, df, folder).collect())
+    assert got == [(-1, b), (1, a), (4, ""), (5, ""), (6, "alone here")]
+    for _, stage in corpus_pipeline.STAGES[2:4]:
+        assert stage(spark, df.limit(0), folder).count() == 0

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from re import _constants as sre
 from re import _parser as sre_parser
@@ -541,3 +542,57 @@ def test_style_tree_judges_in_and_around_landmarks(spark):
         assert got[k] == f"lead {words(k)}\n{words(k + 100)}"
         assert got[k + 20] == f"lead {words(k + 20)}\none story\nWe use sources."
     assert got[40] == "the story\ncard"
+
+
+def test_items_with_one_stem_against_a_text_that_repeats_it(spark):
+    rnd = random.Random(6)
+    stem = "which of the following is true about "
+    items = [stem + "".join(rnd.choices("abcdefghij klmno", k=60)) for _ in range(1000)]
+    normal = decontaminate.Normal()
+    held = decontaminate.index_items(list(enumerate(items)), 10, 0.06, normal)
+    bits = np.zeros(1 << decontaminate.FILTER_BITS, bool)
+    bits[(held.gram >> np.uint64(64 - decontaminate.FILTER_BITS)).astype(np.int64)] = True
+    begin = time.time()
+    got = decontaminate.search([stem * 3000 + items[7] + " " + stem * 50, items[8][:40] + "x" + items[8][40:]], held, 10, normal, bits)
+    assert {(t, i) for t, i, *_ in got} == {(0, 7), (1, 8)} and time.time() - begin < 20
+
+
+def test_chunks_of_shared_grams_and_equal_items(monkeypatch):
+    normal = decontaminate.Normal()
+    rnd = random.Random(8)
+    prose = lambda n: "".join(rnd.choices("abcdefgh  ", k=n))
+    items = [(i, prose(80)) for i in range(40)] + [(90, None), (91, "short")]
+    items += [(100, items[3][1]), (101, items[3][1].upper())]
+    held = decontaminate.index_items(items, 10, 0.06, normal)
+    bits = np.ones(1 << decontaminate.FILTER_BITS, bool)
+    text = prose(300) + items[3][1] + prose(200) + items[5][1][:50] + "zz" + items[5][1][50:] + prose(10)
+    whole = sorted(decontaminate.search([text, text], held, 10, normal, bits))
+    monkeypatch.setattr(decontaminate.bands, "__defaults__", (5,))
+    assert sorted(decontaminate.search([text, text], held, 10, normal, bits)) == whole
+    assert {(t, i) for t, i, *_ in whole} == {(t, i) for t in (0, 1) for i in (3, 100, 101, 5)}
+
+
+def test_toxic_spans_are_places_of_the_text():
+    text = "İİ ab İx"
+    low = text.lower()
+    place = toxicity.places(text, low)
+    assert len(low) > len(text) and [text[place(k)] for k in (low.index("a"), low.index("x"))] == ["a", "x"]
+    assert toxicity.places("ab", "ab")(1) == 1
+
+
+def test_machine_tells_the_turn_it_refuses(spark):
+    rows = [(1, 0, "user"), (1, 1, "assistant"), (2, 0, "user"), (2, 1, "user"), (2, 2, "assistant"), (3, 0, None), (4, 0, "user"), (5, 0, "system"), (5, 1, "user"), (5, 2, "assistant"), (5, 3, "tool"), (5, 4, "assistant")]
+    chats = chat_format.format_chats(spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn int, role string, text string"))
+    assert {(r.conv_id, r.valid, r.refused_at) for r in chats.collect()} == {(1, True, None), (2, False, 2), (3, False, 1), (4, False, None), (5, True, None)}
+    plan = op9_plan(spark)
+    assert "briefed" in plan and "Python" not in plan
+
+
+def op9_plan(spark):
+    return chat_format.op9_chat_formatting(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_canonical_ports(spark):
+    urls = ["http://A.org:80/x/", "https://a.org:443/x", "http://a.org:443/x", "https://www.a.org:80?b=1&a=2#f", "a.org"]
+    got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(warc_revisit.canonical_url(F.col("u"))).collect()]
+    assert got == ["a.org/x", "a.org/x", "a.org:443/x", "a.org:80?a=2&b=1", "a.org"]
