@@ -17,7 +17,7 @@ FEW_IDS = 2_000_000
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is at least REJECT go."""
+    """Documents whose toxicity score is at least REJECT go; a null or empty text has no toxic word and stays. Repeated rows are judged alike."""
     model = learn_toxicity(docs, table(spark, sf_dir, "labels").where(crc_mod("doc_id", 3) != 1))
     return tag_toxicity(docs, model, key=None).where(F.col("score") < REJECT).select(*docs.columns)
 
@@ -31,19 +31,32 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id stays of each group that similarity ties together."""
-    losers = cut(similar_documents(docs).where(F.col("component") != F.col("doc_id")).select("doc_id"))
-    few = losers.count() <= FEW_IDS
-    return docs.join(F.broadcast(losers) if few else losers, "doc_id", "left_anti").select(*docs.columns)
+    """One document stays of each group that similarity ties together: that of the least id, then the least text hash.
+
+    A document is known by its id and its text's hash, so of an id with several texts each is judged by itself; null ids
+    come first. Rows with the same id and text are one document, of which one row stays. Documents without words stay.
+    """
+    text_hash = F.xxhash64("text")
+    key = F.struct("doc_id", text_hash.alias("hash"))
+    found = similar_documents(docs.select(key.alias("key"), "text"), key="key")
+    out = cut(found.groupBy("key").agg(F.count("*").alias("rows"), F.max(F.col("component") != F.col("key")).alias("loses")).where("loses or rows > 1"))
+    out = out.select(F.col("key.doc_id").alias("_id"), F.col("key.hash").alias("_hash"), "loses")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_hash == F.col("_hash"))
+    known = F.broadcast(out) if out.count() <= FEW_IDS else out
+    again = out.where("not loses")
+    kept = docs.join(known, same, "left_anti")
+    if again.take(1):  # repeated rows
+        kept = kept.unionByName(docs.join(F.broadcast(again) if again.count() <= FEW_IDS else again, same).dropDuplicates(["_id", "_hash"]).select(*docs.columns))
+    return kept
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Documents that hold a passage of the benchmark go; a null or empty text stays, and without items all do. Repeated rows are judged alike."""
     return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it, columns as ``emit`` says; a null source is one of its own, an empty text adds nothing."""
     return emit(mix(docs))
 
 
