@@ -6,11 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Python strings are handled in groups of at most so many characters (one text may exceed it alone).
-GROUP_CHARS = 1_500_000
+#: Python strings are handled in groups of at most so many bytes (one text may exceed it alone), and of so many texts.
+GROUP_BYTES, GROUP_TEXTS = 500_000, 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,18 +50,15 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def groups(texts: list[str | None], limit: int = GROUP_CHARS) -> Iterator[tuple[int, list[str]]]:
-    """Consecutive groups of texts with their first index; null becomes the empty text."""
-    first, now, size = 0, [], 0
-    for i, text in enumerate(texts):
-        text = text or ""
-        if now and size + len(text) > limit:
-            yield first, now
-            first, now, size = i, [], 0
-        now.append(text)
-        size += len(text) + 1
-    if now:
-        yield first, now
+def groups(texts: pa.Array, most_bytes: int = GROUP_BYTES, most_texts: int = GROUP_TEXTS) -> Iterator[tuple[int, list[str]]]:
+    """Consecutive groups of a column's texts with their first index; null becomes the empty text."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).tolist()
+    first, size = 0, 0
+    for i, n in enumerate([*sizes, 0]):
+        if i > first and (i == len(sizes) or size + n > most_bytes or i - first == most_texts):
+            yield first, [t or "" for t in texts.slice(first, i - first).to_pylist()]
+            first, size = i, 0
+        size += n
 
 
 def crc_mod(column: str, n: int):

@@ -259,7 +259,7 @@ def _searched(batches: Iterator[pa.RecordBatch], items: Items, q: int) -> Iterat
     normal, bits = Normal(), np.zeros(1 << FILTER_BITS, bool)
     bits[(items.gram >> U(64 - FILTER_BITS)).astype(np.int64)] = True
     for b in batches:
-        for first, texts in groups(b.column("text").to_pylist()):
+        for first, texts in groups(b.column("text")):
             yield b, first, search(texts, items, q, normal, bits) if items.ids else []
 
 

@@ -119,7 +119,7 @@ def learn_prototypes(docs: DataFrame, per_lang: int = 2000, dim: int = 1024, n:
         space, total = Space(dim, n), {}
         for b in batches:
             langs = b.column("lang").to_pylist()
-            for first, texts in groups(b.column("text").to_pylist()):
+            for first, texts in groups(b.column("text")):
                 units, _ = space.units(texts)
                 whole = np.rint(units * UNIT).astype(np.int64)
                 for lang in set(langs[first : first + len(texts)]):
@@ -154,7 +154,7 @@ def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray], key: st
         space = Space(m.shape[1], n)
         for b in batches:
             pred, score = [], []
-            for _, texts in groups(b.column("text").to_pylist()):
+            for _, texts in groups(b.column("text")):
                 if not names:
                     pred += ["und"] * len(texts)
                     score += [0.0] * len(texts)

@@ -103,7 +103,7 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", rules: list[Rule] = RULE
         scanner = Scanner(rules)
         for b in batches:
             n_words, base, found, score = [], [], [], []
-            for _, texts in groups(b.column("text").to_pylist()):
+            for _, texts in groups(b.column("text")):
                 for text in texts:
                     n, places = base_places(text)
                     hits = scanner.scan(text)

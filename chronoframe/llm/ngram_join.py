@@ -160,7 +160,7 @@ def each_set(docs: DataFrame, key: str, k: int, make, out: str) -> DataFrame:
         def sets():
             for b in batches:
                 ids = b.column(key)
-                for first, texts in groups(b.column("text").to_pylist()):
+                for first, texts in groups(b.column("text")):
                     yield ids.slice(first, len(texts)), shingle_sets(texts, k)
 
         yield from make(sets())

@@ -280,7 +280,7 @@ def tag_toxicity(docs: DataFrame, model: Field, key: str | None = "doc_id", thre
         tagger = Tagger(held.value)
         for b in batches:
             scores, spans = [], []
-            for _, texts in groups(b.column("text").to_pylist()):
+            for _, texts in groups(b.column("text")):
                 lows = [t.lower() for t in texts]
                 for text, low, p in zip(texts, lows, tagger.tag_words([TOKEN.findall(t) for t in lows]), strict=True):
                     scores.append(tagger.score(p))
