@@ -73,18 +73,18 @@ def iso_time(sec: Column, loc: str = "en", pad: bool = True) -> Column:
 
 
 def timecode(sec: Column, digits: int = 3) -> Column:
+    """hh:mm:ss and the rest, rounded to so many digits (which can give one digit more, as in 00:00:00.1000)."""
     whole = F.floor(sec).cast("long")
-    part = F.floor((sec - whole) * 10**digits).cast("long").cast("string")
+    part = F.floor((sec - whole) * 10**digits + 0.5).cast("long").cast("string")
     hms = F.format_string("%02d:%02d:%02d", F.floor(whole / 3600).cast("long"), F.floor(whole / 60).cast("long") % 60, whole % 60)
-    return hms if not digits else F.concat(hms, F.lit("."), F.lpad(part, digits, "0"))
+    return hms if not digits else F.concat(hms, F.lit("."), F.when(F.length(part) < digits, F.lpad(part, digits, "0")).otherwise(part))
 
 
 def display_time(sec: Column) -> Column:
+    """Hours, minutes and seconds in words; what is zero is left out, and a space stays behind hours and minutes."""
     whole = F.floor(sec).cast("long")
     h, m, s = F.floor(whole / 3600).cast("long"), F.floor(whole / 60).cast("long") % 60, whole % 60
-    return F.when(h > 0, F.concat_ws(" ", h.cast("string"), F.lit("h"), m.cast("string"), F.lit("min"), s.cast("string"), F.lit("sec"))).when(
-        m > 0, F.concat_ws(" ", m.cast("string"), F.lit("min"), s.cast("string"), F.lit("sec"))
-    ).otherwise(F.concat_ws(" ", s.cast("string"), F.lit("sec")))
+    return F.concat(*[F.when(n > 0, F.concat(n.cast("string"), F.lit(unit))).otherwise("") for n, unit in ((h, " h "), (m, " min "), (s, " sec"))])
 
 
 def _hex2(c: Column) -> Column:
@@ -96,7 +96,7 @@ def rgb_to_hex(r: Column, g: Column, b: Column) -> Column:
 
 
 def prob_to_hex(p: Column, active=(159, 39, 31), inactive=(255, 255, 255)) -> Column:
-    return rgb_to_hex(*[F.floor(p * a + (1 - p) * i) for a, i in zip(active, inactive, strict=True)])
+    return rgb_to_hex(*[F.rint(p * a + (1 - p) * i) for a, i in zip(active, inactive, strict=True)])
 
 
 def hsv_to_rgb(h: Column, s: Column, v: Column) -> Column:
@@ -118,14 +118,14 @@ NAMED_COLORS = {
 
 def closest_color(r: Column, g: Column, b: Column) -> Column:
     """The named colour whose channel sum is nearest (the absolute value of the signed sum of differences); ties by order."""
-    far = [F.struct(F.abs(F.lit(sum(c)) - (r + g + b)).cast("double").alias("d"), F.lit(k).alias("k"), F.lit(n).alias("n")) for k, (n, c) in enumerate(NAMED_COLORS.items())]
+    far = [F.struct(F.abs(F.lit(sum(c)) - (r + g + b)).cast("double").alias("d"), F.lit(k).alias("k"), F.lit(n.capitalize()).alias("n")) for k, (n, c) in enumerate(NAMED_COLORS.items())]
     return F.array_min(F.array(*far))["n"]
 
 
 def label_color(label: Column) -> Column:
-    """Three fractions from a stable hash of the label."""
+    """A bright hex colour from a stable hash of the label."""
     digits = F.lpad((F.crc32(label) % 1_000_000).cast("string"), 6, "0")
-    return F.array(*[F.substring(digits, k, 2).cast("double") / 200 + 0.5 for k in (1, 3, 5)])
+    return rgb_to_hex(*[F.rint((F.substring(digits, k, 2).cast("double") / 200 + 0.5) * 255) for k in (1, 3, 5)])
 
 
 def count_grey(n: Column) -> Column:
@@ -137,7 +137,8 @@ def _channels(hex_color: Column) -> list[Column]:
 
 
 def luminance(hex_color: Column) -> Column:
-    r, g, b = _channels(hex_color)
+    """From 0 (black) to 1 (white)."""
+    r, g, b = (c / 255 for c in _channels(hex_color))
     return F.sqrt(0.299 * r * r + 0.587 * g * g + 0.114 * b * b)
 
 
@@ -146,16 +147,19 @@ def blend(a: Column, b: Column) -> Column:
     return rgb_to_hex(*[F.floor((x + y) / 2 + 0.5) for x, y in zip(_channels(a), _channels(b), strict=True)])
 
 
+#: Fixed value: the end of the palette from white to red.
+MAP_RED = (174, 19, 19)
+
+
 def colormap_pos(y: Column, invert: bool = False) -> Column:
     s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), y))
     return 1 - s if invert else s
 
 
 def linear_map(y: Column, lo: float, hi: float) -> Column:
-    """White at ``lo`` and below, red at ``hi`` and above."""
+    """White at ``lo`` and below, the palette's red at ``hi`` and above."""
     s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (y - lo) / (hi - lo)))
-    rest = F.floor(255 * (1 - s) + 0.5)
-    return rgb_to_hex(F.lit(255), rest, rest)
+    return rgb_to_hex(*[F.floor(255 + (c - 255) * s + 0.5) for c in MAP_RED])
 
 
 def flatten(df: DataFrame, sep: str = ".") -> DataFrame:

@@ -36,10 +36,10 @@ def person_graph(clusters: DataFrame, shots: DataFrame, by_shot: bool = True, mi
 
 
 def cluster_items_by_shot(clusters: DataFrame, shots: DataFrame, n: int = 5) -> DataFrame:
-    """The first n items of each cluster in each shot, bounds and times to whole hundredths, end excluded."""
-    hundredth = lambda c: F.floor(F.col(c) * 100 + 0.5) / 100
-    s = shots.select("video_id", "segment_id", hundredth("start_s").alias("start_s"), hundredth("end_s").alias("end_s"))
-    hit = interval_join(clusters.withColumn("time", hundredth("time")), s, "half_open")
+    """The first n items of each cluster in each shot, bounds and times to whole seconds, end excluded."""
+    second = lambda c: F.floor(F.col(c) + 0.5).cast("double")
+    s = shots.select("video_id", "segment_id", second("start_s").alias("start_s"), second("end_s").alias("end_s"))
+    hit = interval_join(clusters.withColumn("time", second("time")), s, "half_open")
     items = F.transform(F.sort_array(F.collect_list(F.struct("time", "ref_id"))), lambda x: x["ref_id"])
     return hit.groupBy("video_id", "segment_id", "cluster").agg(F.count("*").alias("n"), F.slice(items, 1, n).alias("items"))
 

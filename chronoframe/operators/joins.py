@@ -159,27 +159,37 @@ def face_facts(faces: DataFrame, embeddings: DataFrame, bboxes: DataFrame, clust
 def link_entities(mentions: DataFrame, candidates: DataFrame, fallback: DataFrame, slack: int = 2, least_rank: float = 1e-4) -> DataFrame:
     """The candidate of the highest rank whose span lies in the mention's, give or take ``slack`` characters.
 
-    Only mentions of the four types and two characters; without a candidate the surface text is looked up, else "unk".
+    Only mentions of the four types and two characters; without a candidate the surface text is looked up, else "unk". The
+    label is that of the candidate, for those looked up the surface text.
     """
     m = mentions.where(F.col("type").isin("PER", "ORG", "LOC", "MISC") & (F.length("text") >= 2))
     c = candidates.where(F.col("page_rank") >= least_rank)
     hit = m.join(c, "seg_id").where((F.col("ch_from") >= F.col("start_c") - slack) & (F.col("ch_to") <= F.col("end_c") + slack))
     own = ["seg_id", "start_c", "end_c"]
-    best = hit.groupBy(*own).agg(F.max_by("wd_id", F.struct("page_rank", -F.col("ch_from"))).alias("wd_id"))
+    best = hit.groupBy(*own).agg(F.max_by(F.struct("wd_id", "wd_label"), F.struct("page_rank", -F.col("ch_from"))).alias("_best"))
     looked = fallback.groupBy("surface").agg(F.min("wd_id").alias("_fb"))
     out = m.join(best, own, "left").join(looked, m["text"] == looked["surface"], "left")
-    return out.select("seg_id", "start_c", "end_c", "text", "type", F.coalesce("wd_id", "_fb", F.lit("unk")).alias("wd_id"))
+    label = F.coalesce("_best.wd_label", F.when(F.col("_best").isNull() & F.col("_fb").isNotNull(), F.col("text")), F.lit("unk"))
+    return out.select("seg_id", "start_c", "end_c", "text", "type", F.coalesce("_best.wd_id", "_fb", F.lit("unk")).alias("wd_id"), label.alias("wd_label"))
 
 
 def resolve_entity_types(entities: DataFrame, bindings: DataFrame, orgs: DataFrame, events: DataFrame) -> DataFrame:
-    """EVENT before ORG before PER (EPER if notable, else LPER) before LOC; linked others are MISC, unlinked keep their type."""
-    b = bindings.groupBy("wd_id").agg(F.max("is_person").alias("_per"), F.max("notable").alias("_not"), F.max("is_place").alias("_loc"))
+    """The first of an entity's bindings that tells a type decides: EVENT before ORG before PER before LOC within it.
+
+    ``bindings``: ``wd_id, ord, is_person, notable, is_place``; a person is EPER if any binding of the entity is notable,
+    else LPER. Without such a binding linked entities keep their type (but PER: EPER if the label has several words, else
+    LPER), unlinked persons are LPER and unlinked others keep ORG and LOC, else MISC.
+    """
     o, e = orgs.select("wd_id").distinct().withColumn("_org", F.lit(True)), events.select("wd_id").distinct().withColumn("_evt", F.lit(True))
-    x = entities.join(b, "wd_id", "left").join(o, "wd_id", "left").join(e, "wd_id", "left")
+    b = bindings.join(o, "wd_id", "left").join(e, "wd_id", "left")
+    tells = F.when(F.col("_evt"), "EVENT").when(F.col("_org"), "ORG").when(F.col("is_person"), "PER").when(F.col("is_place"), "LOC")
+    b = b.withColumn("_kind", tells).groupBy("wd_id").agg(F.min_by("_kind", F.when(F.col("_kind").isNotNull(), F.col("ord"))).alias("_kind"), F.max("notable").alias("_not"))
+    x = entities.join(b, "wd_id", "left")
+    person, several = F.col("type") == "PER", F.size(F.split(F.trim("wd_label"), r"\s+")) > 1
     kind = (
-        F.when(F.col("_evt"), "EVENT").when(F.col("_org"), "ORG")
-        .when(F.col("_per"), F.when(F.col("_not"), "EPER").otherwise("LPER"))
-        .when(F.col("_loc"), "LOC").when(F.col("wd_id") == "unk", F.when(F.col("type") == "PER", "LPER").otherwise(F.col("type"))).otherwise("MISC")
+        F.when(F.col("_kind") == "PER", F.when(F.col("_not"), "EPER").otherwise("LPER")).when(F.col("_kind").isNotNull(), F.col("_kind"))
+        .when(F.col("wd_id") != "unk", F.when(person, F.when(several, "EPER").otherwise("LPER")).otherwise(F.col("type")))
+        .when(person, "LPER").when(F.col("type").isin("ORG", "LOC"), F.col("type")).otherwise("MISC")
     )
     return x.select(*entities.columns, kind.alias("resolved"))
 

@@ -73,15 +73,20 @@ def audio_rms(signal: DataFrame, hop: int = 512, size: int = 2048, normalize: bo
     return _scaled(y.select("video_id", (F.col("f") * hop / F.col("sr")).alias("time"), "y"), normalize)
 
 
-def audio_amplitude(signal: DataFrame, max_samples: int = 200_000) -> DataFrame:
-    """The samples at ``max_samples`` even places, between neighbours by a straight line, min-max scaled; short audio gets more samples."""
+def audio_amplitude(signal: DataFrame, max_samples: int | None = 200_000, normalize: bool = True) -> DataFrame:
+    """The signal at the places k n / ``max_samples``, between neighbours by a straight line and flat past the last sample.
+
+    Short audio gets more samples; without ``max_samples`` they stay as they are. ``normalize`` scales them to 0 to 1.
+    """
+    if not max_samples:
+        return _scaled(signal.select("video_id", (F.col("i") / F.col("sr")).alias("time"), "y"), normalize)
     n = signal.groupBy("video_id").agg((F.max("i") + 1).alias("n"), F.first("sr").alias("sr"))
     g = n.select("video_id", "n", "sr", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max_samples - 1).cast("long"))).alias("k"))
-    g = g.withColumn("at", F.col("k") * (F.col("n") - 1) / (max_samples - 1)).withColumn("i", F.floor("at"))
+    g = g.withColumn("at", F.col("k") * F.col("n") / max_samples).withColumn("i", F.floor("at"))
     s = signal.select("video_id", "i", "y", F.lead("y").over(W.partitionBy("video_id").orderBy("i")).alias("_next"))
     y = g.join(s, ["video_id", "i"])
     y = y.select("video_id", (F.col("k") * F.col("n") / max_samples / F.col("sr")).alias("time"), (F.col("y") + (F.coalesce("_next", "y") - F.col("y")) * (F.col("at") - F.col("i"))).alias("y"))
-    return _scaled(y, True)
+    return _scaled(y, normalize)
 
 
 def spectrogram(signal: DataFrame, n_fft: int = 256, normalize: bool = False, floor_db: float = 80.0) -> DataFrame:
@@ -113,5 +118,7 @@ def spectrogram(signal: DataFrame, n_fft: int = 256, normalize: bool = False, fl
     db = lambda x: F.greatest(F.lit(-floor_db), 20 * F.log10(F.greatest(x, F.lit(1e-10)) / F.greatest(F.col("_top"), F.lit(1e-10))))
     out = m.join(top, "video_id").withColumn("bins", F.transform("mag", db))
     if normalize:
-        out = out.withColumn("bins", F.transform("bins", lambda x: (x + floor_db) / floor_db))
+        ends = out.groupBy("video_id").agg(F.min(F.array_min("bins")).alias("_lo"), F.max(F.array_max("bins")).alias("_hi"))
+        span = F.col("_hi") - F.col("_lo")
+        out = out.join(ends, "video_id").withColumn("bins", F.transform("bins", lambda x: F.when(span > 0, (x - F.col("_lo")) / span).otherwise(F.lit(0.0))))
     return out.select("video_id", "frame", (F.col("frame") * (F.col("n") / F.col("sr")) / (F.col("_last") + 1)).alias("time"), "bins")

@@ -16,9 +16,9 @@ cats AS (SELECT range AS category_id, CASE range WHEN 0 THEN 'Transcript' ELSE '
 MENTIONS = """
 i AS (SELECT l_orderkey AS seg_id, l_linenumber * 10 AS s, min(l_partkey) AS p, min(l_suppkey) AS u FROM lineitem GROUP BY l_orderkey, l_linenumber),
 m AS (SELECT seg_id, s::INT AS start_c, (s + 5)::INT AS end_c, 'p' || (p % 50) AS text, ['PER', 'ORG', 'LOC', 'MISC', 'DATE'][p % 5 + 1] AS type FROM i),
-c AS (SELECT seg_id, s + u % 7 - 3 AS ch_from, s + u % 7 + 1 AS ch_to, (p % 1000) / 100000.0::DOUBLE AS page_rank, 'Q' || (u % 100) AS wd_id FROM i WHERE p % 3 > 0),
-best AS (SELECT m.seg_id, m.start_c, m.end_c, arg_max(c.wd_id, (c.page_rank, -c.ch_from)) AS wd FROM m JOIN c ON m.seg_id = c.seg_id AND c.page_rank >= 1e-4 AND ch_from >= start_c - 2 AND ch_to <= end_c + 2 GROUP BY 1, 2, 3),
-linked AS (SELECT m.*, coalesce(wd, CASE WHEN substr(text, 2)::INT < 25 THEN 'F' || substr(text, 2) END, 'unk') AS wd_id FROM m LEFT JOIN best USING (seg_id, start_c, end_c) WHERE type <> 'DATE')"""
+c AS (SELECT seg_id, s + u % 7 - 3 AS ch_from, s + u % 7 + 1 AS ch_to, (p % 1000) / 100000.0::DOUBLE AS page_rank, 'Q' || (u % 100) AS wd_id, CASE WHEN p % 2 = 0 THEN 'one' ELSE 'two words' END AS wd_label FROM i WHERE p % 3 > 0),
+best AS (SELECT m.seg_id, m.start_c, m.end_c, arg_max(c.wd_id, (c.page_rank, -c.ch_from)) AS wd, arg_max(c.wd_label, (c.page_rank, -c.ch_from)) AS wl FROM m JOIN c ON m.seg_id = c.seg_id AND c.page_rank >= 1e-4 AND ch_from >= start_c - 2 AND ch_to <= end_c + 2 GROUP BY 1, 2, 3),
+linked AS (SELECT m.*, coalesce(wd, CASE WHEN substr(text, 2)::INT < 25 THEN 'F' || substr(text, 2) END, 'unk') AS wd_id, coalesce(wl, CASE WHEN substr(text, 2)::INT < 25 THEN text END, 'unk') AS wd_label FROM m LEFT JOIN best USING (seg_id, start_c, end_c) WHERE type <> 'DATE')"""
 PARTS = "parts AS (SELECT l_orderkey AS video_id, l_linenumber::BIGINT AS timeline_id, (l_partkey % 10)::INT AS ord, CASE WHEN l_linenumber > 1 THEN l_linenumber // 2 END::BIGINT AS parent_id FROM lineitem)"
 PIXELS = "px AS (SELECT l_orderkey % 50 AS video_id, l_orderkey AS frame_idx, l_partkey * 7 % 256 AS r, l_suppkey * 11 % 256 AS g, l_linenumber * 31 % 256 AS b FROM lineitem)"
 CHUNKS = "chunks AS (SELECT video_id, floor(time / 864000)::BIGINT AS segment_id, floor(time / 86400)::BIGINT AS chunk, series AS label, max(y) AS prob FROM a_scalars GROUP BY ALL)"
@@ -152,8 +152,8 @@ ORACLES: dict[str, str] = {
         extra="pl AS (SELECT video_id, series, floor(time / 86400) AS t FROM a_scalars)"),
     "person_graph": v("SELECT x.video_id, x.cluster::VARCHAR AS a, y.cluster::VARCHAR AS b, count(*) AS n FROM pl x JOIN pl y ON x.video_id = y.video_id AND x.segment_id = y.segment_id AND x.cluster < y.cluster GROUP BY 1, 2, 3", "a_segments", "a_clusters",
         extra=f"pl AS (SELECT DISTINCT p.video_id, p.cluster, s.segment_id FROM a_segments s JOIN a_clusters p ON {IN} BETWEEN s.start_s AND s.end_s)"),
-    "cluster_items_by_shot": v("""SELECT video_id, segment_id, cluster, count(*) AS n, array_to_string(list(ref_id ORDER BY t, ref_id)[1:5], ',') AS items FROM (SELECT c.video_id, s.segment_id, c.cluster, c.ref_id, floor(c.time * 100 + 0.5) / 100 AS t FROM a_segments s JOIN a_clusters c
-        ON c.video_id = s.video_id AND floor(c.time * 100 + 0.5) / 100 >= floor(s.start_s * 100 + 0.5) / 100 AND floor(c.time * 100 + 0.5) / 100 < floor(s.end_s * 100 + 0.5) / 100) GROUP BY 1, 2, 3""", "a_segments", "a_clusters"),
+    "cluster_items_by_shot": v("""SELECT video_id, segment_id, cluster, count(*) AS n, array_to_string(list(ref_id ORDER BY t, ref_id)[1:5], ',') AS items FROM (SELECT c.video_id, s.segment_id, c.cluster, c.ref_id, floor(c.time + 0.5) AS t FROM a_segments s JOIN a_clusters c
+        ON c.video_id = s.video_id AND floor(c.time + 0.5) >= floor(s.start_s + 0.5) AND floor(c.time + 0.5) < floor(s.end_s + 0.5)) GROUP BY 1, 2, 3""", "a_segments", "a_clusters"),
     "segments_by_second": v("SELECT video_id, second, count(*) AS n FROM (SELECT video_id, unnest(range(floor(start_s)::BIGINT, ceil(end_s)::BIGINT)) AS second FROM hours) GROUP BY 1, 2", "a_segments", extra=HOURS),
     "annotations_by_second": v("SELECT video_id, second, count(*) AS n FROM (SELECT video_id, unnest(range(ceil(start_s)::BIGINT, ceil(end_s)::BIGINT)) AS second FROM hours) GROUP BY 1, 2", "a_segments", extra=HOURS),
     "usage_stats": v("""SELECT count(*) FILTER (n >= 5) AS users_5, count(*) FILTER (n >= 10) AS users_10, count(*) FILTER (n >= 50) AS users_50, any_value(videos_10min) AS videos_10min, any_value(videos_60min) AS videos_60min, any_value(minutes) AS minutes,
@@ -192,11 +192,13 @@ ORACLES: dict[str, str] = {
         extra="fr AS (SELECT video_id, unnest(range(count(*) // 4 + 1)) AS f FROM a_frames GROUP BY video_id)"),
     "audio_amplitude": v("SELECT video_id, round(k * n / 64.0 / 16, 9) AS time, round(CASE WHEN max(y) OVER w > min(y) OVER w THEN (y - min(y) OVER w) / (max(y) OVER w - min(y) OVER w) ELSE 0.0 END, 9) AS y FROM q WINDOW w AS (PARTITION BY video_id)", "a_frames",
         extra="""g AS (SELECT video_id, count(*) AS n, unnest(range(64)) AS k FROM a_frames GROUP BY video_id),
-        q AS (SELECT g.video_id, k, n, a.p + (coalesce(b.p, a.p) - a.p) * (k * (n - 1) / 63.0::DOUBLE - floor(k * (n - 1) / 63.0::DOUBLE)) AS y FROM g JOIN a_frames a ON a.video_id = g.video_id AND a.i = floor(k * (n - 1) / 63.0::DOUBLE) LEFT JOIN a_frames b ON b.video_id = g.video_id AND b.i = a.i + 1)"""),
+        q AS (SELECT g.video_id, k, n, a.p + (coalesce(b.p, a.p) - a.p) * (k * n / 64.0::DOUBLE - floor(k * n / 64.0::DOUBLE)) AS y FROM g JOIN a_frames a ON a.video_id = g.video_id AND a.i = floor(k * n / 64.0::DOUBLE) LEFT JOIN a_frames b ON b.video_id = g.video_id AND b.i = a.i + 1)"""),
     "frame_brightness": f"""WITH {PIXELS}, y AS (SELECT video_id, frame_idx, avg(greatest(r, g, b) / 255.0::DOUBLE) AS y FROM px GROUP BY 1, 2)
         SELECT video_id, frame_idx / 2.0::DOUBLE AS time, round(CASE WHEN max(y) OVER w > min(y) OVER w THEN (y - min(y) OVER w) / (max(y) OVER w - min(y) OVER w) ELSE 0.0 END, 9) AS y FROM y WINDOW w AS (PARTITION BY video_id)""",
     "dominant_colors": f"WITH {PIXELS} SELECT video_id, frame_idx, 0 AS rank, round(avg(r) / 255, 9) AS r, round(avg(g) / 255, 9) AS g, round(avg(b) / 255, 9) AS b FROM px GROUP BY 1, 2",
-    "colors": f"WITH {PIXELS} SELECT DISTINCT r::INT AS r, g::INT AS g, b::INT AS b, printf('#%02x%02x%02x', r, g, b) AS hex, printf('#%02x%02x%02x', floor(r / 255.0::DOUBLE * 159 + (1 - r / 255.0::DOUBLE) * 255)::BIGINT, floor(r / 255.0::DOUBLE * 39 + (1 - r / 255.0::DOUBLE) * 255)::BIGINT, floor(r / 255.0::DOUBLE * 31 + (1 - r / 255.0::DOUBLE) * 255)::BIGINT) AS prob_hex FROM px",
+    "colors": f"WITH {PIXELS} SELECT DISTINCT r::INT AS r, g::INT AS g, b::INT AS b, printf('#%02x%02x%02x', r, g, b) AS hex, printf('#%02x%02x%02x', round_even(r / 255.0::DOUBLE * 159 + (1 - r / 255.0::DOUBLE) * 255, 0)::BIGINT, round_even(r / 255.0::DOUBLE * 39 + (1 - r / 255.0::DOUBLE) * 255, 0)::BIGINT, round_even(r / 255.0::DOUBLE * 31 + (1 - r / 255.0::DOUBLE) * 255, 0)::BIGINT) AS prob_hex, ['Black', 'White', 'Red', 'Lime', 'Blue', 'Yellow', 'Cyan', 'Magenta', 'Silver', 'Gray', 'Maroon', 'Olive', 'Green', 'Purple', 'Teal', 'Navy'][list_position(far, list_min(far))] AS name FROM (SELECT *, list_transform([0, 765, 255, 255, 255, 510, 510, 510, 576, 384, 128, 256, 128, 256, 256, 128], lambda x: abs(x - (r + g + b))) AS far FROM px)",
+    "luminance": f"WITH {PIXELS} SELECT DISTINCT printf('#%02x%02x%02x', r, g, b) AS hex, round(sqrt(0.299 * (r / 255.0::DOUBLE) ** 2 + 0.587 * (g / 255.0::DOUBLE) ** 2 + 0.114 * (b / 255.0::DOUBLE) ** 2), 9) AS luminance, true AS bright FROM px",
+    "linear_map": v("SELECT y, printf('#%02x%02x%02x', floor(255 - 81 * s + 0.5)::BIGINT, floor(255 - 236 * s + 0.5)::BIGINT, floor(255 - 236 * s + 0.5)::BIGINT) AS hex FROM (SELECT DISTINCT y, greatest(0.0, least(1.0, (y - 0.2::DOUBLE) / (0.8::DOUBLE - 0.2::DOUBLE))) AS s FROM a_scalars)", "a_scalars"),
     "truncate_label": "SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 96) || ' ...' ELSE text END AS label FROM documents",
     "box_iou": v("""SELECT video_id, id, round(CASE WHEN u - o > 0 THEN o / (u - o) ELSE 0.0 END, 9) AS iou FROM (SELECT video_id, id, w * h + pw * ph AS u, greatest(0, least(x + w, px + pw) - greatest(x, px)) * greatest(0, least(y + h, py + ph) - greatest(y, py)) AS o FROM
         (SELECT *, lag(x) OVER q AS px, lag(y) OVER q AS py, lag(w) OVER q AS pw, lag(h) OVER q AS ph FROM a_bboxes WINDOW q AS (PARTITION BY video_id ORDER BY time, id)) WHERE px IS NOT NULL)""", "a_bboxes"),
@@ -222,7 +224,8 @@ ORACLES: dict[str, str] = {
     "prompt_probs": v("SELECT u.video_id, u.id, u.time, round(sum(u.u[i] * m.x) / sqrt((SELECT sum(x * x) FROM m)), 9) AS y FROM units u, m GROUP BY 1, 2, 3", "a_embeddings",
         extra=f"{UNITS}, m AS (SELECT i, avg(x) AS x FROM (SELECT unnest(range(1, 65)) AS i, unnest(u) AS x FROM units WHERE id < 3) GROUP BY 1)"),
     "time_formats": v("""SELECT DISTINCT video_id, time, printf('%02d:%02d:%02d.', w // 3600, w // 60 % 60, w % 60) || round_even((t - w) * 1000, 0)::BIGINT AS iso,
-        CASE WHEN w >= 3600 THEN printf('%d h %d min %d sec', w // 3600, w // 60 % 60, w % 60) WHEN w >= 60 THEN printf('%d min %d sec', w // 60, w % 60) ELSE printf('%d sec', w) END AS shown
+        CASE WHEN w >= 3600 THEN w // 3600 || ' h ' ELSE '' END || CASE WHEN w // 60 % 60 > 0 THEN w // 60 % 60 || ' min ' ELSE '' END || CASE WHEN w % 60 > 0 THEN w % 60 || ' sec' ELSE '' END AS shown,
+        printf('%02d:%02d:%02d.%03d', w // 3600, w // 60 % 60, w % 60, floor((t - w) * 1000 + 0.5)::BIGINT) AS code
         FROM (SELECT video_id, time, time / 7 AS t, floor(time / 7)::BIGINT AS w FROM a_scalars)""", "a_scalars"),
     "snake_case": r"SELECT camel, lower(regexp_replace(regexp_replace(camel, '(.)([A-Z][a-z]+)', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g')) AS snake FROM (SELECT upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2)) AS camel FROM nation)",
     "cluster_to_scalar": v("SELECT video_id, time, round(CASE WHEN max(y) OVER w > min(y) OVER w THEN (y - min(y) OVER w) / (max(y) OVER w - min(y) OVER w) ELSE 0.0 END, 9) AS y FROM sims WINDOW w AS (PARTITION BY video_id)", "a_embeddings",
@@ -235,13 +238,13 @@ ORACLES: dict[str, str] = {
     "face_clustering": v("SELECT m.video_id, 'Cluster ' || (m.cluster_rank + 1) AS name, m.id, u.time FROM members m JOIN units u ON u.id = m.id WHERE m.cluster_rank < 3", "a_embeddings", extra=_components(0.7).replace("FROM a_embeddings)", "FROM a_embeddings WHERE (id % 20) / 40.0 >= 0.1)")),
     "place_clustering": v("SELECT m.video_id, 'Cluster ' || (m.cluster_rank + 1) AS name, m.id, u.time FROM members m JOIN units u ON u.id = m.id WHERE m.cluster_rank < 3", "a_embeddings", extra=_components(0.7).replace("FROM a_embeddings)", "FROM a_embeddings WHERE (video_id, time) IN (SELECT video_id, time FROM a_embeddings WHERE id % 40 < 20))")),
     "link_entities": f"WITH {MENTIONS} SELECT * FROM linked",
-    "resolve_entity_types": f"""WITH {MENTIONS} SELECT type, CASE WHEN q IS NOT NULL AND q % 10 = 2 THEN 'EVENT' WHEN q IS NOT NULL AND q % 10 = 1 THEN 'ORG' WHEN q % 8 = 0 THEN 'EPER' WHEN q % 4 = 0 THEN 'LPER' WHEN q % 3 = 0 THEN 'LOC'
-        WHEN wd_id = 'unk' THEN CASE type WHEN 'PER' THEN 'LPER' ELSE type END ELSE 'MISC' END AS resolved, count(*) AS n FROM (SELECT *, CASE WHEN wd_id LIKE 'Q%' THEN substr(wd_id, 2)::INT END AS q FROM linked) GROUP BY 1, 2""",
+    "resolve_entity_types": f"""WITH {MENTIONS} SELECT type, CASE WHEN q IS NOT NULL AND q % 10 = 2 THEN 'EVENT' WHEN q IS NOT NULL AND q % 10 = 1 THEN 'ORG' WHEN q % 3 = 0 THEN 'LOC' WHEN q % 8 = 0 THEN 'EPER' WHEN q % 4 = 0 THEN 'LPER'
+        WHEN type = 'PER' THEN CASE WHEN wd_label = 'two words' THEN 'EPER' ELSE 'LPER' END ELSE type END AS resolved, count(*) AS n FROM (SELECT *, CASE WHEN wd_id LIKE 'Q%' THEN substr(wd_id, 2)::INT END AS q FROM linked) GROUP BY 1, 2""",
     "move_items": v("SELECT video_id, CASE WHEN ref_id % 3 = 0 THEN 0 ELSE cluster END AS cluster, count(*) AS n FROM a_clusters GROUP BY 1, 2", "a_clusters"),
     "to_documents": """SELECT r AS result_id, min(event_id) AS first_time, (length('{"result_id":' || r || ',"type":"scalar","data_id":"' || r || '"}') + CASE WHEN count(event_id) > 0 THEN length(',"data":[]') + sum(length('{"time":' || event_id || ',"y":' || floor(value)::BIGINT || '}')) + count(*) - 1 ELSE 0 END)::BIGINT AS chars
         FROM range(60) t(r) LEFT JOIN events ON user_id % 50 = r GROUP BY 1""",
     "export_merged": v("""SELECT video_id, segment_id, row_number() OVER w AS "#", printf('%02d:%02d:%02d.', floor(start_s)::BIGINT // 3600, floor(start_s)::BIGINT // 60 % 60, floor(start_s)::BIGINT % 60) || round_even((start_s - floor(start_s)) * 1000, 0)::BIGINT AS start_s_iso,
-        round(end_s - start_s, 9) AS duration, round(coalesce(lead(start_s) OVER w, end_s) - start_s, 9) AS gap_duration, 'n' || (segment_id % 3) AS notes FROM a_segments WINDOW w AS (PARTITION BY video_id ORDER BY start_s, segment_id)""", "a_segments"),
+        round(end_s - start_s, 9) AS duration, round(coalesce(lead(start_s) OVER w, max(end_s) OVER (PARTITION BY video_id) + 10) - start_s, 9) AS gap_duration, 'n' || (segment_id % 3) AS notes FROM a_segments WINDOW w AS (PARTITION BY video_id ORDER BY start_s, segment_id)""", "a_segments"),
     "export_bundle": v("SELECT DISTINCT 'd' || (video_id % 100) AS data_id FROM a_runs WHERE run_id % 2 = 0", "a_runs"),
     "softmax": v("SELECT id, round(a / (a + b + c), 9) AS p0, round(b / (a + b + c), 9) AS p1, round(c / (a + b + c), 9) AS p2 FROM (SELECT id, exp(10 * (embedding[1]::DOUBLE - m)) AS a, exp(10 * (embedding[2]::DOUBLE - m)) AS b, exp(10 * (embedding[3]::DOUBLE - m)) AS c FROM (SELECT *, greatest(embedding[1], embedding[2], embedding[3])::DOUBLE AS m FROM a_embeddings))", "a_embeddings"),
     "label_map": v("SELECT CASE series WHEN 'click' THEN 'Click' WHEN 'view' THEN 'View' ELSE series END AS label, count(*) AS n FROM a_scalars GROUP BY 1", "a_scalars"),

@@ -668,13 +668,24 @@ def q_dominant_colors_k(s, d):
 @query
 def q_time_formats(s, d):
     t = F.col("time") / 7
-    return a.scalars(s, d).select("video_id", "time", fn.iso_time(t).alias("iso"), fn.display_time(t).alias("shown")).distinct()
+    return a.scalars(s, d).select("video_id", "time", fn.iso_time(t).alias("iso"), fn.display_time(t).alias("shown"), fn.timecode(t).alias("code")).distinct()
 
 
 @query
 def q_colors(s, d):
     p = pixels_of(s, d).select("r", "g", "b").distinct()
-    return p.select("r", "g", "b", fn.rgb_to_hex(F.col("r"), F.col("g"), F.col("b")).alias("hex"), fn.prob_to_hex(F.col("r") / 255.0).alias("prob_hex"))
+    return p.select("r", "g", "b", fn.rgb_to_hex(F.col("r"), F.col("g"), F.col("b")).alias("hex"), fn.prob_to_hex(F.col("r") / 255.0).alias("prob_hex"), fn.closest_color(*map(F.col, "rgb")).alias("name"))
+
+
+@query
+def q_luminance(s, d):
+    p = pixels_of(s, d).select("r", "g", "b").distinct().withColumn("hex", fn.rgb_to_hex(*map(F.col, "rgb")))
+    return p.select("hex", F.round(fn.luminance(F.col("hex")), 9).alias("luminance"), fn.label_color(F.col("hex")).rlike("^#[7-9a-f][0-9a-f][7-9a-f][0-9a-f][7-9a-f][0-9a-f]$").alias("bright"))
+
+
+@query
+def q_linear_map(s, d):
+    return a.scalars(s, d).select("y").distinct().select("y", fn.linear_map(F.col("y"), 0.2, 0.8).alias("hex"))
 
 
 @query
@@ -779,7 +790,7 @@ def mentions(s, d):
     kind = F.element_at(F.array(*map(F.lit, ("PER", "ORG", "LOC", "MISC", "DATE"))), (F.col("p") % 5 + 1).cast("int"))
     m = i.select(F.col("l_orderkey").alias("seg_id"), start.cast("int").alias("start_c"), (start + 5).cast("int").alias("end_c"), F.concat(F.lit("p"), F.col("p") % 50).alias("text"), kind.alias("type"))
     at = start + F.col("u") % 7 - 3
-    c = i.where("p % 3 > 0").select(F.col("l_orderkey").alias("seg_id"), at.cast("int").alias("ch_from"), (at + 4).cast("int").alias("ch_to"), ((F.col("p") % 1000) / 100000.0).alias("page_rank"), F.concat(F.lit("Q"), F.col("u") % 100).alias("wd_id"))
+    c = i.where("p % 3 > 0").select(F.col("l_orderkey").alias("seg_id"), at.cast("int").alias("ch_from"), (at + 4).cast("int").alias("ch_to"), ((F.col("p") % 1000) / 100000.0).alias("page_rank"), F.concat(F.lit("Q"), F.col("u") % 100).alias("wd_id"), F.when(F.col("p") % 2 == 0, "one").otherwise("two words").alias("wd_label"))
     f = s.range(25).select(F.concat(F.lit("p"), F.col("id")).alias("surface"), F.concat(F.lit("F"), F.col("id")).alias("wd_id"))
     return m, c, f
 
@@ -794,7 +805,7 @@ def q_resolve_entity_types(s, d):
     linked = joins.link_entities(*mentions(s, d))
     n = F.substring("wd_id", 2, 9).cast("int")
     ids = s.range(100).select(F.concat(F.lit("Q"), "id").alias("wd_id"))
-    b = ids.select("wd_id", (n % 4 == 0).alias("is_person"), (n % 8 == 0).alias("notable"), (n % 3 == 0).alias("is_place"))
+    b = ids.crossJoin(F.broadcast(s.range(2))).select("wd_id", F.col("id").alias("ord"), ((n % 4 == 0) & (F.col("id") == 1)).alias("is_person"), (n % 8 == 0).alias("notable"), ((n % 3 == 0) & (F.col("id") == 0)).alias("is_place"))
     out = joins.resolve_entity_types(linked, b, ids.where(n % 10 == 1), ids.where(n % 10 == 2))
     return out.groupBy("type", "resolved").agg(F.count("*").alias("n"))
 
@@ -818,7 +829,8 @@ def q_export_merged(s, d):
     seg = a.segments(s, d)
     cells = seg.select("video_id", "segment_id", F.lit("notes").alias("name"), F.concat(F.lit("n"), F.col("segment_id") % 3).alias("value"))
     names = s.createDataFrame([("notes", "annotation")], "name string, type string")
-    return io.export_merged(seg, names, a.scalars(s, d), cells, ["notes"]).select("video_id", "segment_id", "#", "start_s_iso", F.round("duration", 9).alias("duration"), F.round("gap_duration", 9).alias("gap_duration"), "notes")
+    v = seg.groupBy("video_id").agg((F.max("end_s") + 10).alias("duration"))
+    return io.export_merged(seg, names, a.scalars(s, d), cells, ["notes"], v).select("video_id", "segment_id", "#", "start_s_iso", F.round("duration", 9).alias("duration"), F.round("gap_duration", 9).alias("gap_duration"), "notes")
 
 
 @query

@@ -74,18 +74,21 @@ def read_concepts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("name string, term string").csv(path)
 
 
-def export_merged(segs: DataFrame, timelines: DataFrame, scalars: DataFrame, cells: DataFrame, names: list[str]) -> DataFrame:
+def export_merged(segs: DataFrame, timelines: DataFrame, scalars: DataFrame, cells: DataFrame, names: list[str], videos: DataFrame) -> DataFrame:
     """A row per segment with times in seconds and ISO form, and a column per timeline name.
 
+    ``gap_duration`` runs to the next segment, for the last one to the end of the video (``videos``: ``video_id, duration``).
+
     ``cells``: (video_id, segment_id, name, value) of annotation timelines; scalar timelines are means, 0.0 where empty.
     """
     nxt = F.lead("start_s").over(W.partitionBy("video_id").orderBy("start_s", "segment_id"))
     base = segs.withColumn("#", F.row_number().over(W.partitionBy("video_id").orderBy("start_s", "segment_id")))
-    base = base.withColumn("gap_duration", F.coalesce(nxt, "end_s") - F.col("start_s")).withColumn("duration", F.col("end_s") - F.col("start_s"))
+    base = base.withColumn("_next", nxt).join(videos.select("video_id", F.col("duration").alias("_d")), "video_id", "left")
+    base = base.withColumn("gap_duration", F.coalesce("_next", "_d") - F.col("start_s")).drop("_next", "_d").withColumn("duration", F.col("end_s") - F.col("start_s"))
     for c in ("start_s", "end_s", "gap_duration", "duration"):
         base = base.withColumn(f"{c}_iso", iso_time(F.col(c)))
     means = None
-    for n in [n for n in names if n in {r.name for r in timelines.where("type = 'scalar'").select("name").distinct().collect()}]:
+    for n in [n for n in names if n in {r.name for r in timelines.where(F.col("name").isin(names) & (F.col("type") == "scalar")).select("name").distinct().collect()}]:
         m = segment_agg(segs, scalars.where(F.col("series") == n), "mean", 0.0).select("video_id", "segment_id", F.lit(n).alias("name"), F.col("value").cast("string").alias("value"))
         means = m if means is None else means.unionByName(m)
     values = cells if means is None else cells.select("video_id", "segment_id", "name", "value").unionByName(means)

@@ -186,7 +186,15 @@ def test_tracks(spark):
 def test_times(spark):
     t = table(spark, "s double", (3661.05,), (0.9996,))
     assert [r[0] for r in t.select(fn.iso_time(F.col("s"))).collect()] == ["01:01:01.50", "00:00:00.1000"]
-    assert [r[0] for r in t.select(fn.timecode(F.col("s"))).collect()] == ["01:01:01.050", "00:00:00.999"]
+    assert [r[0] for r in t.select(fn.timecode(F.col("s"))).collect()] == ["01:01:01.050", "00:00:00.1000"]
+    d = table(spark, "s double", (3600.0,), (65.9,), (3725.0,), (0.2,))
+    assert [r[0] for r in d.select(fn.display_time(F.col("s"))).collect()] == ["1 h ", "1 min 5 sec", "1 h 2 min 5 sec", ""]
+
+
+def test_colors(spark):
+    one = spark.range(1)
+    got = one.select(fn.prob_to_hex(F.lit(0.2)), fn.luminance(F.lit("#ffffff")), fn.linear_map(F.lit(2.0), 0.0, 1.0), fn.linear_map(F.lit(-1.0), 0.0, 1.0), fn.closest_color(F.lit(250), F.lit(2), F.lit(3))).first()
+    assert tuple(got) == ("#ecd4d2", 1.0, "#ae1313", "#ffffff", "Red")
 
 
 def test_edits(spark):
@@ -207,9 +215,12 @@ def test_entities(spark):
     c = table(spark, "seg_id long, ch_from int, ch_to int, page_rank double, wd_id string, wd_label string", (1, 8, 17, 0.5, "Q1", "p"), (1, 10, 15, 0.2, "Q2", "p"), (1, 10, 30, 0.9, "Q3", "p"), (1, 30, 33, 1e-5, "Q4", "b"))
     out = joins.link_entities(m, c, table(spark, "surface string, wd_id string", ("Nobody", "Q9")))
     assert rows(out, "text", "wd_id") == [("Bob", "unk"), ("Paris", "Q1")]
-    b = table(spark, "wd_id string, is_person boolean, notable boolean, is_place boolean", ("Q1", False, False, True))
+    b = table(spark, "wd_id string, ord int, is_person boolean, notable boolean, is_place boolean", ("Q1", 1, True, True, False), ("Q1", 0, False, False, True))
     kinds = joins.resolve_entity_types(out, b, table(spark, "wd_id string", ("Q8",)), table(spark, "wd_id string", ("Q7",)))
     assert rows(kinds, "text", "resolved") == [("Bob", "LPER"), ("Paris", "LOC")]
+    kept = table(spark, "text string, type string, wd_id string, wd_label string", ("a", "PER", "Q5", "Ann Lee"), ("b", "PER", "Q5", "Ann"), ("c", "LOC", "Q6", "x"), ("d", "MISC", "unk", "unk"), ("e", "ORG", "unk", "unk"))
+    kinds = joins.resolve_entity_types(kept, b, table(spark, "wd_id string", ("Q8",)), table(spark, "wd_id string", ("Q7",)))
+    assert rows(kinds, "text", "resolved") == [("a", "EPER"), ("b", "LPER"), ("c", "LOC"), ("d", "MISC"), ("e", "ORG")]
 
 
 def test_eaf_and_flatten(spark, tmp_path):
