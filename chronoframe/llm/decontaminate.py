@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import groups, table
+from chronoframe.llm.common import groups, lean, table
 
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
@@ -237,7 +237,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item:
                     ids = b.column(key).take(pa.array([first + x for x in t]))
                     yield pa.RecordBatch.from_arrays([ids, pa.array(i), *[pa.array(v, pa.int32()) for v in (s, e, d, n)]], [key, item, "start", "end", "edits", "shared"])
 
-        part = rows.mapInArrow(run, out)
+        part = rows.mapInArrow(lean(run), out)
         found = part if found is None else found.union(part)
     return found if found is not None else docs.sparkSession.createDataFrame([], out)
 
@@ -278,7 +278,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, item: str = "item_id",
             if last is not None:
                 yield _rest(last, bad)
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs
 
 
