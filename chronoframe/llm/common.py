@@ -63,6 +63,14 @@ def groups(texts: pa.Array, most_bytes: int = GROUP_BYTES, most_texts: int = GRO
         size += n
 
 
+def small_batches(docs: DataFrame, rows: int = 1_000) -> DataFrame:
+    """``docs``; its session gives Python Arrow batches of at most so many rows from now on, as texts can be long."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return docs
+
+
 def lean(run):
     """The same batches from ``run``; at a task's end its allocators give back what they keep, since workers wait for more tasks."""
 

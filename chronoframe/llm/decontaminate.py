@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import groups, lean, table
+from chronoframe.llm.common import groups, lean, small_batches, table
 
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
@@ -226,7 +226,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item:
     """
     kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
     out = f"{key} {kind}, {item} {item_kind}, start int, end int, edits int, shared int"
-    rows = docs.select(key, "text").where("text is not null")
+    rows = small_batches(docs).select(key, "text").where("text is not null")
     found = None
     for held in _blocks(benchmark, item, q, rate, block_chars):
 
@@ -278,7 +278,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, item: str = "item_id",
             if last is not None:
                 yield _rest(last, bad)
 
-        docs = docs.mapInArrow(lean(run), docs.schema)
+        docs = small_batches(docs).mapInArrow(lean(run), docs.schema)
     return docs
 
 

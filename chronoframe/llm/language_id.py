@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoframe.llm.common import crc_mod, groups, labelled_sample, lean, table
+from chronoframe.llm.common import crc_mod, groups, labelled_sample, lean, small_batches, table
 
 N_CODES = 0x110000
 #: Prototypes are summed as whole numbers of this fraction, so that the order of additions doesn't matter.
@@ -167,7 +167,7 @@ def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray], key: st
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names_out], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*names_out, "lang_pred", "score"])
 
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(*dict.fromkeys([*names_out, "text"])).mapInArrow(lean(predict), schema)
+    return small_batches(docs).select(*dict.fromkeys([*names_out, "text"])).mapInArrow(lean(predict), schema)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

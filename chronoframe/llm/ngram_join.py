@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from chronoframe.llm.common import cut, discard, groups, lean, table
+from chronoframe.llm.common import cut, discard, groups, lean, small_batches, table
 from chronoframe.llm.components import components, joined
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -165,7 +165,7 @@ def each_set(docs: DataFrame, key: str, k: int, make, out: str) -> DataFrame:
 
         yield from make(sets())
 
-    return docs.select(key, "text").mapInArrow(lean(run), out)
+    return small_batches(docs).select(key, "text").mapInArrow(lean(run), out)
 
 
 def summarise(docs: DataFrame, key: str, k: int, percent: int, size: int, keys_of=set_keys) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoframe.llm.common import crc_mod, cut, groups, labelled_sample, lean, table
+from chronoframe.llm.common import crc_mod, cut, groups, labelled_sample, lean, small_batches, table
 
 TOKEN = re.compile(r"[^\W\d_]+")
 BITS = 18
@@ -301,7 +301,7 @@ def tag_toxicity(docs: DataFrame, model: Field, key: str | None = "doc_id", thre
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(scores, pa.float64()), pa.array(spans, span)], [*names, "score", "spans"])
 
     schema = T.StructType([*kept, *T.StructType.fromDDL("score double, spans array<struct<start:int,end:int,p:double>>")])
-    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(lean(tag), schema)
+    return small_batches(docs).select(*dict.fromkeys([*names, "text"])).mapInArrow(lean(tag), schema)
 
 
 #: A document is rejected from this score on.
