@@ -193,7 +193,7 @@ def test_times(spark):
 
 def test_colors(spark):
     one = spark.range(1)
-    got = one.select(fn.prob_to_hex(F.lit(0.2)), fn.luminance(F.lit("#ffffff")), fn.linear_map(F.lit(2.0), 0.0, 1.0), fn.linear_map(F.lit(-1.0), 0.0, 1.0), fn.closest_color(F.lit(250), F.lit(2), F.lit(3))).first()
+    got = one.select(fn.prob_to_hex(F.lit(0.2)), F.round(fn.luminance(F.lit("#ffffff")), 9), fn.linear_map(F.lit(2.0), 0.0, 1.0), fn.linear_map(F.lit(-1.0), 0.0, 1.0), fn.closest_color(F.lit(250), F.lit(2), F.lit(3))).first()
     assert tuple(got) == ("#ecd4d2", 1.0, "#ae1313", "#ffffff", "Red")
 
 
