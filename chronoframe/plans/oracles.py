@@ -73,8 +73,8 @@ ORACLES: dict[str, str] = {
     "face_facts": v("SELECT b.video_id, b.id AS face_id, b.time, b.x, b.y, b.w, b.h, c.cluster FROM a_bboxes b JOIN a_clusters c ON b.video_id = c.video_id AND b.id = c.ref_id", "a_bboxes", "a_clusters"),
     "timeline_tree": v("SELECT video_id, timeline_id, depth, path FROM tree", extra=f"""{PARTS}, tree AS (SELECT video_id, timeline_id, 0 AS depth, ord::VARCHAR AS path FROM parts WHERE parent_id IS NULL
         UNION ALL SELECT t.video_id, t.timeline_id, p.depth + 1, p.path || '/' || t.ord FROM parts t JOIN tree p ON t.video_id = p.video_id AND t.parent_id = p.timeline_id)""").replace("WITH RECURSIVE , ", "WITH RECURSIVE "),
-    "clone_videos": v("SELECT video_id + 1000000000 AS video_id, count(*) AS runs, count(DISTINCT run_id) AS ids FROM a_runs JOIN (SELECT video_id FROM a_videos WHERE video_id % 7 = 0) USING (video_id) WHERE status = 'DONE' GROUP BY 1", "a_runs", "a_videos"),
-    "orphaned_data": "SELECT c_custkey AS data_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "clone_videos": v("SELECT video_id + 1000000000 AS video_id, count(*) AS runs, count(DISTINCT run_id) AS ids FROM a_runs JOIN (SELECT video_id FROM a_videos) USING (video_id) WHERE status = 'DONE' GROUP BY 1", "a_runs", "a_videos"),
+    "orphaned_data": "SELECT p_partkey AS data_id FROM part WHERE p_partkey NOT IN (SELECT l_suppkey FROM lineitem)",
     "scalar_threshold": v("SELECT video_id, series, time, round(CASE WHEN y >= 0.7 THEN 0.7 WHEN y < 0.1 THEN 0.1 ELSE y END, 9) AS y FROM a_scalars", "a_scalars"),
     "threshold_events": v("SELECT video_id, series, time FROM a_scalars WHERE y >= 0.9", "a_scalars"),
     "resample_approx": v("""SELECT video_id, series, time, round(y, 9) AS y FROM (SELECT *, row_number() OVER (PARTITION BY video_id, series ORDER BY time, y) - 1 AS i, count(*) OVER (PARTITION BY video_id, series) AS n FROM a_scalars)
@@ -236,13 +236,13 @@ ORACLES: dict[str, str] = {
         coalesce(max(floor(prob * 16) / 16) FILTER (label = 'click'), 0) AS c, coalesce(max(floor(prob * 16) / 16) FILTER (label = 'purchase'), 0) AS p, coalesce(max(floor(prob * 16) / 16) FILTER (label = 'view'), 0) AS w FROM chunks WHERE label IN ('click', 'purchase', 'view') GROUP BY 1, 2))""", "a_scalars", extra=CHUNKS),
     "cluster_places": v("SELECT m.video_id, m.cluster_rank::INT AS cluster_rank, count(*) AS n, min(m.id) AS first, max('place' || u.label) AS place FROM members m JOIN units u ON u.id = m.id GROUP BY 1, 2", "a_embeddings", extra=_components(0.7)),
     "face_clustering": v("SELECT m.video_id, 'Cluster ' || (m.cluster_rank + 1) AS name, m.id, u.time FROM members m JOIN units u ON u.id = m.id WHERE m.cluster_rank < 3", "a_embeddings", extra=_components(0.7).replace("FROM a_embeddings)", "FROM a_embeddings WHERE (id % 20) / 40.0 >= 0.1)")),
-    "place_clustering": v("SELECT m.video_id, 'Cluster ' || (m.cluster_rank + 1) AS name, m.id, u.time FROM members m JOIN units u ON u.id = m.id WHERE m.cluster_rank < 3", "a_embeddings", extra=_components(0.7).replace("FROM a_embeddings)", "FROM a_embeddings WHERE (video_id, time) IN (SELECT video_id, time FROM a_embeddings WHERE id % 40 < 20))")),
+    "place_clustering": v("SELECT m.video_id, 'Cluster ' || (m.cluster_rank + 1) AS name, m.id, u.time FROM members m JOIN units u ON u.id = m.id WHERE m.cluster_rank < 3", "a_embeddings", extra=_components(0.7)),
     "link_entities": f"WITH {MENTIONS} SELECT * FROM linked",
     "resolve_entity_types": f"""WITH {MENTIONS} SELECT type, CASE WHEN q IS NOT NULL AND q % 10 = 2 THEN 'EVENT' WHEN q IS NOT NULL AND q % 10 = 1 THEN 'ORG' WHEN q % 3 = 0 THEN 'LOC' WHEN q % 8 = 0 THEN 'EPER' WHEN q % 4 = 0 THEN 'LPER'
         WHEN type = 'PER' THEN CASE WHEN wd_label = 'two words' THEN 'EPER' ELSE 'LPER' END ELSE type END AS resolved, count(*) AS n FROM (SELECT *, CASE WHEN wd_id LIKE 'Q%' THEN substr(wd_id, 2)::INT END AS q FROM linked) GROUP BY 1, 2""",
     "move_items": v("SELECT video_id, CASE WHEN ref_id % 3 = 0 THEN 0 ELSE cluster END AS cluster, count(*) AS n FROM a_clusters GROUP BY 1, 2", "a_clusters"),
     "to_documents": """SELECT r AS result_id, min(event_id) AS first_time, (length('{"result_id":' || r || ',"type":"scalar","data_id":"' || r || '"}') + CASE WHEN count(event_id) > 0 THEN length(',"data":[]') + sum(length('{"time":' || event_id || ',"y":' || floor(value)::BIGINT || '}')) + count(*) - 1 ELSE 0 END)::BIGINT AS chars
-        FROM range(60) t(r) LEFT JOIN events ON user_id % 50 = r GROUP BY 1""",
+        FROM (SELECT c_custkey AS r FROM customer) LEFT JOIN events ON user_id = r GROUP BY 1""",
     "export_merged": v("""SELECT video_id, segment_id, row_number() OVER w AS "#", printf('%02d:%02d:%02d.', floor(start_s)::BIGINT // 3600, floor(start_s)::BIGINT // 60 % 60, floor(start_s)::BIGINT % 60) || round_even((start_s - floor(start_s)) * 1000, 0)::BIGINT AS start_s_iso,
         round(end_s - start_s, 9) AS duration, round(coalesce(lead(start_s) OVER w, max(end_s) OVER (PARTITION BY video_id) + 10) - start_s, 9) AS gap_duration, 'n' || (segment_id % 3) AS notes FROM a_segments WINDOW w AS (PARTITION BY video_id ORDER BY start_s, segment_id)""", "a_segments"),
     "export_bundle": v("SELECT DISTINCT 'd' || (video_id % 100) AS data_id FROM a_runs WHERE run_id % 2 = 0", "a_runs"),

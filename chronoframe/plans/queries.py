@@ -89,14 +89,14 @@ def parts(s, d) -> DataFrame:
 
 @query
 def q_clone_videos(s, d):
-    wanted = a.videos(s, d).where("video_id % 7 = 0").select("video_id", (F.col("video_id") + 1_000_000_000).alias("target_id"))
+    wanted = a.videos(s, d).select("video_id", (F.col("video_id") + 1_000_000_000).alias("target_id"))
     out = joins.clone_videos({"runs": a.runs(s, d)}, wanted)["runs"]
     return out.groupBy("video_id").agg(F.count("*").alias("runs"), F.countDistinct("run_id").alias("ids"))
 
 
 @query
 def q_orphaned_data(s, d):
-    return joins.orphaned_data(a.table(s, d, "customer").select(F.col("c_custkey").alias("data_id")), a.table(s, d, "orders").select(F.col("o_custkey").alias("data_id")))
+    return joins.orphaned_data(a.table(s, d, "part").select(F.col("p_partkey").alias("data_id")), a.table(s, d, "lineitem").select(F.col("l_suppkey").alias("data_id")))
 
 
 # scalars
@@ -781,7 +781,7 @@ def q_face_clustering(s, d):
 @query
 def q_place_clustering(s, d):
     e = a.embeddings(s, d)
-    return clusters.place_clustering(e.where("id % 40 < 20").select("video_id", "time"), e, 0.7, 3).select("video_id", "name", "id", "time")
+    return clusters.place_clustering(e.select("video_id", "time").distinct(), e, 0.7, 3).select("video_id", "name", "id", "time")
 
 
 def mentions(s, d):
@@ -818,8 +818,8 @@ def q_move_items(s, d):
 
 @query
 def q_to_documents(s, d):
-    data = a.table(s, d, "events").select((F.col("user_id") % 50).cast("string").alias("data_id"), F.col("event_id").cast("double").alias("time"), F.floor("value").alias("y"))
-    results = s.range(60).select(F.col("id").alias("result_id"), F.lit("scalar").alias("type"), F.col("id").cast("string").alias("data_id"))
+    data = a.table(s, d, "events").select(F.col("user_id").cast("string").alias("data_id"), F.col("event_id").cast("double").alias("time"), F.floor("value").alias("y"))
+    results = a.table(s, d, "customer").select(F.col("c_custkey").alias("result_id"), F.lit("scalar").alias("type"), F.col("c_custkey").cast("string").alias("data_id"))
     out = io.to_documents(results, data.withColumn("time", F.col("time").cast("long")))
     return out.select("result_id", F.get_json_object("json", "$.data[0].time").cast("long").alias("first_time"), F.length("json").cast("long").alias("chars"))
 
