@@ -11,9 +11,13 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)``, with the value computed once, however often the body names it (also inside its own lambdas)."""
+    return F.transform(F.array(value), body)[0]
+
+
 def l2_normalize(v: Column) -> Column:
-    n = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+    return let(F.sqrt(dot(v, v)), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0))))
 
 
 def cos01(a: Column, b: Column) -> Column:

@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronoframe.functions import dot, l2_normalize
 from chronoframe.operators.boxes import face_size_filter
 
 
@@ -27,19 +29,52 @@ def _written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def similar_pairs(embeddings: DataFrame, t: float, metric: str = "cosine", blocks: int = 4) -> DataFrame:
-    """Pairs (a < b) of a video's rows within distance t. Rows meet in pairs of blocks, so that a video is many tasks' work."""
-    e = embeddings.select("video_id", "id", (l2_normalize(F.col("embedding")) if metric == "cosine" else F.col("embedding")).alias("v"))
-    e = e.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("_q", dot(F.col("v"), F.col("v")))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("_b", o).alias("i"), F.greatest("_b", o).alias("j")))
-    x = e.withColumn("_c", F.explode(cells))
-    a, b = x.alias("a"), x.alias("b")
-    met = a.join(b, (F.col("a.video_id") == F.col("b.video_id")) & (F.col("a._c") == F.col("b._c")) & (F.col("a.id") < F.col("b.id")))
-    # a pair of one block meets in every cell of the block; it counts in the block's own
-    met = met.where((F.col("a._b") != F.col("b._b")) | (F.col("a._c.i") == F.col("a._c.j")))
-    p = dot(F.col("a.v"), F.col("b.v"))
-    near = (1 - p <= t) if metric == "cosine" else (F.sqrt(F.greatest(F.lit(0.0), F.col("a._q") + F.col("b._q") - 2 * p)) <= t)
-    return met.where(near).select(F.col("a.video_id").alias("video_id"), F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+def _stars(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's component in a matrix of links, as (first row of it, row); first rows aren't listed."""
+    free, roots, rows = np.ones(len(near), bool), [], []
+    for root in range(len(near)):
+        if not free[root]:
+            continue
+        free[root], front = False, [root]
+        while front:
+            found = np.flatnonzero(near[front.pop()] & free)
+            free[found] = False
+            front.extend(found)
+            roots.append(np.full(len(found), root))
+            rows.append(found)
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(roots + none), np.concatenate(rows + none)
+
+
+def linking_pairs(embeddings: DataFrame, t: float, metric: str = "cosine", block: int = 1024) -> DataFrame:
+    """``video_id, a, b`` with the same components as all pairs of a video's rows within distance t.
+
+    Rows are dealt into blocks of about ``block``, as many as their number asks for, and blocks meet in pairs, one task's work
+    each. A pair of blocks gives its components as stars around their least ids: fewer pairs than it has rows, however many
+    copies of a vector there are. Null vectors link with nothing, and vectors of different lengths don't link.
+    """
+    e = embeddings.where("embedding is not null").select("video_id", "id", "embedding", F.size("embedding").alias("_d"))
+    blocks = e.groupBy("video_id", "_d").agg(F.ceil(F.count("*") / block).alias("_n"))
+    e = e.join(blocks, ["video_id", "_d"]).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_n")))
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), lambda o: F.struct(F.least("_b", o).alias("_i"), F.greatest("_b", o).alias("_j")))
+    x = e.select("video_id", "_d", "id", "embedding", "_b", F.inline(cells))
+    video, key = (embeddings.schema[c].dataType.simpleString() for c in ("video_id", "id"))
+
+    def run(cell: pa.Table) -> pa.Table:
+        cell = cell.sort_by("id").combine_chunks()
+        v = pc.list_flatten(cell.column("embedding")).to_numpy().astype(float).reshape(cell.num_rows, cell.column("_d")[0].as_py())
+        if metric == "cosine":
+            n = np.sqrt((v * v).sum(axis=1, keepdims=True))
+            v = np.divide(v, n, out=np.zeros_like(v), where=n > 0)
+            near = 1 - v @ v.T <= t
+        else:
+            q = (v * v).sum(axis=1)
+            near = np.sqrt(np.maximum(0.0, q[:, None] + q[None] - 2 * (v @ v.T))) <= t
+        a, b = _stars(near)
+        ids = cell.column("id")
+        return pa.table({"video_id": cell.column("video_id").take(a), "a": ids.take(a), "b": ids.take(b)})
+
+    return x.groupBy("video_id", "_d", "_i", "_j").applyInArrow(run, f"video_id {video}, a {key}, b {key}")
 
 
 def label_components(nodes: DataFrame, pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -75,7 +110,7 @@ def sample_members(clusters: DataFrame, k: int = 30) -> DataFrame:
 
 def cluster_single_linkage(embeddings: DataFrame, t: float = 0.5, max_samples: int = 30, metric: str = "cosine") -> DataFrame:
     """Single linkage cut at distance t: ``video_id, id, cluster_rank, size, is_sample``."""
-    members = label_components(embeddings, similar_pairs(embeddings, t, metric))
+    members = label_components(embeddings, linking_pairs(embeddings, t, metric))
     return sample_members(ranked(members), max_samples).select("video_id", "id", "cluster_rank", "size", "is_sample")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronoframe.functions import dot, l2_normalize, softmax
+from chronoframe.functions import dot, l2_normalize, let, softmax
 from chronoframe.operators.scalars import aggregate_per_time
 
 
@@ -17,9 +17,20 @@ def element_mean(df: DataFrame, keys: list[str], vector: str = "embedding") -> D
     return mean.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda x: x["_v"]).alias(vector))
 
 
+#: Query vectors and concepts are what a user asks for; the driver reads them, and refuses more than so many.
+MOST_QUERIES = 1_000
+
+
+def _asked(queries: DataFrame) -> list:
+    rows = queries.limit(MOST_QUERIES + 1).collect()
+    if len(rows) > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} query vectors; ask in parts")
+    return rows
+
+
 def _queries(queries: DataFrame) -> Column:
-    """The query vectors as one literal. Queries are what a user asks for: a handful, read by the driver."""
-    rows = queries.select(l2_normalize(F.col("embedding")).alias("e")).collect()
+    """The query vectors as one literal."""
+    rows = _asked(queries.select(l2_normalize(F.col("embedding")).alias("e")))
     return F.array(*[F.array(*[F.lit(float(x)) for x in r.e]) for r in rows])
 
 
@@ -29,9 +40,8 @@ def cosine_over_time(targets: DataFrame, queries: DataFrame, normalize: int = 0,
     Bounds that aren't given are those of the video's values; where they coincide y is 0.
     """
     q = _queries(queries)
-    unit = l2_normalize(F.col("embedding"))
-    sim = F.array_max(F.transform(q, lambda v: (dot(F.col("_u"), v) + 1) / 2))
-    y = targets.withColumn("_u", unit).withColumn("_y", sim).groupBy("video_id", "time").agg(F.max("_y").alias("y"))
+    sim = let(l2_normalize(F.col("embedding")), lambda u: F.array_max(F.transform(q, lambda v: (dot(u, v) + 1) / 2)))
+    y = targets.withColumn("_y", sim).groupBy("video_id", "time").agg(F.max("_y").alias("y"))
     if not normalize:
         return y
     w = W.partitionBy("video_id")
@@ -55,11 +65,11 @@ def prompt_probs(embeddings: DataFrame, pos: DataFrame, neg: DataFrame | None =
 
 def concept_probs(embeddings: DataFrame, concepts: DataFrame, scale: float = 100.0) -> DataFrame:
     """A series per concept: the softmax over concepts of ``scale`` times the dot products."""
-    rows = concepts.select("name", l2_normalize(F.col("embedding")).alias("e")).orderBy("name").collect()
+    rows = sorted(_asked(concepts.select("name", l2_normalize(F.col("embedding")).alias("e"))), key=lambda r: r["name"])
     q = F.array(*[F.array(*[F.lit(float(x)) for x in r.e]) for r in rows])
     names = F.array(*[F.lit(r.name if isinstance(r.name, str) else r["name"]) for r in rows])
-    e = embeddings.withColumn("_u", l2_normalize(F.col("embedding")))
-    e = e.withColumn("_p", softmax(F.transform(q, lambda v: dot(F.col("_u"), v)), scale))
+    near = let(l2_normalize(F.col("embedding")), lambda u: F.transform(q, lambda v: dot(u, v)))
+    e = embeddings.withColumn("_p", let(near, lambda p: softmax(p, scale)))
     return e.select("video_id", "id", "time", F.explode(F.arrays_zip(names.alias("series"), F.col("_p").alias("y"))).alias("_z")).select("video_id", "id", "time", F.col("_z.series").alias("series"), F.col("_z.y").alias("y"))
 
 
