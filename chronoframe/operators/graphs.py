@@ -55,18 +55,20 @@ def annotations_by_second(segs: DataFrame) -> DataFrame:
     return s.select("video_id", F.explode(F.sequence("_a", "_b")).alias("second"), "segment_id")
 
 
-def usage_stats(videos: DataFrame, runs: DataFrame, blacklist: list[int] | None = None) -> DataFrame:
-    """One row of totals: users by number of videos, videos by length and by number of runs."""
-    v = videos.where(~F.col("owner_id").isin(blacklist)) if blacklist else videos
+def usage_stats(users: DataFrame, videos: DataFrame, runs: DataFrame, blacklist: list[int] | None = None) -> DataFrame:
+    """One row of totals: users, all and by number of videos; their videos, all, by length and by number of runs."""
+    u = users.where(~F.col("user_id").isin(blacklist)) if blacklist else users
+    v = videos.join(u.select(F.col("user_id").alias("owner_id")), "owner_id", "left_semi")
     r = runs.join(v.select("video_id"), "video_id", "left_semi")
     per_user = v.groupBy("owner_id").agg(F.count("*").alias("n"))
     per_video = r.groupBy("video_id").agg(F.count("*").alias("n"))
-    users = per_user.agg(*[F.count_if(F.col("n") >= k).alias(f"users_{k}") for k in (5, 10, 50)])
-    lengths = v.agg(*[F.count_if(F.col("duration") >= k * 60).alias(f"videos_{k}min") for k in (10, 60)], F.round(F.sum("duration") / 60, 3).alias("minutes"))
+    owners = u.select(F.col("user_id").alias("owner_id")).join(per_user, "owner_id", "left")
+    totals = owners.agg(F.count("*").alias("users_all"), *[F.count_if(F.col("n") >= k).alias(f"users_{k}") for k in (5, 10, 50)])
+    lengths = v.agg(F.count("*").alias("videos_all"), *[F.count_if(F.col("duration") >= k * 60).alias(f"videos_{k}min") for k in (10, 60)], F.round(F.sum("duration") / 60, 3).alias("minutes"))
     counts = per_video.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("runs"), *[F.count_if(F.col("n") >= k).alias(f"videos_{k}runs") for k in (5, 10, 20)])
     # three one-row tables side by side
     key = F.lit(0).alias("_k")
-    return users.withColumn("_k", F.lit(0)).join(lengths.withColumn("_k", F.lit(0)), "_k").join(counts.select("*", key), "_k").drop("_k")
+    return totals.withColumn("_k", F.lit(0)).join(lengths.withColumn("_k", F.lit(0)), "_k").join(counts.select("*", key), "_k").drop("_k")
 
 
 def video_progress(videos: DataFrame, runs: DataFrame) -> DataFrame:
@@ -94,8 +96,7 @@ def word_cloud(texts: DataFrame, stopwords: DataFrame, k: int = 40) -> DataFrame
     w = texts.select(F.explode(F.split("text", " ")).alias("w")).select(F.lower(F.regexp_replace("w", r"[,.]\z", "")).alias("word"))
     w = w.where(~F.col("word").isin("", "..", ".", "?", "!")).groupBy("word").agg(F.count("*").alias("n"))
     w = w.join(stopwords.select("word"), "word", "left_anti").orderBy(F.desc("n"), "word").limit(k)
-    top = w.agg(F.max("n").alias("_top"))
-    return w.join(F.broadcast(top)).select("word", "n", (F.col("n") / F.col("_top") * 100).alias("size"))
+    return w.select("word", "n", (F.col("n") / F.max("n").over(W.partitionBy(F.lit(0))) * 100).alias("size"))  # over k rows
 
 
 def transcript_segments(segs: DataFrame, links: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:

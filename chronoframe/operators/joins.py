@@ -92,11 +92,9 @@ def sample_frames(frames: DataFrame, shots: DataFrame, start: bool = False, midd
         parts.append(("middle", F.lit(True), F.struct(F.abs(F.col("time") - (F.col("s") + F.col("e")) / 2), "time")))
     if end:
         parts.append(("end", F.col("time") <= F.col("e"), F.struct(F.abs(F.col("time") - F.col("e")), "time")))
-    out = None
-    for name, ok, nearest in parts:
-        one = hit.where(ok).groupBy("video_id", "segment_id").agg(F.min_by("time", nearest).alias("time")).select("video_id", "segment_id", F.lit(name).alias("part"), "time")
-        out = one if out is None else out.unionByName(one)
-    return out
+    best = hit.groupBy("video_id", "segment_id").agg(*[F.min_by("time", F.when(ok, nearest)).alias(name) for name, ok, nearest in parts])
+    found = F.array(*[F.struct(F.lit(name).alias("part"), F.col(name).alias("time")) for name, _, _ in parts])
+    return best.select("video_id", "segment_id", F.inline(found)).where("time is not null")
 
 
 def neighbours(segs: DataFrame) -> DataFrame:

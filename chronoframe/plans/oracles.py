@@ -156,11 +156,11 @@ ORACLES: dict[str, str] = {
         ON c.video_id = s.video_id AND floor(c.time + 0.5) >= floor(s.start_s + 0.5) AND floor(c.time + 0.5) < floor(s.end_s + 0.5)) GROUP BY 1, 2, 3""", "a_segments", "a_clusters"),
     "segments_by_second": v("SELECT video_id, second, count(*) AS n FROM (SELECT video_id, unnest(range(floor(start_s)::BIGINT, ceil(end_s)::BIGINT)) AS second FROM hours) GROUP BY 1, 2", "a_segments", extra=HOURS),
     "annotations_by_second": v("SELECT video_id, second, count(*) AS n FROM (SELECT video_id, unnest(range(ceil(start_s)::BIGINT, ceil(end_s)::BIGINT)) AS second FROM hours) GROUP BY 1, 2", "a_segments", extra=HOURS),
-    "usage_stats": v("""SELECT count(*) FILTER (n >= 5) AS users_5, count(*) FILTER (n >= 10) AS users_10, count(*) FILTER (n >= 50) AS users_50, any_value(videos_10min) AS videos_10min, any_value(videos_60min) AS videos_60min, any_value(minutes) AS minutes,
-        any_value(runs) AS runs, any_value(videos_5runs) AS videos_5runs, any_value(videos_10runs) AS videos_10runs, any_value(videos_20runs) AS videos_20runs FROM (SELECT owner_id, count(*) AS n FROM vv GROUP BY 1),
-        (SELECT count(*) FILTER (duration >= 600) AS videos_10min, count(*) FILTER (duration >= 3600) AS videos_60min, round(sum(duration) / 60, 3) AS minutes FROM vv),
+    "usage_stats": v("""SELECT count(*) AS users_all, count(*) FILTER (n >= 5) AS users_5, count(*) FILTER (n >= 10) AS users_10, count(*) FILTER (n >= 50) AS users_50, any_value(videos_all) AS videos_all, any_value(videos_10min) AS videos_10min, any_value(videos_60min) AS videos_60min,
+        any_value(minutes) AS minutes, any_value(runs) AS runs, any_value(videos_5runs) AS videos_5runs, any_value(videos_10runs) AS videos_10runs, any_value(videos_20runs) AS videos_20runs FROM (SELECT user_id, count(video_id) AS n FROM uu LEFT JOIN a_videos ON owner_id = user_id GROUP BY 1),
+        (SELECT count(*) AS videos_all, count(*) FILTER (duration >= 600) AS videos_10min, count(*) FILTER (duration >= 3600) AS videos_60min, round(sum(duration) / 60, 3) AS minutes FROM vv),
         (SELECT sum(n)::BIGINT AS runs, count(*) FILTER (n >= 5) AS videos_5runs, count(*) FILTER (n >= 10) AS videos_10runs, count(*) FILTER (n >= 20) AS videos_20runs FROM (SELECT video_id, count(*) AS n FROM a_runs WHERE video_id IN (SELECT video_id FROM vv) GROUP BY 1))""",
-        "a_videos", "a_runs", extra="vv AS (SELECT * FROM a_videos WHERE owner_id NOT IN (1, 2, 3))"),
+        "a_videos", "a_runs", extra="uu AS (SELECT c_custkey AS user_id FROM customer WHERE c_custkey NOT IN (1, 2, 3)), vv AS (SELECT * FROM a_videos WHERE owner_id IN (SELECT user_id FROM uu))"),
     "video_progress": v("SELECT v.video_id, round(p, 9) AS progress FROM a_videos v LEFT JOIN (SELECT video_id, 100.0::DOUBLE * count(*) FILTER (status NOT IN ('RUNNING', 'QUEUED')) / count(*) AS p FROM a_runs GROUP BY 1) r ON v.video_id = r.video_id", "a_videos", "a_runs"),
     "timeline_counts": "SELECT l_orderkey AS video_id, count(*) AS n FROM lineitem GROUP BY 1",
     "exclude_names": "SELECT n_name AS name FROM nation WHERE n_regionkey <> 1",

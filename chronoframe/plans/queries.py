@@ -475,7 +475,8 @@ def q_annotations_by_second(s, d):
 
 @query
 def q_usage_stats(s, d):
-    return graphs.usage_stats(a.videos(s, d), a.runs(s, d), [1, 2, 3])
+    users = a.table(s, d, "customer").select(F.col("c_custkey").alias("user_id"))
+    return graphs.usage_stats(users, a.videos(s, d), a.runs(s, d), [1, 2, 3])
 
 
 @query

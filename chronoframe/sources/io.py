@@ -35,16 +35,25 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of the model, with its fixed schema; other names are refused."""
     if name not in SCHEMAS:
         raise KeyError(f"no table type {name!r}")
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")
+    df = spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")
+    return df.select(*[c.split()[0] for c in SCHEMAS[name].split(", ")])
 
 
-def save(df: DataFrame, folder: str, name: str, mode: str = "overwrite") -> None:
-    """Written by video where the table has one; columns and their types must be the model's."""
+def save(df: DataFrame, folder: str, name: str, mode: str = "overwrite", by_video: bool = False) -> None:
+    """Columns and their types become the model's. A table of videos' rows is written in ranges of videos, sorted, so that
+
+    a filter on videos skips files and row groups; with ``by_video`` (few, large videos) each video has a folder of its own.
+    """
     if name not in SCHEMAS:
         raise KeyError(f"no table type {name!r}")
     want = df.sparkSession.createDataFrame([], SCHEMAS[name]).schema
     out = df.select(*[F.col(f.name).cast(f.dataType) for f in want])
-    out.write.mode(mode).parquet(f"{folder}/{name}")
+    if "video_id" not in out.columns:
+        out.write.mode(mode).parquet(f"{folder}/{name}")
+    elif by_video:
+        out.write.partitionBy("video_id").mode(mode).parquet(f"{folder}/{name}")
+    else:
+        out.repartitionByRange("video_id", *[c for c in ("time", "start_s", "i") if c in out.columns]).sortWithinPartitions("video_id").write.mode(mode).parquet(f"{folder}/{name}")
 
 
 #: The parts of an annotation document that are read; inferring it would turn lists of one into structs.

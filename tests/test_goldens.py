@@ -236,10 +236,46 @@ def test_save_and_load(spark, tmp_path):
     t = table(spark, "segment_id long, annotation_id long", (1, 2))
     io.save(t, str(tmp_path), "segment_annotations")
     assert rows(io.load(spark, str(tmp_path), "segment_annotations"), "segment_id", "annotation_id") == [(1, 2)]
+    v = table(spark, "owner_id int, video_id long, fps double, duration double", (7, 2, 25.0, 9.0), (8, 1, 25.0, 5.0), (8, 3, None, 1.0))
+    for by_video in (False, True):
+        io.save(v, str(tmp_path), "videos", by_video=by_video)
+        back = io.load(spark, str(tmp_path), "videos")
+        assert back.columns == ["video_id", "owner_id", "duration", "fps"]
+        assert rows(back, "video_id", "owner_id", "duration") == [(1, 8, 5), (2, 7, 9), (3, 8, 1)]
+    assert (tmp_path / "videos" / "video_id=2").is_dir()
     with pytest.raises(KeyError):
         io.load(spark, str(tmp_path), "nothing")
 
 
+def test_linking_pairs_link_as_all_pairs_do(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    x = [(v, v * 1000 + i, [float(y) for y in p]) for v in (1, 2) for i, p in enumerate(rnd.normal(size=(60, 3)))]
+    x += [(2, 5000 + i, [0.0, 1.0, 0.0]) for i in range(40)] + [(2, 6000, None), (2, 6001, [1.0, 0.0])]  # copies, no vector, another length
+    e = table(spark, "video_id long, id long, embedding array<float>", *x)
+
+    def components(t, metric):
+        own = {r[1]: r[1] for r in x}
+        rows_ = [(v, i, np.array(p, np.float32).astype(float)) for v, i, p in x if p is not None]
+        for _ in range(len(x)):
+            was = dict(own)
+            for v, i, p in rows_:
+                for w, j, q in rows_:
+                    if v == w and len(p) == len(q):
+                        far = 1 - p @ q / np.linalg.norm(p) / np.linalg.norm(q) if metric == "cosine" else np.linalg.norm(p - q)
+                        if far <= t:
+                            own[i] = min(own[i], own[j])
+            if own == was:
+                return own
+
+    for t, metric in ((0.02, "cosine"), (0.3, "euclidean")):
+        pairs = clusters.linking_pairs(e, t, metric, block=16)
+        got = clusters.label_components(e, pairs).collect()
+        assert {r.id: r.component for r in got} == components(t, metric)
+    assert clusters.linking_pairs(e, 0.02).where("a >= 5000").count() < 40
+
+
 def test_spectrogram_finds_the_tone(spark):
     import math
 
