@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronoframe.operators.joins import overlap_join
+
 
 def split_segments(segs: DataFrame, links: DataFrame, edits: DataFrame) -> dict[str, DataFrame]:
     """Segments cut at t into two (ids from the old one), annotations on both; an edit outside its segment changes nothing."""
@@ -114,13 +116,24 @@ def annotations_to_timeline(annos: DataFrame, category: str) -> dict[str, DataFr
     }
 
 
-def annotation_cells(segs: DataFrame, links: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
-    """A segment's annotations as ``category::name`` joined by +, in order; "None" where there is none."""
+def annotation_cells(segs: DataFrame, links: DataFrame, annotations: DataFrame, categories: DataFrame, target: DataFrame | None = None) -> DataFrame:
+    """A segment's annotations as ``category::name`` joined by +, in order; "None" where there is none.
+
+    With ``target`` (other segments of the same videos) each of those gets the cells of all segments that it overlaps or
+    touches, by their starts, joined by + too.
+    """
     a = annotations.join(categories.select("category_id", "category_name"), "category_id", "left")
     cell = F.concat(F.coalesce(F.concat("category_name", F.lit("::")), F.lit("")), F.col("name"))
     named = links.join(a.select("annotation_id", cell.alias("cell")), "annotation_id")
     g = segs.join(named, "segment_id", "left").groupBy("video_id", "segment_id").agg(F.array_join(F.sort_array(F.collect_list("cell")), "+").alias("cell"))
-    return g.withColumn("cell", F.when(F.col("cell") == "", "None").otherwise(F.col("cell")))
+    g = g.withColumn("cell", F.when(F.col("cell") == "", "None").otherwise(F.col("cell")))
+    if target is None:
+        return g
+    own = segs.select("video_id", "segment_id", "start_s").join(g, ["video_id", "segment_id"]).withColumnRenamed("segment_id", "b_id")
+    met = overlap_join(target, segs, strict=False).join(own, ["video_id", "b_id"])
+    cells = F.transform(F.sort_array(F.collect_list(F.struct("start_s", "b_id", "cell"))), lambda x: x["cell"])
+    met = met.groupBy("video_id", F.col("a_id").alias("segment_id")).agg(F.array_join(cells, "+").alias("cell"))
+    return target.select("video_id", "segment_id").join(met, ["video_id", "segment_id"], "left").fillna("None", ["cell"])
 
 
 def affected_segments(*parts: DataFrame) -> DataFrame:

@@ -172,6 +172,10 @@ ORACLES: dict[str, str] = {
     "non_transcripts": f"WITH {NOTES} SELECT name, count(*) AS n FROM links JOIN dim USING (annotation_id) LEFT JOIN cats USING (category_id) WHERE category_name IS NULL OR category_name <> 'Transcript' GROUP BY 1",
     "search_transcripts": v("SELECT video_id, segment_id FROM a_transcripts WHERE contains(lower(text), 'tion')", "a_transcripts"),
     "annotation_cells": f"WITH {NOTES} SELECT s.video_id, s.segment_id, coalesce(string_agg(coalesce(category_name || '::', '') || name, '+' ORDER BY coalesce(category_name || '::', '') || name), 'None') AS cell FROM segs s LEFT JOIN links USING (segment_id) LEFT JOIN dim USING (annotation_id) LEFT JOIN cats USING (category_id) GROUP BY 1, 2",
+    "annotation_cells_by_target": f"""WITH {NOTES}, own AS (SELECT s.video_id, s.segment_id, s.start_s, s.end_s, coalesce(string_agg(coalesce(category_name || '::', '') || name, '+' ORDER BY coalesce(category_name || '::', '') || name), 'None') AS cell FROM segs s LEFT JOIN links USING (segment_id) LEFT JOIN dim USING (annotation_id) LEFT JOIN cats USING (category_id) GROUP BY 1, 2, 3, 4),
+        t AS (SELECT video_id, segment_id, start_s + 4 AS a, end_s + 9 AS b FROM segs WHERE segment_id % 2 = 1)
+        SELECT t.video_id, t.segment_id, coalesce(string_agg(cell, '+' ORDER BY o.start_s, o.segment_id), 'None') AS cell FROM t LEFT JOIN own o ON o.video_id = t.video_id AND ((o.start_s BETWEEN a AND b) OR (o.end_s BETWEEN a AND b) OR (o.start_s <= a AND o.end_s >= b)) GROUP BY 1, 2""",
+    "overlap_join_closed": f"WITH {NOTES} SELECT x.video_id, x.segment_id AS a_id, y.segment_id AS b_id FROM segs x JOIN segs y ON x.video_id = y.video_id AND x.start_s <= y.end_s + 10 AND y.end_s <= x.end_s",
     "split_segments": f"""WITH {NOTES}, cut AS (SELECT *, segment_id % 3 = 0 AND end_s > start_s + 4 AS c FROM segs)
         SELECT video_id, start_s, CASE WHEN c THEN start_s + 4 ELSE end_s END AS end_s FROM cut UNION ALL SELECT video_id, start_s + 4, end_s FROM cut WHERE c""",
     "merge_segments": f"""WITH {NOTES}, e AS (SELECT timeline_id, min(start_s) AS a, max(end_s) AS b FROM segs WHERE segment_id % 10 <= 2 AND video_id % 2 = 0 GROUP BY 1 HAVING count(DISTINCT segment_id) > 1)

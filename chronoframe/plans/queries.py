@@ -539,6 +539,19 @@ def q_annotation_cells(s, d):
     return timelines.annotation_cells(*notes(s, d))
 
 
+@query
+def q_annotation_cells_by_target(s, d):
+    segs, *rest = notes(s, d)
+    target = segs.where("segment_id % 2 = 1").withColumn("start_s", F.col("start_s") + 4).withColumn("end_s", F.col("end_s") + 9)
+    return timelines.annotation_cells(segs, *rest, target=target)
+
+
+@query
+def q_overlap_join_closed(s, d):
+    segs = notes(s, d)[0]
+    return joins.overlap_join(segs, segs.withColumn("start_s", F.col("end_s")).withColumn("end_s", F.col("end_s") + 10), strict=False)
+
+
 @query
 def q_split_segments(s, d):
     segs, links, _, _ = notes(s, d)
