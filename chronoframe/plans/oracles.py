@@ -53,6 +53,14 @@ def _components(t: float) -> str:
     members AS (SELECT video_id, id, cluster_rank, size, row_number() OVER (PARTITION BY video_id, c ORDER BY id) - 1 AS position FROM comp JOIN sizes USING (video_id, c))"""
 
 
+def _elan(fn: str) -> str:
+    return v(
+        f"""SELECT video_id, 'notes' AS tier, trunc(start_s * 1000)::BIGINT AS start_ms, trunc(end_s * 1000)::BIGINT AS end_ms, CASE WHEN segment_id % 2 = 0 THEN 'a; b' ELSE 'value:' || (row_number() OVER (PARTITION BY video_id ORDER BY start_s, segment_id) - 1) END AS value FROM a_segments WHERE trunc(start_s * 1000) < trunc(end_s * 1000)
+        UNION ALL SELECT s.video_id, p.series, trunc(s.start_s * 1000)::BIGINT, trunc(s.end_s * 1000)::BIGINT, 'value:' || round_even({fn}(floor(p.y * 64) / 64), 3) FROM a_segments s JOIN a_scalars p ON {IN} BETWEEN s.start_s AND s.end_s WHERE trunc(s.start_s * 1000) < trunc(s.end_s * 1000) GROUP BY s.video_id, s.segment_id, s.start_s, s.end_s, p.series""",
+        "a_scalars", "a_segments",
+    )
+
+
 WHOLE = "round(sum(y), 9)"
 SEGVAL = f"SELECT s.video_id, s.segment_id, round(avg(p.y), 9) AS mean FROM a_segments s JOIN a_scalars p ON {IN} BETWEEN s.start_s AND s.end_s GROUP BY ALL"
 HOURS = "hours AS (SELECT video_id, segment_id, start_s / 3600 AS start_s, end_s / 3600 AS end_s FROM a_segments)"
@@ -206,10 +214,12 @@ ORACLES: dict[str, str] = {
     "truncate_label": "SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 96) || ' ...' ELSE text END AS label FROM documents",
     "box_iou": v("""SELECT video_id, id, round(CASE WHEN u - o > 0 THEN o / (u - o) ELSE 0.0 END, 9) AS iou FROM (SELECT video_id, id, w * h + pw * ph AS u, greatest(0, least(x + w, px + pw) - greatest(x, px)) * greatest(0, least(y + h, py + ph) - greatest(y, py)) AS o FROM
         (SELECT *, lag(x) OVER q AS px, lag(y) OVER q AS py, lag(w) OVER q AS pw, lag(h) OVER q AS ph FROM a_bboxes WINDOW q AS (PARTITION BY video_id ORDER BY time, id)) WHERE px IS NOT NULL)""", "a_bboxes"),
-    "export_elan_rows": v("SELECT video_id, 'notes' AS tier, trunc(start_s * 1000)::BIGINT AS start_ms, trunc(end_s * 1000)::BIGINT AS end_ms, CASE WHEN segment_id % 2 = 0 THEN 'a; b' ELSE 'value:' || (row_number() OVER (PARTITION BY video_id ORDER BY start_s, segment_id) - 1) END AS value FROM a_segments WHERE trunc(start_s * 1000) < trunc(end_s * 1000)", "a_segments"),
+    "export_elan_rows": _elan("avg"),
+    "export_elan_rows_max": _elan("max"),
+    "export_elan_rows_min": _elan("min"),
     "export_scalar": v("SELECT video_id, time, round(y, 9) AS data FROM a_scalars WHERE series = 'view'", "a_scalars"),
     "export_many": v("SELECT video_id, owner_id, round(duration, 9) AS duration FROM a_videos WHERE owner_id IN (1, 2, 3) OR video_id IN (7, 32)", "a_videos"),
-    "export_individual": v("SELECT DISTINCT video_id, 'tier' AS timeline, start_s, '[\"l' || segment_id || '\"]' AS value FROM a_segments", "a_segments"),
+    "export_individual": v("SELECT DISTINCT video_id, 'tier' AS timeline, start_s, '[\"l' || segment_id || '\"]' AS value FROM a_segments UNION ALL SELECT video_id, series, time, round_even(floor(y * 64) / 64, 5)::VARCHAR FROM a_scalars", "a_scalars", "a_segments"),
     "dedupe_by_content": "SELECT doc_id, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept, sha1(coalesce(text, '')) AS sha1 FROM documents",
     "sample_frames": v("""SELECT video_id, segment_id, part, time FROM (
         SELECT *, row_number() OVER (PARTITION BY video_id, segment_id, part ORDER BY dist, time) AS n FROM (

@@ -725,11 +725,30 @@ def q_box_iou(s, d):
 
 # exports
 
-@query
-def q_export_elan_rows(s, d):
+def steps(s, d):
+    """The scalars in steps of 1/64: their sums are exact, and their texts are the same everywhere."""
+    return a.scalars(s, d).withColumn("y", F.floor(F.col("y") * 64) / 64)
+
+
+def elan_rows(s, d, agg):
     seg = a.segments(s, d)
     cells = seg.select("video_id", F.lit("notes").alias("tier"), "segment_id", "start_s", "end_s", F.when(F.col("segment_id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>")).alias("labels"))
-    return io.export_elan_rows(seg, a.scalars(s, d).where("1 = 0"), cells)
+    return io.export_elan_rows(seg, steps(s, d), cells, agg)
+
+
+@query
+def q_export_elan_rows(s, d):
+    return elan_rows(s, d, "mean")
+
+
+@query
+def q_export_elan_rows_max(s, d):
+    return elan_rows(s, d, "max")
+
+
+@query
+def q_export_elan_rows_min(s, d):
+    return elan_rows(s, d, "min")
 
 
 @query
@@ -746,7 +765,7 @@ def q_export_many(s, d):
 def q_export_individual(s, d):
     seg = a.segments(s, d)
     n = seg.select("video_id", F.lit("tier").alias("name"), "start_s", "end_s", F.array(F.concat(F.lit("l"), F.col("segment_id"))).alias("labels"))
-    return io.export_individual(a.scalars(s, d).where("1 = 0"), n).select("video_id", "timeline", "start_s", "value")
+    return io.export_individual(steps(s, d), n).select("video_id", "timeline", "start_s", "value")
 
 
 @query
