@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -102,18 +104,20 @@ def spectrogram(signal: DataFrame, n_fft: int = 256, normalize: bool = False, fl
     s = s.withColumn("slot", F.col("i") - F.col("frame") * hop + half)
     f = s.groupBy("video_id", "frame", "n", "sr").agg(F.collect_list(F.struct("slot", "y")).alias("s"))  # at most n_fft samples
 
-    def transform(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n_fft) / n_fft)
-        for pdf in batches:
-            x = np.zeros((len(pdf), n_fft))
-            for k, samples in enumerate(pdf["s"]):
-                for p in samples:
-                    if 0 <= p["slot"] < n_fft:
-                        x[k, p["slot"]] = p["y"]
+        for b in batches:
+            x, samples = np.zeros((b.num_rows, n_fft)), pc.list_flatten(b.column("s"))
+            row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column("s")).to_numpy())
+            slot, y = (pc.struct_field(samples, c).to_numpy(zero_copy_only=False) for c in ("slot", "y"))
+            ok = (slot >= 0) & (slot < n_fft)
+            x[row[ok], slot[ok]] = y[ok]
             mag = np.abs(np.fft.rfft(x * window, axis=1))
-            yield pd.DataFrame({"video_id": pdf["video_id"], "frame": pdf["frame"], "n": pdf["n"], "sr": pdf["sr"], "mag": list(mag)})
+            lists = pa.ListArray.from_arrays(np.arange(b.num_rows + 1, dtype=np.int32) * mag.shape[1], mag.ravel())
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("video_id", "frame", "n", "sr")], lists], ["video_id", "frame", "n", "sr", "mag"])
 
-    m = f.mapInPandas(transform, "video_id long, frame long, n long, sr int, mag array<double>")
+    f = f.select(F.col("video_id").cast("long"), F.col("frame").cast("long"), F.col("n").cast("long"), F.col("sr").cast("int"), "s")
+    m = f.mapInArrow(transform, "video_id long, frame long, n long, sr int, mag array<double>")
     top = m.groupBy("video_id").agg(F.max(F.array_max("mag")).alias("_top"), F.max("frame").alias("_last"))
     db = lambda x: F.greatest(F.lit(-floor_db), 20 * F.log10(F.greatest(x, F.lit(1e-10)) / F.greatest(F.col("_top"), F.lit(1e-10))))
     out = m.join(top, "video_id").withColumn("bins", F.transform("mag", db))

@@ -282,3 +282,23 @@ def test_spectrogram_finds_the_tone(spark):
     s = spark.createDataFrame([(1, i, math.sin(2 * math.pi * 4 * i / 32), 32) for i in range(128)], "video_id long, i long, y double, sr int")
     mid = signal.spectrogram(s, 32).where("frame = 8").first()
     assert max(range(17), key=lambda k: mid.bins[k]) == 4 and max(mid.bins) <= 0 and min(mid.bins) >= -80
+
+
+def test_spectrogram_against_numpy(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    want, data = {}, []
+    for v, n in ((1, 100), (2, 37)):
+        y = rnd.normal(size=n)
+        data += [(v, i, float(q), 32) for i, q in enumerate(y)]
+        size, hop, half = 16, 4, 8
+        pad = np.concatenate([np.zeros(half), y, np.zeros(size)])
+        w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
+        mags = [np.abs(np.fft.rfft(pad[f * hop : f * hop + size] * w)) for f in range(n // hop + 1)]
+        top = max(m.max() for m in mags)
+        for f, m in enumerate(mags):
+            want[v, f] = np.maximum(-80, 20 * np.log10(np.maximum(m, 1e-10) / top))
+    s = spark.createDataFrame(data, "video_id long, i long, y double, sr int")
+    got = {(r.video_id, r.frame): r.bins for r in signal.spectrogram(s, 16).collect()}
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)
