@@ -29,23 +29,6 @@ def _written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _stars(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's component in a matrix of links, as (first row of it, row); first rows aren't listed."""
-    free, roots, rows = np.ones(len(near), bool), [], []
-    for root in range(len(near)):
-        if not free[root]:
-            continue
-        free[root], front = False, [root]
-        while front:
-            found = np.flatnonzero(near[front.pop()] & free)
-            free[found] = False
-            front.extend(found)
-            roots.append(np.full(len(found), root))
-            rows.append(found)
-    none = [np.zeros(0, np.int64)]
-    return np.concatenate(roots + none), np.concatenate(rows + none)
-
-
 def linking_pairs(embeddings: DataFrame, t: float, metric: str = "cosine", block: int = 1024) -> DataFrame:
     """``video_id, a, b`` with the same components as all pairs of a video's rows within distance t.
 
@@ -60,6 +43,22 @@ def linking_pairs(embeddings: DataFrame, t: float, metric: str = "cosine", block
     x = e.select("video_id", "_d", "id", "embedding", "_b", F.inline(cells))
     video, key = (embeddings.schema[c].dataType.simpleString() for c in ("video_id", "id"))
 
+    def stars(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's component in a matrix of links, as (first row of it, row); first rows aren't listed."""
+        free, roots, rows = np.ones(len(near), bool), [], []
+        for root in range(len(near)):
+            if not free[root]:
+                continue
+            free[root], front = False, [root]
+            while front:
+                found = np.flatnonzero(near[front.pop()] & free)
+                free[found] = False
+                front.extend(found)
+                roots.append(np.full(len(found), root))
+                rows.append(found)
+        none = [np.zeros(0, np.int64)]
+        return np.concatenate(roots + none), np.concatenate(rows + none)
+
     def run(cell: pa.Table) -> pa.Table:
         cell = cell.sort_by("id").combine_chunks()
         v = pc.list_flatten(cell.column("embedding")).to_numpy().astype(float).reshape(cell.num_rows, cell.column("_d")[0].as_py())
@@ -70,7 +69,7 @@ def linking_pairs(embeddings: DataFrame, t: float, metric: str = "cosine", block
         else:
             q = (v * v).sum(axis=1)
             near = np.sqrt(np.maximum(0.0, q[:, None] + q[None] - 2 * (v @ v.T))) <= t
-        a, b = _stars(near)
+        a, b = stars(near)
         ids = cell.column("id")
         return pa.table({"video_id": cell.column("video_id").take(a), "a": ids.take(a), "b": ids.take(b)})
 
