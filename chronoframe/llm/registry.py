@@ -1,5 +1,6 @@
 """Name → query and name → DuckDB SQL of this subpackage."""
 
+from chronoframe.llm.align import op11_token_alignment
 from chronoframe.llm.chat_format import OP9_SQL, op9_chat_formatting
 from chronoframe.llm.decontaminate import op1_decontamination
 from chronoframe.llm.html_extract import op10_html_extraction
@@ -24,6 +25,7 @@ QUERIES = {
         op8_ngram_join,
         op9_chat_formatting,
         op10_html_extraction,
+        op11_token_alignment,
     )
 }
 ORACLES = {"op4_mixing_sources": OP4_SQL, "op7_warc_revisit": OP7_SQL, "op9_chat_formatting": OP9_SQL}
