@@ -8,6 +8,7 @@ from chronoframe.llm.language_id import op2_language_id
 from chronoframe.llm.license_scan import op5_license_scan
 from chronoframe.llm.media_avi import op3_media_avi
 from chronoframe.llm.mixing import OP4_SQL, op4_mixing_sources
+from chronoframe.llm.negatives import OP12_SQL, op12_hard_negatives
 from chronoframe.llm.ngram_join import op8_ngram_join
 from chronoframe.llm.toxicity import op6_toxicity
 from chronoframe.llm.warc_revisit import OP7_SQL, op7_warc_revisit
@@ -26,6 +27,7 @@ QUERIES = {
         op9_chat_formatting,
         op10_html_extraction,
         op11_token_alignment,
+        op12_hard_negatives,
     )
 }
-ORACLES = {"op4_mixing_sources": OP4_SQL, "op7_warc_revisit": OP7_SQL, "op9_chat_formatting": OP9_SQL}
+ORACLES = {"op4_mixing_sources": OP4_SQL, "op7_warc_revisit": OP7_SQL, "op9_chat_formatting": OP9_SQL, "op12_hard_negatives": OP12_SQL}
