@@ -10,6 +10,7 @@ from chronoframe.llm.media_avi import op3_media_avi
 from chronoframe.llm.mixing import OP4_SQL, op4_mixing_sources
 from chronoframe.llm.negatives import OP12_SQL, op12_hard_negatives
 from chronoframe.llm.ngram_join import op8_ngram_join
+from chronoframe.llm.quality import op13_quality_rules
 from chronoframe.llm.toxicity import op6_toxicity
 from chronoframe.llm.warc_revisit import OP7_SQL, op7_warc_revisit
 
@@ -28,6 +29,7 @@ QUERIES = {
         op10_html_extraction,
         op11_token_alignment,
         op12_hard_negatives,
+        op13_quality_rules,
     )
 }
 ORACLES = {"op4_mixing_sources": OP4_SQL, "op7_warc_revisit": OP7_SQL, "op9_chat_formatting": OP9_SQL, "op12_hard_negatives": OP12_SQL}
