@@ -108,6 +108,8 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (-(-percent * n // 100)) + 1
 
 
+#: Pairs whose fingerprints are compared at a time.
+STEP = 4096
 #: Multipliers of the further orders.
 ORDERS = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))
 
@@ -122,11 +124,24 @@ def prints_of(s: np.ndarray, percent: int) -> bytes:
     return b"".join([np.array([len(parts[0])], np.int32).tobytes(), *[p.tobytes() for p in parts]])
 
 
-def prints_meet(x: bytes, y: bytes) -> bool:
-    """Whether the prefixes may share a shingle under each further order."""
-    a, b = np.frombuffer(x, np.uint16, offset=4), np.frombuffer(y, np.uint16, offset=4)
-    i, j = int.from_bytes(x[:4], "little"), int.from_bytes(y[:4], "little")
-    return len(np.intersect1d(a[:i], b[:j], True)) > 0 and len(np.intersect1d(a[i:], b[j:], True)) > 0
+def prints_meet(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Of each pair, whether the prefixes may share a shingle under each further order."""
+
+    def parts(marks: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        size = np.fromiter(map(len, marks), np.int64, len(marks)) // 2
+        flat, start = np.frombuffer(b"".join(marks), np.uint16).astype(np.int64), np.cumsum(size) - size
+        first = flat[start] | flat[start + 1] << 16
+        place = np.arange(len(flat)) - np.repeat(start, size) - 2
+        own = np.repeat(np.arange(len(marks)), size)
+        ahead = place < np.repeat(first, size)
+        keys = own << 16 | flat
+        return [(own[here], keys[here]) for here in ((place >= 0) & ahead, ~ahead)]
+
+    met = np.ones(len(x), bool)
+    for (own, a), (_, b) in zip(parts(x), parts(y), strict=True) if x else ():
+        at = np.minimum(np.searchsorted(b, a), max(0, len(b) - 1))
+        met &= np.bincount(own[b[at] == a] if len(b) else own[:0], minlength=len(x)) > 0
+    return met
 
 
 def bitmap(s: np.ndarray, wide: int = 1) -> bytes:
@@ -143,14 +158,17 @@ def folded(bits: np.ndarray, width: int) -> np.ndarray:
     return bits
 
 
-def bits_agree(n: int, x: bytes, m: int, y: bytes, percent: int) -> bool:
-    """False only where sets of n and m shingles with these bitmaps can't be linked."""
-    if 100 * min(n, m) < percent * max(n, m):
-        return False
-    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    width = min(len(a), len(b))
-    # each place that differs holds a shingle of one set only; those are n + m - 2 common, and common >= p / (100 + p) (n + m)
-    return int(np.bitwise_count(folded(a, width) ^ folded(b, width)).sum()) * (100 + percent) <= (n + m) * (100 - percent)
+def bits_agree(n: np.ndarray, x: list[bytes], m: np.ndarray, y: list[bytes], percent: int) -> np.ndarray:
+    """False only for pairs of sets of n and m shingles with these bitmaps that can't be linked."""
+    fit = np.minimum(n, m) * 100 >= np.maximum(n, m) * percent
+    wide = [np.fromiter(map(len, marks), np.int64, len(marks)) for marks in (x, y)]
+    for a, b in {(int(a), int(b)) for a, b in zip(*(w[fit] for w in wide), strict=True)}:
+        at = np.flatnonzero(fit & (wide[0] == a) & (wide[1] == b))
+        here, there = (folded(np.frombuffer(b"".join(marks[i] for i in at), np.uint8).reshape(len(at), -1), min(a, b)).view(U) for marks in (x, y))
+        # each place that differs holds a shingle of one set only; those are n + m - 2 common, and common >= p / (100 + p) (n + m)
+        apart = np.bitwise_count(here ^ there).sum(axis=1, dtype=np.int64)
+        fit[at] = apart * (100 + percent) <= (n[at] + m[at]) * (100 - percent)
+    return fit
 
 
 def each_set(docs: DataFrame, key: str, k: int, make, out: str) -> DataFrame:
@@ -253,12 +271,13 @@ def _whole_sets(docs: DataFrame, key: str, k: int, percent: int, wanted: DataFra
 
 
 def _passing(pairs: DataFrame, sigs: DataFrame, columns: list[str], test) -> DataFrame:
-    """The pairs (a, b) for which ``test`` of both sides' columns holds."""
+    """The pairs (a, b) for which ``test`` of both sides' columns, a batch at a time, holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            keep = [test(*r) for r in zip(*[t.column(f"{c}{x}").to_pylist() for x in "ab" for c in columns], strict=True)]
-            yield pa.RecordBatch.from_arrays([t.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+            values = [c.to_pylist() if pa.types.is_binary(c.type) else c.to_numpy() for c in (t.column(f"{c}{x}") for x in "ab" for c in columns)]
+            keep = pa.array(test(*values))
+            yield pa.RecordBatch.from_arrays([t.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
     side = lambda x: sigs.select(F.col("set").alias(x), *[F.col(c).alias(f"{c}{x}") for c in columns])
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
@@ -299,12 +318,21 @@ def agreeing(t: pa.Table, percent: int, best: bool) -> tuple[np.ndarray, np.ndar
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, b, far = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(far, kind="stable") if best else np.arange(len(a))
     has, kept = np.zeros(len(n), bool), []
-    for x in np.argsort(far, kind="stable") if best else range(len(a)):
-        i, j = a[x], b[x]
-        if not (best and has[i] and has[j]) and prints_meet(prints[i], prints[j]):
-            kept.append(x)
-            has[i] = has[j] = True
+    for first in range(0, len(order), STEP):
+        some = order[first : first + STEP]
+        if best:
+            some = some[~(has[a[some]] & has[b[some]])]
+        some = some[prints_meet([prints[i] for i in a[some]], [prints[i] for i in b[some]])]
+        if not best:
+            kept.append(some)
+            continue
+        for x in some:  # the nearest first
+            if not (has[a[x]] and has[b[x]]):
+                kept.append(np.array([x]))
+                has[a[x]] = has[b[x]] = True
+    kept = np.concatenate(kept) if kept else np.zeros(0, np.int64)
     return a[kept], b[kept]
 
 

@@ -182,15 +182,48 @@ def test_similar_documents_empty(spark):
 
 def test_signature_never_rules_out_a_link():
     rnd = random.Random(1)
+    linked = []
     for n in (1, 3, 40, 700):
         base = np.array(sorted(rnd.sample(range(1 << 60), n)), np.uint64)
         for cut in range(0, n, max(1, n // 9)):
             other = np.unique(np.concatenate([base[cut:], np.array([rnd.randrange(1 << 60) for _ in range(cut // 3)], np.uint64)]))
             both = len(np.intersect1d(base, other))
             if 100 * both >= 75 * (len(base) + len(other) - both):
-                for wide in (1, 4):
-                    assert ngram_join.bits_agree(len(base), ngram_join.bitmap(base, wide), len(other), ngram_join.bitmap(other, wide), 75)
-                assert ngram_join.prints_meet(ngram_join.prints_of(base, 75), ngram_join.prints_of(other, 75))
+                linked.append((base, other))
+    sizes = [np.array([len(p[k]) for p in linked]) for k in (0, 1)]
+    for wide in (1, 4):
+        assert ngram_join.bits_agree(sizes[0], [ngram_join.bitmap(x, wide) for x, _ in linked], sizes[1], [ngram_join.bitmap(y, wide) for _, y in linked], 75).all()
+    assert ngram_join.prints_meet([ngram_join.prints_of(x, 75) for x, _ in linked], [ngram_join.prints_of(y, 75) for _, y in linked]).all()
+
+
+def test_batches_of_pairs_are_answered_pair_by_pair():
+    """Bitmaps and fingerprints of a batch against plain sets, pairs that don't agree among them."""
+    rnd = np.random.default_rng(5)
+    sets = [np.unique(rnd.integers(0, high, n).astype(np.uint64)) for n, high in ((1, 9), (5, 40), (30, 60), (200, 300), (200, 10**6), (90, 200), (33, 60))]
+    pairs = [(x, y) for x in sets for y in sets]
+    prints = [[ngram_join.prints_of(s, 75) for s in side] for side in zip(*pairs, strict=True)]
+
+    def halves(mark):
+        n = int.from_bytes(mark[:4], "little")
+        flat = np.frombuffer(mark, np.uint16, offset=4).tolist()
+        return set(flat[:n]), set(flat[n:])
+
+    wanted = [all(a & b for a, b in zip(halves(x), halves(y), strict=True)) for x, y in zip(*prints, strict=True)]
+    assert ngram_join.prints_meet(*prints).tolist() == wanted and 0 < sum(wanted) < len(wanted)
+
+    def places(mark, width):
+        return np.bitwise_xor.reduce(np.unpackbits(np.frombuffer(mark, np.uint8)).reshape(-1, 8 * width), axis=0)
+
+    for wide in (1, 4):
+        maps = [[ngram_join.bitmap(s, wide) for s in side] for side in zip(*pairs, strict=True)]
+        n = [np.array([len(s) for s in side]) for side in zip(*pairs, strict=True)]
+        wanted = []
+        for (x, y), a, b in zip(pairs, *maps, strict=True):
+            width = min(len(a), len(b))
+            apart = int((places(a, width) != places(b, width)).sum())
+            wanted.append(100 * min(len(x), len(y)) >= 75 * max(len(x), len(y)) and apart * 175 <= (len(x) + len(y)) * 25)
+        assert ngram_join.bits_agree(n[0], maps[0], n[1], maps[1], 75).tolist() == wanted and 0 < sum(wanted) < len(wanted)
+    assert len(ngram_join.prints_meet([], [])) == len(ngram_join.bits_agree(np.zeros(0, int), [], np.zeros(0, int), [], 75)) == 0
 
 
 def test_frequent_counts_fall_short_by_total_over_size():
@@ -208,7 +241,9 @@ def test_frequent_counts_fall_short_by_total_over_size():
 def test_components(spark):
     rnd = random.Random(4)
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 100), (7, 7), (None, 3)] + [(500, x) for x in range(501, 530)] + [(rnd.randrange(1000, 1100), rnd.randrange(1000, 1100)) for _ in range(80)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    table = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.component for r in components(table).collect()}
+    assert {r.node: r.component for r in components(table, local=40).collect()} == got  # several tasks, so stars too
     parent = {}
     find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
     for a, b in edges:
