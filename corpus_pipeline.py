@@ -16,18 +16,41 @@ from chronoframe.llm.toxicity import REJECT, learn_toxicity, tag_toxicity
 FEW_IDS = 2_000_000
 
 
+def judged(docs: DataFrame, names: list[str], judge) -> DataFrame:
+    """``judge(docs)``, the rows that it keeps, with all columns as they were, also those that are called like its own ``names``."""
+    own = {c: f"_own_{c}" for c in docs.columns if c in names}
+    return judge(docs.withColumnsRenamed(own)).drop(*names).withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is at least REJECT go; a null or empty text has no toxic word and stays. Repeated rows are judged alike."""
     model = learn_toxicity(docs, table(spark, sf_dir, "labels").where(crc_mod("doc_id", 3) != 1))
-    return tag_toxicity(docs, model, key=None).where(F.col("score") < REJECT).select(*docs.columns)
+    return judged(docs, ["score", "spans"], lambda rows: tag_toxicity(rows, model, key=None).where(F.col("score") < REJECT))
+
+
+def least_likeness(letters):
+    """The cosine that a text of so many letters has with its language at least: more with length, none up to 40.
+
+    A text shares few n-grams with a profile of a whole language while it is short, so a fixed bound would reject short
+    clean texts. In long prose a text of another language stays under this.
+    """
+    return F.lit(0.18) * F.greatest(F.lit(0.0), 1 - F.sqrt(40.0 / F.greatest(letters, F.lit(1))))
 
 
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that ``predict_language`` calls ``und`` (without letters) go.
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str, wanted: tuple[str, ...] | None = None) -> DataFrame:
+    """Documents stay whose predicted language is one of ``wanted`` (default: all that are learned), if they are like it.
 
-    The score is no ground: a short text shares few n-grams with a profile of a whole language, whatever its language.
+    So those without letters go (``und``), those whose best language is not wanted, and those that are too little like it
+    for their length. Null and empty texts have no letter. Without a stated language nothing is learned, and all rows
+    stay; an empty table gives no rows. Repeated rows are judged alike; columns stay as they are.
     """
-    return predict_language(docs, learn_prototypes(docs), key=None).where(F.col("lang_pred") != "und").select(*docs.columns)
+    prototypes = learn_prototypes(docs)
+    if not prototypes:
+        return docs
+    keep = [x for x in prototypes if wanted is None or x in wanted]
+    letters = F.length(F.regexp_replace("text", r"\P{L}+", ""))
+    liked = F.col("lang_pred").isin(keep) & (F.col("score") >= least_likeness(letters))
+    return judged(docs, ["lang_pred", "score"], lambda rows: predict_language(rows, prototypes, key=None).where(liked))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
