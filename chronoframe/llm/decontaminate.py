@@ -84,21 +84,14 @@ class Items:
     first: np.ndarray
 
 
-def index_items(rows: list[tuple], q: int, rate: float, normal: Normal, common: int = 32, spare: int = 8) -> Items:
-    """Items of fewer than q symbols are no evidence and are left out; items of the same symbols are searched once.
+def index_items(same: dict[bytes, list], q: int, edits: np.ndarray, common: int = 32, spare: int = 8) -> Items:
+    """Items of at least q symbols (``symbols, ids`` by symbols), whose budgets leave at least one of their q-grams.
 
     k edits spoil at most k q of an item's q-grams, whichever are looked up. So those that stand at more than ``common``
     places of the items are left out, the most frequent first, while k q + ``spare`` stay; the bound falls with them.
     """
-    same: dict[bytes, list] = {}
-    for i, text in rows:
-        s = normal.of([text or ""])[0][1:]
-        s = s[:-1] if len(s) and s[-1] == 32 else s
-        if len(s) >= q:
-            same.setdefault(s.tobytes(), [s, []])[1].append(i)
     symbols, ids = [s for s, _ in same.values()], [i for _, i in same.values()]
     m = np.array([len(s) for s in symbols], np.int64)
-    edits = np.minimum((m * rate).astype(np.int64), np.maximum(0, (m - q) // q))
     gram = np.concatenate([grams(s, q) for s in symbols]) if ids else np.zeros(0, U)
     item = np.repeat(np.arange(len(ids)), m - q + 1)
     at = np.concatenate([np.arange(n - q + 1) for n in m]) if ids else np.zeros(0, np.int64)
@@ -116,6 +109,63 @@ def index_items(rows: list[tuple], q: int, rate: float, normal: Normal, common:
     return Items(ids, symbols, edits, held - edits * q, value, item, at, np.append(first, len(gram)))
 
 
+@dataclass
+class Short:
+    """Items of one number of symbols, fewer than q, with a gap on either side: they count as whole words only."""
+
+    ids: list[list]
+    symbols: list[np.ndarray]
+    gram: np.ndarray
+    edits: int
+
+    def search(self, symbols: np.ndarray, place: np.ndarray, own: np.ndarray) -> Iterator[tuple]:
+        """(text, item, start, end, edits, 1) of each place where an item stands; texts' bounds are gaps."""
+        gapped = np.append(np.where(symbols == 0, 32, symbols), 32).astype(np.uint32)
+        size = len(self.symbols[0])
+        g = grams(gapped, size)
+        k = np.minimum(np.searchsorted(self.gram, g), len(self.gram) - 1)
+        for at in np.flatnonzero(self.gram[k] == g):
+            i = int(k[at])
+            if np.array_equal(gapped[at : at + size], self.symbols[i]):
+                t = int(np.searchsorted(own, at, "right")) - 1
+                first = int(at) + 1
+                if first + size - 2 <= (own[t + 1] if t + 1 < len(own) else len(symbols)):
+                    yield t, i, int(place[first]), int(place[first + size - 3]) + 1, 0, 1
+
+
+@dataclass
+class Block:
+    """Items by the q that leaves each of them a q-gram beyond its edit budget, and those shorter than q, by length."""
+
+    long: dict[int, Items]
+    short: list[Short]
+
+
+def index_block(rows: list[tuple], q: int, rate: float, normal: Normal) -> Block:
+    """An item of m symbols has a budget of ``m * rate`` edits, rounded down; items of the same symbols are searched once.
+
+    Where q-grams are too long for a short item's budget, it gets shorter ones, as many symbols as leave a q-gram that no
+    edit spoils. Items without a letter or digit are no evidence.
+    """
+    by_q: dict[int, dict[bytes, list]] = {}
+    for i, text in rows:
+        s = normal.of([text or ""])[0][1:]
+        s = s[int(s[0] == 32) :] if len(s) else s
+        s = s[:-1] if len(s) and s[-1] == 32 else s
+        if len(s):
+            by_q.setdefault(min(q, len(s) // (int(len(s) * rate) + 1)) if len(s) >= q else -len(s), {}).setdefault(s.tobytes(), [s, []])[1].append(i)
+    long, short = {}, []
+    for own, same in sorted(by_q.items()):
+        if own > 0:
+            edits = (np.array([len(s) for s, _ in same.values()], np.int64) * rate).astype(np.int64)
+            long[own] = index_items(same, own, edits)
+        else:
+            gap = np.array([32], np.uint32)
+            found = sorted(((grams(w, len(w))[0], w, ids) for w, ids in ((np.concatenate([gap, s, gap]), ids) for s, ids in same.values())), key=lambda x: int(x[0]))
+            short.append(Short([x[2] for x in found], [x[1] for x in found], np.array([x[0] for x in found], U), 0))
+    return Block(long, short)
+
+
 def align(item: np.ndarray, text: np.ndarray, low: int, width: int, most: int) -> tuple[int, int, int] | None:
     """The best (distance, start, end) of the whole item in text on the diagonals low .. low + width - 1, if within ``most``.
 
@@ -182,9 +232,16 @@ def bands(hit: np.ndarray, k: np.ndarray, items: Items, zero: int, most: int = 2
         key, count, begin = key[~past], count[~past], end
 
 
-def search(texts: list[str], items: Items, q: int, normal: Normal, bits: np.ndarray) -> list[tuple]:
+def search(texts: list[str], block: Block, normal: Normal, bits: dict[int, np.ndarray]) -> list[tuple]:
     """(text, item, start, end, edits, shared q-grams) of every verified region; offsets in code points of the text."""
     symbols, place, own = normal.of(texts)
+    found = [(t, one, *rest) for short in block.short for t, i, *rest in short.search(symbols, place, own) for one in short.ids[i]]
+    for q, items in block.long.items():
+        found += _search_long(symbols, place, own, items, q, bits[q])
+    return found
+
+
+def _search_long(symbols: np.ndarray, place: np.ndarray, own: np.ndarray, items: Items, q: int, bits: np.ndarray) -> list[tuple]:
     g = grams(symbols, q)
     hit = np.flatnonzero(bits[(g >> U(64 - FILTER_BITS)).astype(np.int64)])
     k = np.searchsorted(items.gram, g[hit])
@@ -217,8 +274,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item:
     """``key, item, start, end, edits, shared``: passages of whole texts within ``rate`` edits per character of an item.
 
     Texts are compared as lower-case letters and digits with single gaps, so case, punctuation and white space don't
-    matter. Null and empty texts have no passages; items that are null or shorter than q symbols are no evidence; repeated
-    documents and items are each reported; ``shared`` counts those q-grams of an item that are looked up; one region may be reported for several items, and once per start; an empty
+    matter. An item of fewer than q letters, digits and gaps has to stand there as whole words, without an edit. Null and
+    empty texts have no passages; items that are null or have no letter or digit are no evidence; repeated documents and items are each reported; ``shared`` counts those q-grams of an item that are looked up; one region may be reported for several items, and once per start; an empty
     table on either side gives no rows; other columns are ignored.
 
     The items are the stated query set: they are read in blocks of at most ``block_chars`` characters (plus one item), so
@@ -231,7 +288,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item:
     for held in _blocks(benchmark, item, q, rate, block_chars):
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for b, first, leaks in _searched(batches, held.value, q):
+            for b, first, leaks in _searched(batches, held.value):
                 if leaks:
                     t, i, s, e, d, n = zip(*leaks, strict=True)
                     ids = b.column(key).take(pa.array([first + x for x in t]))
@@ -249,18 +306,20 @@ def _blocks(benchmark: DataFrame, item: str, q: int, rate: float, block_chars: i
         now.append((r[0], r[1]))
         size += len(r[1])
         if size >= block_chars:
-            blocks.append(put(index_items(now, q, rate, normal)))
+            blocks.append(put(index_block(now, q, rate, normal)))
             now, size = [], 0
-    return [*blocks, put(index_items(now, q, rate, normal))] if now else blocks
+    return [*blocks, put(index_block(now, q, rate, normal))] if now else blocks
 
 
-def _searched(batches: Iterator[pa.RecordBatch], items: Items, q: int) -> Iterator[tuple[pa.RecordBatch, int, list[tuple]]]:
+def _searched(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[tuple[pa.RecordBatch, int, list[tuple]]]:
     """Each group of texts: its batch, the place of its first row, and the regions found (text numbers are within the group)."""
-    normal, bits = Normal(), np.zeros(1 << FILTER_BITS, bool)
-    bits[(items.gram >> U(64 - FILTER_BITS)).astype(np.int64)] = True
+    normal, bits = Normal(), {}
+    for q, items in block.long.items():
+        bits[q] = np.zeros(1 << FILTER_BITS, bool)
+        bits[q][(items.gram >> U(64 - FILTER_BITS)).astype(np.int64)] = True
     for b in batches:
         for first, texts in groups(b.column("text")):
-            yield b, first, search(texts, items, q, normal, bits) if items.ids else []
+            yield b, first, search(texts, block, normal, bits)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", q: int = 10, rate: float = 0.06, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -269,7 +328,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, item: str = "item_id",
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             last, bad = None, set()
-            for b, first, leaks in _searched(batches, held.value, q):
+            for b, first, leaks in _searched(batches, held.value):
                 if b is not last:
                     if last is not None:
                         yield _rest(last, bad)

@@ -84,6 +84,23 @@ def test_language_keeps_short_texts(spark, corpus):
     assert got == {401, 402, 403, 404, 405}
 
 
+def test_language_rejects_by_its_prediction(spark, corpus):
+    """Texts full of letters go if they are in no learned language, or in one that is not wanted; clashing columns stay."""
+    folder, _ = corpus
+    rnd = random.Random(4)
+    other = [" ".join("".join(rnd.choices(letters, k=rnd.randint(2, 8))) for _ in range(120)) for letters in ("бвгдежзиклмн", "αβγδεζηθικλ", "qxzjkvpy")]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 300")
+    more = spark.createDataFrame([(500 + k, t, None, "s1", 0) for k, t in enumerate(other)] + [(510, "der die das " * 40, "yy", "s1", 0)], docs.schema)
+    every = docs.unionByName(more).withColumn("score", F.lit("mine")).withColumn("lang_pred", F.col("doc_id"))
+    got = corpus_pipeline.language(spark, every, folder).collect()
+    assert not {500, 501, 502} & {r.doc_id for r in got} and {r.doc_id for r in docs.collect()} <= {r.doc_id for r in got}
+    assert {r.score for r in got} == {"mine"} and all(r.lang_pred == r.doc_id for r in got)
+    yy = corpus_pipeline.language(spark, every, folder, wanted=("yy",)).collect()
+    assert {r.lang for r in yy} <= {"yy"} and {r.doc_id for r in docs.where("lang = 'yy'").collect()} <= {r.doc_id for r in yy}
+    unlearned = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language(spark, unlearned, folder).count() == docs.count() and corpus_pipeline.language(spark, docs.limit(0), folder).count() == 0
+
+
 def test_run_gives_the_stages_rows(spark, corpus):
     folder, _ = corpus
     out = corpus_pipeline.run(spark, folder)

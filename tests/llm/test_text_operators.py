@@ -286,7 +286,7 @@ def test_leaks_against_edit_distance(spark):
         for i, t in enumerate(texts):
             for j, item in enumerate(items[:6]):
                 m = len(norm(item))
-                most = min(int(m * 0.06), (m - 10) // 10)
+                most = int(m * 0.06)
                 d = distance(norm(item), norm(t or ""))
                 assert ((i, j) in got) == (d <= most), (i, j, d, most)
                 if (i, j) in got:
@@ -300,6 +300,31 @@ def test_leaks_against_edit_distance(spark):
     assert decontaminate.find_leaks(docs(spark, texts).limit(0), bench).count() == 0
 
 
+def test_short_items_by_the_rate_alone(spark):
+    """Items of every length up to 40: below ten symbols whole words, from there on the stated rate, whatever the length."""
+    rnd = random.Random(9)
+    norm = lambda t: re.sub(r"[^a-z0-9]+", " ", t.lower()).strip()
+    items = ["".join(rnd.choices("abcdefg ", k=m)) for m in range(1, 41) for _ in range(2)] + ["...", " Yes! ", "the quick brown fo"]
+    texts = ["say yes, and", "eyes", "YES", "yes-no", "the quick browm fo", "the quick brown fo", "a the quick brown fox"]
+    for item in items:
+        for edits in (0, 1, 2, 3):
+            x = list(item)
+            for _ in range(edits):
+                at = rnd.randrange(len(x) + 1)
+                x[at : at + 1] = rnd.choice(["", "q", "zz"])
+            texts.append(rnd.choice(["", "kk ", "kk"]) + "".join(x) + rnd.choice(["", " kk", "kk", "."]))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.find_leaks(docs(spark, texts), bench).collect()}
+    seen = set()
+    for i, t in enumerate(texts):
+        for j, item in enumerate(map(norm, items)):
+            d = distance(item, norm(t)) if len(item) >= 10 else 0 if item and f" {item} " in f" {norm(t)} " else 99
+            assert ((i, j) in got) == (d <= int(len(item) * 0.06)), (t, item, d)
+            if d <= int(len(item) * 0.06):
+                seen.add((len(item), d))
+    assert {(17, 1), (18, 1), (20, 1), (34, 2)} & seen and {(m, 0) for m in (1, 3, 12)} <= seen
+
+
 # language identification
 
 
@@ -584,11 +609,11 @@ def test_items_with_one_stem_against_a_text_that_repeats_it(spark):
     stem = "which of the following is true about "
     items = [stem + "".join(rnd.choices("abcdefghij klmno", k=60)) for _ in range(1000)]
     normal = decontaminate.Normal()
-    held = decontaminate.index_items(list(enumerate(items)), 10, 0.06, normal)
+    held = decontaminate.index_block(list(enumerate(items)), 10, 0.06, normal)
     bits = np.zeros(1 << decontaminate.FILTER_BITS, bool)
-    bits[(held.gram >> np.uint64(64 - decontaminate.FILTER_BITS)).astype(np.int64)] = True
+    bits[(held.long[10].gram >> np.uint64(64 - decontaminate.FILTER_BITS)).astype(np.int64)] = True
     begin = time.time()
-    got = decontaminate.search([stem * 3000 + items[7] + " " + stem * 50, items[8][:40] + "x" + items[8][40:]], held, 10, normal, bits)
+    got = decontaminate.search([stem * 3000 + items[7] + " " + stem * 50, items[8][:40] + "x" + items[8][40:]], held, normal, {10: bits})
     assert {(t, i) for t, i, *_ in got} == {(0, 7), (1, 8)} and time.time() - begin < 20
 
 
@@ -598,12 +623,12 @@ def test_chunks_of_shared_grams_and_equal_items(monkeypatch):
     prose = lambda n: "".join(rnd.choices("abcdefgh  ", k=n))
     items = [(i, prose(80)) for i in range(40)] + [(90, None), (91, "short")]
     items += [(100, items[3][1]), (101, items[3][1].upper())]
-    held = decontaminate.index_items(items, 10, 0.06, normal)
+    held = decontaminate.index_block(items, 10, 0.06, normal)
     bits = np.ones(1 << decontaminate.FILTER_BITS, bool)
     text = prose(300) + items[3][1] + prose(200) + items[5][1][:50] + "zz" + items[5][1][50:] + prose(10)
-    whole = sorted(decontaminate.search([text, text], held, 10, normal, bits))
+    whole = sorted(decontaminate.search([text, text], held, normal, {10: bits}))
     monkeypatch.setattr(decontaminate.bands, "__defaults__", (5,))
-    assert sorted(decontaminate.search([text, text], held, 10, normal, bits)) == whole
+    assert sorted(decontaminate.search([text, text], held, normal, {10: bits})) == whole
     assert {(t, i) for t, i, *_ in whole} == {(t, i) for t in (0, 1) for i in (3, 100, 101, 5)}
 
 
