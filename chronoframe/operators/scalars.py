@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-def _by_series():
-    return W.partitionBy("video_id", "series")
+from chronoframe.operators.stretches import PARTS, SIZE, numbered, with_known
+
+SERIES = ["video_id", "series"]
 
 
 def scalar_threshold(scalars: DataFrame, min: float | None = None, max: float | None = None) -> DataFrame:
@@ -24,11 +24,10 @@ def threshold_events(scalars: DataFrame, thr: float) -> DataFrame:
     return scalars.where(F.col("y") >= thr).select("video_id", "series", "time")
 
 
-def resample_approx(scalars: DataFrame, target: int = 1024) -> DataFrame:
+def resample_approx(scalars: DataFrame, target: int = 1024, size: int = SIZE, parts: int = PARTS) -> DataFrame:
     """Every 2^k-th sample of a series, so that about ``target`` are left."""
-    n, i = F.count("*").over(_by_series()), F.row_number().over(_by_series().orderBy("time", "y")) - 1
     step = F.pow(F.lit(2), F.greatest(F.ceil(F.log2("_n") - F.log2(F.lit(float(target)))), F.lit(0))).cast("long")
-    return scalars.withColumn("_n", n).withColumn("_i", i).where(F.col("_i") % step == 0).drop("_n", "_i")
+    return numbered(scalars, SERIES, ["time", "y"], size, parts).where(F.col("_i") % step == 0).select(*scalars.columns)
 
 
 def combine(y: Column, how: str) -> Column:
@@ -40,11 +39,11 @@ def combine(y: Column, how: str) -> Column:
     return F.avg(y)
 
 
-def aggregate_scalars(scalars: DataFrame, series: list[str], how: str = "prod") -> DataFrame:
+def aggregate_scalars(scalars: DataFrame, series: list[str], how: str = "prod", size: int = SIZE, parts: int = PARTS) -> DataFrame:
     """The series of a video combined on the time grid of the longest one (the first in ``series`` among equals).
 
     Each is interpolated linearly and flat outside its range: the bracketing samples come from windows over the union of
-    grid and samples, not from a search.
+    grid and samples, not from a search; a long series is dealt into stretches, which hand on the last sample known.
     """
     rank = F.element_at(F.create_map(*[x for k, s in enumerate(series) for x in (F.lit(s), F.lit(k))]), F.col("series"))
     s = scalars.where(F.col("series").isin(series)).groupBy("video_id", "series", "time").agg(F.max("y").alias("y")).withColumn("_rank", rank)
@@ -53,10 +52,8 @@ def aggregate_scalars(scalars: DataFrame, series: list[str], how: str = "prod")
     grid = s.join(longest, ["video_id", "series"], "left_semi").select("video_id", "time")
     asked = grid.join(sizes.select("video_id", "series"), "video_id").withColumn("_grid", F.lit(1))
     both = asked.unionByName(s.select("video_id", "series", "time", F.lit(0).alias("_grid"), F.struct("time", "y").alias("at")), allowMissingColumns=True)
-    back = _by_series().orderBy("time", "_grid").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ahead = _by_series().orderBy(F.col("time"), F.col("_grid").desc()).rowsBetween(W.currentRow, W.unboundedFollowing)
-    both = both.withColumn("a", F.last("at", ignorenulls=True).over(back)).withColumn("b", F.first("at", ignorenulls=True).over(ahead)).where("_grid = 1")
-    a, b = F.coalesce("a", "b"), F.coalesce("b", "a")
+    both = with_known(both, SERIES, "time", "_grid", "at", size, parts).where("_grid = 1")
+    a, b = F.coalesce("_last", "_next"), F.coalesce("_next", "_last")
     y = F.when(a["time"] == b["time"], a["y"]).otherwise(a["y"] + (b["y"] - a["y"]) * (F.col("time") - a["time"]) / (b["time"] - a["time"]))
     return both.withColumn("y", y).groupBy("video_id", "time").agg(combine(F.col("y"), how).alias("y"))
 

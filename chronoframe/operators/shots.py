@@ -8,8 +8,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoframe.operators.joins import interval_join
+from chronoframe.operators.stretches import PARTS, SIZE, numbered, over_rows
 
 SHOT = ["video_id", "segment_id"]
+
+
 def _by_video():
     return W.partitionBy("video_id")
 
@@ -90,10 +93,10 @@ def speaker_turns(segs: DataFrame, gap: float = 0.01) -> DataFrame:
     return t.withColumn("start_s", F.when(F.col("start_s") - before <= gap, before + gap).otherwise(F.col("start_s")))
 
 
-def active_speaker(scores: DataFrame, least_ratio: float = 0.6) -> DataFrame:
+def active_speaker(scores: DataFrame, least_ratio: float = 0.6, size: int = SIZE, parts: int = PARTS) -> DataFrame:
     """Scores smoothed over five rows; a track speaks if more than ``least_ratio`` of its frames score 0 or more."""
-    smooth = F.avg("score").over(W.partitionBy("video_id", "track_id").orderBy("i").rowsBetween(-2, 2))
-    t = scores.withColumn("_s", smooth).groupBy("video_id", "track_id").agg(F.avg((F.col("_s") >= 0).cast("double")).alias("ratio"), F.avg("_s").alias("mean_score"))
+    smooth = lambda w: {"_s": F.avg("score").over(w.rowsBetween(-2, 2))}
+    t = over_rows(scores, ["video_id", "track_id"], ["i"], 2, 2, smooth, size, parts).groupBy("video_id", "track_id").agg(F.avg((F.col("_s") >= 0).cast("double")).alias("ratio"), F.avg("_s").alias("mean_score"))
     return t.withColumn("is_speaking", F.col("ratio") > least_ratio)
 
 
@@ -104,12 +107,16 @@ def multi_scale_mean(scores: DataFrame) -> DataFrame:
     return grid.join(scores, ["video_id", "scale", "i"], "left").groupBy("video_id", "i").agg(F.bround(F.avg(F.coalesce("score", F.lit(-5.0))), 1).alias("score"))
 
 
-def median_filter(series: DataFrame, k: int = 13) -> DataFrame:
+def median_filter(series: DataFrame, k: int = 13, size: int = SIZE, parts: int = PARTS) -> DataFrame:
     """The median of k neighbours, zeros beyond the ends."""
     half = k // 2
-    own = F.collect_list("y").over(W.partitionBy("video_id", "series").orderBy("time").rowsBetween(-half, half))
-    padded = F.concat(own, F.array_repeat(F.lit(0.0), F.lit(k) - F.size(own)))
-    return series.withColumn("y", F.element_at(F.array_sort(padded), half + 1))
+
+    def median(w) -> dict:
+        own = F.collect_list("y").over(w.rowsBetween(-half, half))
+        padded = F.concat(own, F.array_repeat(F.lit(0.0), F.lit(k) - F.size(own)))
+        return {"y": F.element_at(F.array_sort(padded), half + 1)}
+
+    return over_rows(series, ["video_id", "series"], ["time"], half, half, median, size, parts).select(*series.columns)
 
 
 def frame_windows(frames: DataFrame, size: int = 100, stride: int = 50, pad: int = 25) -> DataFrame:
@@ -123,9 +130,9 @@ def frame_windows(frames: DataFrame, size: int = 100, stride: int = 50, pad: int
     return w.select("video_id", "window", "slot", i.cast("long").alias("i"), kept.alias("kept"))
 
 
-def row_batches(frames: DataFrame, n: int, keep_tail: bool) -> DataFrame:
+def row_batches(frames: DataFrame, n: int, keep_tail: bool, size: int = SIZE, parts: int = PARTS) -> DataFrame:
     """Runs of n frames: with their mean time and no incomplete tail, or with the time of their start and the tail."""
-    f = frames.withColumn("batch", F.floor((F.row_number().over(_by_video().orderBy("time", "i")) - 1) / n))
+    f = numbered(frames, ["video_id"], ["time", "i"], size, parts).withColumn("batch", F.floor(F.col("_i") / n))
     b = f.groupBy("video_id", "batch").agg(F.count("*").alias("size"), (F.min("time") if keep_tail else F.avg("time")).alias("time"))
     return b if keep_tail else b.where(F.col("size") == n)
 

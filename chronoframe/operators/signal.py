@@ -9,9 +9,10 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronoframe.operators.stretches import PARTS, SIZE, over_rows
+
 
 def _scaled(df: DataFrame, normalize: bool) -> DataFrame:
     if not normalize:
@@ -75,7 +76,7 @@ def audio_rms(signal: DataFrame, hop: int = 512, size: int = 2048, normalize: bo
     return _scaled(y.select("video_id", (F.col("f") * hop / F.col("sr")).alias("time"), "y"), normalize)
 
 
-def audio_amplitude(signal: DataFrame, max_samples: int | None = 200_000, normalize: bool = True) -> DataFrame:
+def audio_amplitude(signal: DataFrame, max_samples: int | None = 200_000, normalize: bool = True, size: int = SIZE, parts: int = PARTS) -> DataFrame:
     """The signal at the places k n / ``max_samples``, between neighbours by a straight line and flat past the last sample.
 
     Short audio gets more samples; without ``max_samples`` they stay as they are. ``normalize`` scales them to 0 to 1.
@@ -85,7 +86,7 @@ def audio_amplitude(signal: DataFrame, max_samples: int | None = 200_000, normal
     n = signal.groupBy("video_id").agg((F.max("i") + 1).alias("n"), F.first("sr").alias("sr"))
     g = n.select("video_id", "n", "sr", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max_samples - 1).cast("long"))).alias("k"))
     g = g.withColumn("at", F.col("k") * F.col("n") / max_samples).withColumn("i", F.floor("at"))
-    s = signal.select("video_id", "i", "y", F.lead("y").over(W.partitionBy("video_id").orderBy("i")).alias("_next"))
+    s = over_rows(signal.select("video_id", "i", "y"), ["video_id"], ["i"], 0, 1, lambda w: {"_next": F.lead("y").over(w)}, size, parts)
     y = g.join(s, ["video_id", "i"])
     y = y.select("video_id", (F.col("k") * F.col("n") / max_samples / F.col("sr")).alias("time"), (F.col("y") + (F.coalesce("_next", "y") - F.col("y")) * (F.col("at") - F.col("i"))).alias("y"))
     return _scaled(y, normalize)
