@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import cut, discard
+from chronoframe.llm.common import cut, discard, lean
 
 #: Edges that a task contracts at a time (16 bytes each).
 LOCAL = 1 << 20
@@ -51,7 +51,7 @@ def contracted(edges: DataFrame, parts: int) -> DataFrame:
             held = stars(*(np.concatenate([x, *y]) for x, y in zip(held, zip(*fresh, strict=True), strict=True)))
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["u", "v"])
 
-    return edges.repartition(parts).mapInArrow(run, "u long, v long")
+    return edges.repartition(parts).mapInArrow(lean(run), "u long, v long")
 
 
 def components(edges: DataFrame, most_rounds: int = 60, into: list[str] | None = None, local: int = LOCAL) -> DataFrame:

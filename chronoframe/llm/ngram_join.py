@@ -109,7 +109,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 #: Pairs whose fingerprints are compared at a time.
-STEP = 4096
+STEP, MARK_BYTES = 1024, 500_000
 #: Multipliers of the further orders.
 ORDERS = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))
 
@@ -138,9 +138,14 @@ def prints_meet(x: list[bytes], y: list[bytes]) -> np.ndarray:
         return [(own[here], keys[here]) for here in ((place >= 0) & ahead, ~ahead)]
 
     met = np.ones(len(x), bool)
-    for (own, a), (_, b) in zip(parts(x), parts(y), strict=True) if x else ():
-        at = np.minimum(np.searchsorted(b, a), max(0, len(b) - 1))
-        met &= np.bincount(own[b[at] == a] if len(b) else own[:0], minlength=len(x)) > 0
+    ends = np.cumsum([len(p) + len(q) for p, q in zip(x, y, strict=True)])
+    first = 0
+    while first < len(x):  # whatever the sets' sizes, about MARK_BYTES of fingerprints at a time
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + MARK_BYTES)))
+        for (own, a), (_, b) in zip(parts(x[first:last]), parts(y[first:last]), strict=True):
+            at = np.minimum(np.searchsorted(b, a), max(0, len(b) - 1))
+            met[first:last] &= np.bincount(own[b[at] == a] if len(b) else own[:0], minlength=last - first) > 0
+        first = last
     return met
 
 
@@ -280,7 +285,7 @@ def _passing(pairs: DataFrame, sigs: DataFrame, columns: list[str], test) -> Dat
             yield pa.RecordBatch.from_arrays([t.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
     side = lambda x: sigs.select(F.col("set").alias(x), *[F.col(c).alias(f"{c}{x}") for c in columns])
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lean(run), "a long, b long")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
