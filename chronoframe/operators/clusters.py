@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,20 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoframe.operators.boxes import face_size_filter
-
-
-def _written(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder that all executors share and read again, so that no round repeats the ones before."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="chronoframe-")
-        spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from chronoframe.sources.written import written
 
 
 def linking_pairs(embeddings: DataFrame, t: float, metric: str = "cosine", block: int = 1024) -> DataFrame:
@@ -78,13 +62,13 @@ def linking_pairs(embeddings: DataFrame, t: float, metric: str = "cosine", block
 
 def label_components(nodes: DataFrame, pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
     """``video_id, id, component``: the least id that each row can reach; labels spread along pairs and jump along themselves."""
-    both = _written(pairs.unionByName(pairs.select("video_id", F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = _written(nodes.select("video_id", "id", F.col("id").alias("c")))
+    both = written(pairs.unionByName(pairs.select("video_id", F.col("b").alias("a"), F.col("a").alias("b"))))
+    label = written(nodes.select("video_id", "id", F.col("id").alias("c")))
     for _ in range(most_rounds):
         near = both.join(label.select("video_id", F.col("id").alias("b"), "c"), ["video_id", "b"]).groupBy("video_id", F.col("a").alias("id")).agg(F.min("c").alias("m"))
         new = label.join(near, ["video_id", "id"], "left").select("video_id", "id", F.least("c", F.coalesce("m", "c")).alias("c"), F.col("c").alias("was"))
         jump = new.join(new.select("video_id", F.col("id").alias("c"), F.col("c").alias("j")), ["video_id", "c"]).select("video_id", "id", F.least("c", "j").alias("c"), "was")
-        now = _written(jump)
+        now = written(jump)
         label = now.drop("was")
         if now.where("c <> was").isEmpty():
             return label.select("video_id", "id", F.col("c").alias("component"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronoframe.sources.written import shared_dir
+
 #: bounds → residual condition of a time and a segment
 BOUNDS = {
     "open": lambda t, s, e: (t > s) & (t < e),
@@ -199,13 +200,7 @@ def timeline_tree(timelines: DataFrame) -> DataFrame:
     row whose id its own path has already (ids that are used twice in a circle) isn't followed.
     """
     spark = timelines.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="chronoframe-")
-        spark.sparkContext.setCheckpointDir(base)
-    top, paths = f"{base.rstrip('/')}/tree-{uuid.uuid4().hex}", []
+    top, paths = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}", []
     step = F.array(F.struct("ord", "timeline_id"))
     level = timelines.where("parent_id is null").select("video_id", "timeline_id", F.lit(0).alias("depth"), step.alias("path"))
     below = timelines.where("parent_id is not null").select("video_id", "timeline_id", F.col("parent_id").alias("_parent"), step.alias("_step"))

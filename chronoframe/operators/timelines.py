@@ -2,66 +2,121 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronoframe.operators.joins import overlap_join
+from chronoframe.operators.clusters import label_components
+from chronoframe.operators.joins import interval_join, overlap_join
+from chronoframe.operators.sweeps import painted, regions, uncovered
+from chronoframe.sources.written import written
 
 
 def split_segments(segs: DataFrame, links: DataFrame, edits: DataFrame) -> dict[str, DataFrame]:
-    """Segments cut at t into two (ids from the old one), annotations on both; an edit outside its segment changes nothing."""
-    e = edits.groupBy("segment_id").agg(F.min("t").alias("t"))
-    s = segs.join(e, "segment_id", "left").withColumn("_cut", F.coalesce((F.col("t") > F.col("start_s")) & (F.col("t") < F.col("end_s")), F.lit(False)))
-    new = lambda k: F.xxhash64("segment_id", F.lit(k))
-    part = lambda i, a, b: F.struct(i.alias("i"), a.alias("a"), b.alias("b"))
-    parts = F.when(F.col("_cut"), F.array(part(new(0), F.col("start_s"), F.col("t")), part(new(1), F.col("t"), F.col("end_s")))).otherwise(F.array(part(F.col("segment_id"), F.col("start_s"), F.col("end_s"))))
-    x = s.withColumn("_p", F.explode(parts)).withColumn("_old", F.col("segment_id"))
-    out = x.withColumn("segment_id", F.col("_p.i")).withColumn("start_s", F.col("_p.a")).withColumn("end_s", F.col("_p.b"))
-    ids = out.select(F.col("_old"), "segment_id")
-    moved = links.withColumnRenamed("segment_id", "_old").join(ids, "_old").drop("_old").select(*links.columns)
+    """Segments cut at all their times t into pieces (new ids from the old one), annotations on each.
+
+    ``edits``: (segment_id, t), any number for a segment, in any order: a later cut cuts the piece that it falls into. A
+    time that is not inside its segment, or is named again, changes nothing.
+    """
+    s = segs.join(edits.select("segment_id", "t").distinct(), "segment_id").where("t > start_s and t < end_s")
+    cuts = s.select("segment_id", F.col("t").alias("_a"))
+    old = segs.withColumn("_old", F.col("segment_id")).join(cuts.select("segment_id").distinct().withColumn("_cut", F.lit(True)), "segment_id", "left")
+    starts = old.where("_cut").select("segment_id", F.col("start_s").alias("_a")).unionByName(cuts)
+    w = W.partitionBy("segment_id").orderBy("_a")  # one segment's cuts
+    pieces = starts.withColumn("_b", F.lead("_a").over(w)).withColumn("_k", F.row_number().over(w) - 1)
+    x = old.join(pieces, "segment_id", "left").withColumn("segment_id", F.when(F.col("_k").isNull(), F.col("_old")).otherwise(F.xxhash64("_old", "_k")))
+    out = x.withColumn("start_s", F.coalesce("_a", "start_s")).withColumn("end_s", F.coalesce("_b", "end_s"))
+    moved = links.withColumnRenamed("segment_id", "_old").join(out.select("_old", "segment_id"), "_old").drop("_old").select(*links.columns)
     return {"segments": out.select(*segs.columns), "segment_annotations": moved}
 
 
 def merge_segments(segs: DataFrame, links: DataFrame, edits: DataFrame) -> dict[str, DataFrame]:
     """Segments of an edit become one over their whole range; what lies inside it goes, its annotations move.
 
-    ``edits``: (edit_id, segment_id). Edits of one segment or of several timelines change nothing.
+    ``edits``: (edit_id, segment_id), any number, which take effect in the order of edit_id: a segment that is gone stands
+    for the one that it went into. An edit changes nothing if it names one segment, several timelines, or a segment that
+    isn't there. Edits whose ranges can't meet are worked on apart, so a task holds what one chain of overlapping edits of
+    a timeline covers.
     """
-    named = edits.join(segs, "segment_id")
-    whole = named.groupBy("edit_id").agg(F.countDistinct("segment_id").alias("_n"), F.countDistinct("timeline_id").alias("_t"), F.min("timeline_id").alias("timeline_id"), F.min("video_id").alias("video_id"), F.min("start_s").alias("a"), F.max("end_s").alias("b"))
-    whole = whole.where("_n > 1 and _t = 1").withColumn("_new", F.xxhash64("edit_id", "timeline_id"))
-    inside = segs.join(whole.select("timeline_id", "a", "b", "_new"), "timeline_id").where("start_s >= a and end_s <= b").select("segment_id", "_new")
-    kept = segs.join(inside.select("segment_id"), "segment_id", "left_anti")
-    made = whole.select("video_id", "timeline_id", F.col("_new").alias("segment_id"), F.col("a").alias("start_s"), F.col("b").alias("end_s"))
-    moved = links.join(inside, "segment_id").select(F.col("_new").alias("segment_id"), "annotation_id").distinct()
-    return {"segments": kept.unionByName(made), "segment_annotations": links.join(inside.select("segment_id"), "segment_id", "left_anti").unionByName(moved)}
+    asked = edits.select("edit_id", "segment_id").distinct()
+    named = asked.join(segs.select("segment_id", "timeline_id", "start_s", "end_s"), "segment_id", "left")
+    whole = named.groupBy("edit_id").agg(F.count("*").alias("_n"), F.count("timeline_id").alias("_there"), F.countDistinct("timeline_id").alias("_t"), F.min("timeline_id").alias("timeline_id"), F.min("start_s").alias("a"), F.max("end_s").alias("b"))
+    spans = regions(whole.where("_n > 1 and _t = 1 and _there = _n").select("edit_id", "timeline_id", "a", "b"), ["timeline_id"])
+    bounds = spans.groupBy("timeline_id", "region").agg(F.min("a").alias("_from"), F.max("b").alias("_to"))
+    as_segments = bounds.select(F.col("timeline_id").alias("video_id"), F.col("region").alias("segment_id"), F.col("_from").alias("start_s"), F.col("_to").alias("end_s"))
+    inside = interval_join(segs.select(F.col("timeline_id").alias("video_id"), F.col("segment_id").alias("old"), F.col("start_s").alias("time"), F.col("end_s").alias("until")), as_segments, "closed").where("until <= end_s")
+    inside = inside.select(F.col("video_id").alias("timeline_id"), F.col("segment_id").alias("region"), "old", F.col("time").alias("a"), F.col("until").alias("b"))
+    steps = asked.join(spans.select("edit_id", "timeline_id", "region"), "edit_id")
+    kind = {c: dict(f.dtypes)[n] for c, f, n in (("timeline_id", segs, "timeline_id"), ("old", segs, "segment_id"), ("edit_id", edits, "edit_id"))}
+
+    def fold(keys: tuple, own: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
+        own = own.drop_duplicates("old")
+        a, b = own["a"].to_numpy(copy=True), own["b"].to_numpy(copy=True)
+        holder, maker = np.arange(len(own)), np.full(len(own), None, object)  # a row's segment is that of its holder
+        place = {v: i for i, v in enumerate(own["old"])}
+        for edit, names in todo.groupby("edit_id", sort=True)["segment_id"]:
+            heads = np.unique(holder[[place[v] for v in names]])
+            if len(heads) > 1:
+                lo, hi = a[heads].min(), b[heads].max()
+                gone = (a[holder] >= lo) & (b[holder] <= hi)
+                head = heads[0]
+                holder[gone], a[head], b[head], maker[head] = head, lo, hi, edit
+        done = np.array([m is not None for m in maker[holder]], bool)
+        at = holder[done]
+        return pd.DataFrame({"timeline_id": keys[0], "old": own["old"].to_numpy()[done], "edit_id": maker[at], "a": a[at], "b": b[at]})
+
+    out = f"timeline_id {kind['timeline_id']}, old {kind['old']}, edit_id {kind['edit_id']}, a double, b double"
+    gone = inside.groupBy("timeline_id", "region").cogroup(steps.groupBy("timeline_id", "region")).applyInPandas(fold, out)
+    gone = gone.withColumn("_new", F.xxhash64("edit_id", "timeline_id"))
+    into = gone.select(F.col("old").alias("segment_id"), "_new")
+    video = segs.groupBy("timeline_id").agg(F.min("video_id").alias("video_id"))
+    made = gone.select("timeline_id", "_new", "a", "b").distinct().join(video, "timeline_id")
+    made = made.select("video_id", "timeline_id", F.col("_new").alias("segment_id"), F.col("a").alias("start_s"), F.col("b").alias("end_s"))
+    moved = links.join(into, "segment_id").select(F.col("_new").alias("segment_id"), "annotation_id").distinct()
+    kept = segs.join(into, "segment_id", "left_anti").select(*made.columns)
+    return {"segments": kept.unionByName(made), "segment_annotations": links.join(into, "segment_id", "left_anti").select("segment_id", "annotation_id").unionByName(moved)}
 
 
 def annotate_range(segs: DataFrame, links: DataFrame, edits: DataFrame) -> dict[str, DataFrame]:
-    """A new segment [a, b] with an annotation: what it covers goes, what it overlaps is trimmed, what encloses it is cut in two.
+    """New segments [a, b] with annotations: what they cover goes, what they overlap is trimmed, what encloses them is cut in two.
 
-    ``edits``: (timeline_id, a, b, annotation_id), one per timeline at a time.
+    ``edits``: (timeline_id, a, b, annotation_id), any number for a timeline, in the order of ``edit_id`` (without that
+    column all are one step, in the order of a and b): of overlapping ones the last stays whole, the others keep what is
+    left. Rows of one edit with equal bounds name several annotations; an edit without length or bound changes nothing. The
+    first piece of an old segment keeps its id. Instead of step by step, the last writer of every stretch between bounds
+    is found in one sweep.
     """
-    s = segs.join(edits.select("timeline_id", "a", "b"), "timeline_id", "left")
-    piece = lambda i, x, y: F.struct(i.alias("i"), x.alias("a"), y.alias("b"))
-    own = piece(F.col("segment_id"), F.col("start_s"), F.col("end_s"))
-    left, right = piece(F.col("segment_id"), F.col("start_s"), F.col("a")), piece(F.col("segment_id"), F.col("b"), F.col("end_s"))
-    right_new = piece(F.xxhash64("segment_id", F.lit("right")), F.col("b"), F.col("end_s"))
-    parts = (
-        F.when(F.col("a").isNull() | (F.col("end_s") <= F.col("a")) | (F.col("start_s") >= F.col("b")), F.array(own))
-        .when((F.col("start_s") >= F.col("a")) & (F.col("end_s") <= F.col("b")), F.filter(F.array(own), lambda x: F.lit(False)))
-        .when((F.col("start_s") < F.col("a")) & (F.col("end_s") > F.col("b")), F.array(left, right_new))
-        .when(F.col("start_s") < F.col("a"), F.array(left))
-        .otherwise(F.array(right))
-    )
-    x = s.withColumn("_p", F.explode(parts)).withColumn("_old", F.col("segment_id"))
-    out = x.withColumn("segment_id", F.col("_p.i")).withColumn("start_s", F.col("_p.a")).withColumn("end_s", F.col("_p.b"))
-    video = segs.groupBy("timeline_id").agg(F.first("video_id").alias("video_id"))
-    new = edits.join(video, "timeline_id").withColumn("segment_id", F.xxhash64("timeline_id", "a", "b"))
-    made = new.select("video_id", "timeline_id", "segment_id", F.col("a").alias("start_s"), F.col("b").alias("end_s"))
+    e = edits if "edit_id" in edits.columns else edits.withColumn("edit_id", F.lit(0).cast("long"))
+    e = e.where("timeline_id is not null and a < b").select("timeline_id", "edit_id", F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"), "annotation_id")
+    each = e.select("timeline_id", "edit_id", "a", "b").distinct()
+    # new segments: an edit's bounds are part of what tells it apart
+    steps = each.select("timeline_id", "edit_id", F.col("a").alias("from"), F.col("b").alias("to"), "a", "b")
+    pieces = painted(steps, "timeline_id", ["edit_id", "from", "to"]).withColumn("segment_id", F.xxhash64("timeline_id", "edit_id", "from", "to", "a"))
+    noted = pieces.join(e.select("timeline_id", "edit_id", F.col("a").alias("from"), F.col("b").alias("to"), "annotation_id").distinct(), ["timeline_id", "edit_id", "from", "to"])
+    # old segments: what lies in gaps between all edits of the timeline
+    old = segs.join(each.select("timeline_id").distinct(), "timeline_id", "left_semi")
+    low = old.groupBy("timeline_id").agg((F.min("start_s") - 1).alias("lo"), (F.max("end_s") + 1).alias("hi"))
+    gaps = written(uncovered(each, "timeline_id", low))
+    as_segments = gaps.select(F.col("timeline_id").alias("video_id"), F.col("number").alias("segment_id"), F.col("a").alias("start_s"), F.col("b").alias("end_s"))
+    on_timeline = old.select(F.col("timeline_id").alias("video_id"), "segment_id", "start_s", "end_s")
+    met = overlap_join(on_timeline.where("start_s < end_s"), as_segments, strict=True).select(F.col("video_id").alias("timeline_id"), F.col("a_id").alias("segment_id"), F.col("b_id").alias("number"))
+    left = old.join(met, ["timeline_id", "segment_id"]).join(gaps, ["timeline_id", "number"])
+    left = left.withColumn("start", F.greatest("start_s", "a")).withColumn("end", F.least("end_s", "b"))
+    first = F.col("start") == F.min("start").over(W.partitionBy("segment_id"))  # one segment's pieces
+    left = left.select("video_id", "timeline_id", F.col("segment_id").alias("_old"), F.when(first, F.col("segment_id")).otherwise(F.xxhash64("segment_id", "start")).alias("segment_id"), F.col("start").alias("start_s"), F.col("end").alias("end_s"))
+    # segments without length stay unless an edit reaches beyond them on both sides
+    ranges = each.select(F.col("timeline_id").alias("video_id"), F.xxhash64("edit_id", "a", "b").alias("segment_id"), F.col("a").alias("start_s"), F.col("b").alias("end_s"))
+    spots = on_timeline.where("not start_s < end_s").select("video_id", F.col("segment_id").alias("spot"), F.col("start_s").alias("time"))
+    hit = interval_join(spots, ranges, "open").select(F.col("spot").alias("segment_id"))
+    kept = segs.join(each.select("timeline_id").distinct(), "timeline_id", "left_anti").unionByName(old.where("not start_s < end_s").join(hit, "segment_id", "left_anti"))
+    out = kept.select("video_id", "timeline_id", F.col("segment_id").alias("_old"), "segment_id", "start_s", "end_s").unionByName(left)
+    video = segs.groupBy("timeline_id").agg(F.min("video_id").alias("video_id"))
+    made = pieces.join(video, "timeline_id").select("video_id", "timeline_id", "segment_id", F.col("a").alias("start_s"), F.col("b").alias("end_s"))
     moved = links.withColumnRenamed("segment_id", "_old").join(out.select("_old", "segment_id"), "_old").select("segment_id", "annotation_id")
-    return {"segments": out.select("video_id", "timeline_id", "segment_id", "start_s", "end_s").unionByName(made), "segment_annotations": moved.unionByName(new.select("segment_id", "annotation_id"))}
+    noted = noted.join(video, "timeline_id").where(F.col("annotation_id").isNotNull()).select("segment_id", "annotation_id")
+    return {"segments": out.drop("_old").unionByName(made), "segment_annotations": moved.unionByName(noted)}
 
 
 def replace_annotations(links: DataFrame, dims: DataFrame, edits: DataFrame) -> dict[str, DataFrame]:
@@ -81,9 +136,31 @@ def toggle_annotations(links: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def merge_clusters(items: DataFrame, edits: DataFrame) -> DataFrame:
-    """Clusters renamed by (from_id, to_id)."""
-    x = items.join(edits.select(F.col("from_id").alias("cluster"), "to_id"), "cluster", "left")
-    return x.withColumn("cluster", F.coalesce("to_id", "cluster")).select(*items.columns)
+    """Clusters merged by (from_id, to_id) in the order of ``edit_id`` (without that column, of from_id and to_id).
+
+    The items of ``from_id`` go to ``to_id``, with all that came to it before, and ``from_id`` is no more: a later edit that
+    names it on either side changes nothing, nor does one that names nothing or one cluster twice. Edits are followed within
+    each component of their graph.
+    """
+    e = edits if "edit_id" in edits.columns else edits.withColumn("edit_id", F.lit(0).cast("long"))
+    e = e.where("from_id <> to_id").select("edit_id", "from_id", "to_id").distinct()
+    ends = e.select(F.lit(0).alias("video_id"), F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
+    tied = label_components(ends, e.select(F.lit(0).alias("video_id"), F.col("from_id").alias("a"), F.col("to_id").alias("b")))
+    kind = dict(edits.dtypes)["to_id"]
+
+    def fold(todo: pd.DataFrame) -> pd.DataFrame:
+        into: dict = {}
+        for f, t in todo.sort_values(["edit_id", "from_id", "to_id"])[["from_id", "to_id"]].itertuples(index=False):
+            if f not in into and t not in into:
+                into[f] = t
+        last = {}
+        for f in reversed(into):  # a target goes after what it took in
+            last[f] = last.get(into[f], into[f])
+        return pd.DataFrame({"cluster": list(last), "_to": list(last.values())})
+
+    final = e.join(tied.select(F.col("id").alias("from_id"), "component"), "from_id").groupBy("component").applyInPandas(fold, f"cluster {kind}, _to {kind}")
+    x = items.join(final, "cluster", "left")
+    return x.withColumn("cluster", F.coalesce("_to", "cluster")).select(*items.columns)
 
 
 def move_items(items: DataFrame, edits: DataFrame) -> DataFrame:

@@ -190,6 +190,24 @@ ORACLES: dict[str, str] = {
         SELECT s.video_id, s.start_s, s.end_s FROM segs s LEFT JOIN e USING (timeline_id) WHERE NOT coalesce(s.start_s >= a AND s.end_s <= b, false) UNION ALL SELECT timeline_id, a, b FROM e""",
     "annotate_range": f"""WITH {NOTES} SELECT video_id, start_s, CASE WHEN start_s < 12 AND end_s > 12 THEN 12.0 ELSE end_s END AS end_s FROM segs WHERE start_s < 12 OR end_s <= 12
         UNION ALL SELECT video_id, greatest(start_s, 25.0), end_s FROM segs WHERE end_s > 25 OR (start_s >= 25) UNION ALL SELECT DISTINCT video_id, 12.0, 25.0 FROM segs""",
+    "split_segments_often": f"""WITH {NOTES}, cuts AS (SELECT segment_id, start_s AS t FROM segs UNION SELECT segment_id, start_s + k FROM segs, (VALUES (4), (7), (9)) v(k) WHERE segment_id % 3 = 0 AND start_s + k < end_s)
+        SELECT video_id, t AS start_s, coalesce(lead(t) OVER (PARTITION BY segment_id ORDER BY t), end_s) AS end_s, annotation_id FROM segs JOIN cuts USING (segment_id) JOIN links USING (segment_id)""",
+    "merge_segments_in_order": f"""WITH {NOTES}, e AS (SELECT timeline_id, min(start_s) AS a, max(end_s) AS b FROM segs WHERE segment_id % 10 IN (1, 3, 5) GROUP BY 1 HAVING count(*) > 1 AND bool_or(segment_id % 10 = 3))
+        SELECT DISTINCT ON (segment_id, annotation_id) video_id, start_s, end_s, annotation_id FROM (SELECT s.video_id, s.segment_id, s.start_s, s.end_s FROM segs s LEFT JOIN e USING (timeline_id) WHERE NOT coalesce(s.start_s >= a AND s.end_s <= b, false)) JOIN links USING (segment_id)
+        UNION ALL SELECT DISTINCT timeline_id, a, b, annotation_id FROM segs s JOIN e USING (timeline_id) JOIN links USING (segment_id) WHERE s.start_s >= a AND s.end_s <= b""",
+    "annotate_ranges": f"""WITH {NOTES}, e AS (SELECT timeline_id, segment_id AS edit_id, start_s + 1 AS a, start_s + 1 + segment_id % 37 AS b FROM segs WHERE segment_id % 4 < 2 AND segment_id % 37 > 0),
+        pts AS (SELECT DISTINCT timeline_id, unnest([a, b]) AS p FROM e),
+        cells AS (SELECT timeline_id, p AS lo, lead(p) OVER w AS hi, row_number() OVER w AS k FROM pts WINDOW w AS (PARTITION BY timeline_id ORDER BY p)),
+        tops AS (SELECT c.timeline_id, lo, hi, k, max(edit_id) AS top FROM cells c JOIN e ON e.timeline_id = c.timeline_id AND a <= lo AND b >= hi GROUP BY ALL),
+        news AS (SELECT timeline_id, top, min(lo) AS a, max(hi) AS b FROM (SELECT *, k - row_number() OVER (PARTITION BY timeline_id, top ORDER BY k) AS g FROM tops) GROUP BY timeline_id, top, g),
+        cov AS (SELECT timeline_id, min(lo) AS a, max(hi) AS b FROM (SELECT *, k - row_number() OVER (PARTITION BY timeline_id ORDER BY k) AS g FROM tops) GROUP BY timeline_id, g),
+        gaps AS (SELECT timeline_id, b AS g0, coalesce(lead(a) OVER w, 1e9) AS g1 FROM cov WINDOW w AS (PARTITION BY timeline_id ORDER BY a) UNION ALL SELECT timeline_id, -1e9, min(a) FROM cov GROUP BY 1),
+        olds AS (SELECT video_id, segment_id, greatest(start_s, g0) AS start_s, least(end_s, g1) AS end_s FROM segs JOIN gaps USING (timeline_id) WHERE start_s < end_s AND greatest(start_s, g0) < least(end_s, g1)
+            UNION ALL SELECT video_id, segment_id, start_s, end_s FROM segs s WHERE start_s < end_s AND NOT EXISTS (SELECT 1 FROM e WHERE e.timeline_id = s.timeline_id)
+            UNION ALL SELECT video_id, segment_id, start_s, end_s FROM segs s WHERE start_s = end_s AND NOT EXISTS (SELECT 1 FROM e WHERE e.timeline_id = s.timeline_id AND a < start_s AND b > start_s))
+        SELECT video_id, start_s, end_s, annotation_id FROM olds JOIN links USING (segment_id)
+        UNION ALL SELECT timeline_id, a, b, unnest([100, 200 + top % 10]) FROM news""",
+    "merge_clusters_in_order": v("SELECT video_id, CASE WHEN cluster IN (2, 3) THEN 1 ELSE cluster END AS cluster, count(*) AS n FROM a_clusters GROUP BY 1, 2", "a_clusters"),
     "replace_annotations": f"WITH {NOTES} SELECT annotation_id, count(*) AS n FROM (SELECT segment_id, annotation_id FROM links WHERE segment_id % 5 <> 0 UNION ALL SELECT DISTINCT segment_id, 4 FROM links WHERE segment_id % 5 = 0) GROUP BY 1",
     "toggle_annotations": f"WITH {NOTES}, e AS (SELECT segment_id, CASE WHEN segment_id % 8 = 0 THEN 7 ELSE annotation_id END AS annotation_id FROM links WHERE segment_id % 4 = 0) (SELECT * FROM links EXCEPT SELECT * FROM e) UNION ALL (SELECT * FROM e EXCEPT SELECT * FROM links)",
     "merge_clusters": v("SELECT video_id, CASE cluster WHEN 3 THEN 1 ELSE cluster END AS cluster, count(*) AS n FROM a_clusters GROUP BY 1, 2", "a_clusters"),

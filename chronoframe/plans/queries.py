@@ -573,6 +573,41 @@ def q_annotate_range(s, d):
     return timelines.annotate_range(segs, links, edits)["segments"].select("video_id", "start_s", "end_s")
 
 
+@query
+def q_split_segments_often(s, d):
+    """Three cuts of every third segment, one of them beyond short segments, and their annotations."""
+    segs, links, _, _ = notes(s, d)
+    cuts = segs.where("segment_id % 3 = 0").select("segment_id", F.explode(F.array(*[F.col("start_s") + k for k in (9, 4, 7)])).alias("t"))
+    out = timelines.split_segments(segs, links, cuts)
+    return out["segments"].join(out["segment_annotations"], "segment_id").select("video_id", "start_s", "end_s", "annotation_id")
+
+
+@query
+def q_merge_segments_in_order(s, d):
+    """Two merges of a timeline that share a segment: the second one merges what the first one made."""
+    segs, links, _, _ = notes(s, d)
+    line = F.col("segment_id") % 10
+    edits = [segs.where(line.isin(*lines)).select((F.col("timeline_id") * 2 + k).alias("edit_id"), "segment_id") for k, lines in enumerate(((1, 3), (3, 5)))]
+    out = timelines.merge_segments(segs, links, edits[1].unionByName(edits[0]))
+    return out["segments"].join(out["segment_annotations"].distinct(), "segment_id").select("video_id", "start_s", "end_s", "annotation_id")
+
+
+@query
+def q_annotate_ranges(s, d):
+    """Overlapping ranges written over a timeline one after the other, two annotations each."""
+    segs, links, _, _ = notes(s, d)
+    edits = segs.where("segment_id % 4 < 2").select("timeline_id", F.col("segment_id").alias("edit_id"), (F.col("start_s") + 1).alias("a"), (F.col("start_s") + 1 + F.col("segment_id") % 37).alias("b"), F.explode(F.array(F.lit(100).cast("long"), 200 + F.col("segment_id") % 10)).alias("annotation_id"))
+    out = timelines.annotate_range(segs, links, edits)
+    return out["segments"].join(out["segment_annotations"], "segment_id").select("video_id", "start_s", "end_s", "annotation_id")
+
+
+@query
+def q_merge_clusters_in_order(s, d):
+    c = a.clusters(s, d).select("video_id", "cluster", "ref_id")
+    edits = s.createDataFrame([(4, 1, 1), (2, 2, 1), (3, 3, 0), (1, 3, 2)], "edit_id long, from_id long, to_id long")
+    return timelines.merge_clusters(c, edits).groupBy("video_id", "cluster").agg(F.count("*").alias("n"))
+
+
 @query
 def q_replace_annotations(s, d):
     _, links, dim, _ = notes(s, d)
