@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chronoframe.llm.common import table
 
@@ -154,25 +155,42 @@ def avi(frames: list[bytes], fps: int = FPS) -> bytes:
 
 
 def indexed_frames(data: bytes) -> tuple[int, list[bytes]]:
-    """Frames per second and the frames that the index names, in its order."""
-    fps, frames, at = 0, [], 0
+    """Frames per second (at least 1) and the frames that the index names, in its order; ValueError where the file ends early."""
+    fps, frames, at = 1, [], 0
+
+    def word(p: int, end: int) -> int:
+        if p + 4 > end:
+            raise ValueError(f"the file ends within a chunk at byte {p}")
+        return struct.unpack_from("<I", data, p)[0]
+
+    if len(data) < 12:
+        raise ValueError("no RIFF segment")
     while at + 12 <= len(data):
         if data[at : at + 4] != b"RIFF":
-            raise ValueError("no RIFF segment")
-        end = at + 8 + struct.unpack("<I", data[at + 4 : at + 8])[0]
+            raise ValueError(f"no RIFF segment at byte {at}")
+        end = at + 8 + word(at + 4, len(data))
+        if end > len(data):
+            raise ValueError(f"the segment at byte {at} is cut off")
         p, movie = at + 12, 0
         while p + 8 <= end:
-            name, size = data[p : p + 4], struct.unpack("<I", data[p + 4 : p + 8])[0]
+            name, size = data[p : p + 4], word(p + 4, end)
+            if p + 8 + size > end:
+                raise ValueError(f"the chunk at byte {p} is cut off")
             if name == b"LIST" and data[p + 8 : p + 12] == b"hdrl":
-                fps = round(1_000_000 / max(1, struct.unpack("<I", data[p + 20 : p + 24])[0]))
+                fps = max(1, round(1_000_000 / max(1, word(p + 20, end))))
             elif name == b"LIST" and data[p + 8 : p + 12] == b"movi":
                 movie = p + 8
             elif name == b"idx1":
-                for kind, _, offset, length in struct.iter_unpack("<4sIII", data[p + 8 : p + 8 + size]):
+                for kind, _, offset, length in struct.iter_unpack("<4sIII", data[p + 8 : p + 8 + size - size % 16]):
                     if kind[2:] in (b"dc", b"db"):
-                        frames.append(data[movie + offset + 8 : movie + offset + 8 + length])
+                        first = movie + offset + 8
+                        if not movie or first + length > end:
+                            raise ValueError(f"the index names a frame beyond the segment at byte {at}")
+                        frames.append(data[first : first + length])
             p += 8 + size + (size & 1)
         at = end + (end - at & 1)
+    if not frames:
+        raise ValueError("no index names a frame")
     return fps, frames
 
 
@@ -218,6 +236,21 @@ def read(data: bytes) -> tuple[bytes, int, np.ndarray, list[int]]:
     return b"".join(payload), fps, hist, shots(hist)
 
 
+def attempt(data: bytes | None) -> tuple[tuple[bytes, int, np.ndarray, list[int]] | None, str | None]:
+    """What ``read`` gives, or why there is nothing to read: no file, or a file that is cut off, damaged or of another kind."""
+    if data is None:
+        return None, "no file"
+    try:
+        return read(data), None
+    except (ValueError, IndexError, KeyError, struct.error) as e:
+        return None, f"{type(e).__name__}: {e}"
+
+
+def spans(fps: int, n_frames: int, cuts: list[int]) -> list[dict]:
+    """The shots as timed clips."""
+    return [{"clip": c, "start_s": s / fps, "end_s": e / fps, "first_frame": s, "n_frames": e - s} for c, (s, e) in enumerate(zip(cuts, [*cuts[1:], n_frames], strict=True))]
+
+
 def to_media(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """``key, n_bytes, media``: each whole text (null: empty) as the samples of an AVI file, padded with spaces.
 
@@ -235,45 +268,45 @@ def to_media(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, n_bytes long, media binary")
 
 
-def clips(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``key, clip, start_s, end_s, first_frame, n_frames``: a row for each shot of each file; a null file has none."""
-    kind = media.schema[key].dataType.simpleString()
-    names = [key, "clip", "start_s", "end_s", "first_frame", "n_frames"]
+CLIP = "array<struct<clip:int,start_s:double,end_s:double,first_frame:int,n_frames:int>>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for k, data in enumerate(b.column("media").to_pylist()):
-                if data is None:
-                    continue
-                _, fps, hist, cuts = read(data)
-                rows += [(k, c, s / fps, e / fps, s, e - s) for c, (s, e) in enumerate(zip(cuts, [*cuts[1:], len(hist)], strict=True))]
-            if rows:
-                at, *rest = zip(*rows, strict=True)
-                types = [pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(at)), *[pa.array(v, t) for v, t in zip(rest, types, strict=True)]], names)
 
-    return media.select(key, "media").mapInArrow(run, f"{key} {kind}, clip int, start_s double, end_s double, first_frame int, n_frames int")
+def clips(media: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key, clip, start_s, end_s, first_frame, n_frames``: a row for each shot of each file; a null or broken file has none."""
+    return describe(media.select(key, F.lit(0).cast("long").alias("n_bytes"), "media"), key).select(key, F.inline("clips"))
 
 
 def describe(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """What is read back from each file: payload and file digests, and its shots as text."""
+    """What is read back from each file: digests of payload and file, its shots as timed clips, and ``error``.
+
+    ``media``: ``key, n_bytes, media``. Where a file is null, cut off, damaged or no AVI of lossless frames, ``error`` says
+    so, what would be read from it is null and ``clips`` is empty; the size and digest of a file that is there stay. For
+    others ``error`` is null. Repeated rows are each answered; an empty table gives no rows; other columns are ignored.
+    """
     kind = media.schema[key].dataType.simpleString()
-    names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips", "error"]
+    clip = pa.list_(pa.struct([("clip", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("first_frame", pa.int32()), ("n_frames", pa.int32())]))
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), clip, pa.string()]
+
+    def facts(data: bytes | None) -> tuple:
+        got, error = attempt(data)
+        size, digest = (None, None) if data is None else (len(data), hashlib.sha256(data).hexdigest())
+        if got is None:
+            return None, None, None, size, digest, None, [], error
+        payload, fps, hist, cuts = got
+        mean = hist.sum(axis=0) * 1000 // max(1, hist.sum())
+        feature = f"frames={len(hist)};fps={fps};shots={len(cuts)};cuts={zlib.crc32(np.array(cuts, np.int64).tobytes()):08x};mean={'-'.join(map(str, mean))}"
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), size, digest, feature, spans(fps, len(hist), cuts), None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for data in b.column("media").to_pylist():
-                payload, fps, hist, cuts = read(data)
-                mean = hist.sum(axis=0) * 1000 // max(1, hist.sum())
-                feature = f"frames={len(hist)};fps={fps};shots={len(cuts)};cuts={zlib.crc32(np.array(cuts, np.int64).tobytes()):08x};mean={'-'.join(map(str, mean))}"
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column(key), b.column("n_bytes"), *[pa.array(v, t) for v, t in zip(cols, types, strict=True)]], names)
-
-    return media.select(key, "n_bytes", "media").mapInArrow(run, f"{key} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            for i in range(0, b.num_rows, 64):
+                part = b.slice(i, 64)
+                cols = zip(*(facts(x.as_py()) for x in part.column("media")), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(key), part.column("n_bytes"), *[pa.array(v, t) for v, t in zip(cols, types, strict=True)]], names)
+
+    out = f"{key} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips {CLIP}, error string"
+    return media.select(key, "n_bytes", "media").mapInArrow(run, out)
 
 
 def op3_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:

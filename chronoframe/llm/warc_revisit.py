@@ -26,6 +26,25 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), F.array_join(F.array_sort(F.split(query, "&")), "&"))))
 
 
+def opaque(etag: Column) -> Column:
+    """An entity tag without its mark for weakness: a "not modified" answer compares tags weakly."""
+    return F.regexp_replace(F.trim(etag), r"\AW/", "")
+
+
+def instant(date: Column) -> Column:
+    """A date of HTTP in any of its three spellings as ``year-month-day time``; what is none of them as it is."""
+    d = F.trim(date)
+    long, short = r"(?i)\A[a-z]+,\s*(\d{1,2})[ -]([a-z]{3})[ -](\d{4}|\d{2})\s+(\d{2}:\d{2}:\d{2})\s+(?:gmt|utc)\z", r"(?i)\A[a-z]{3}\s+([a-z]{3})\s+(\d{1,2})\s+(\d{2}:\d{2}:\d{2})\s+(\d{4})\z"
+
+    def spelled(pattern: str, day: int, month: int, year: int, time: int) -> Column:
+        part = lambda k: F.regexp_extract(d, pattern, k)
+        place = F.position(F.lower(part(month)), F.lit("janfebmaraprmayjunjulaugsepoctnovdec"))
+        full = F.when(F.length(part(year)) == 4, part(year)).otherwise(F.concat(F.when(part(year) < "70", "20").otherwise("19"), part(year)))
+        return F.concat(full, F.lit("-"), F.lpad(((place + 2) / 3).cast("int").cast("string"), 2, "0"), F.lit("-"), F.lpad(part(day), 2, "0"), F.lit(" "), part(time))
+
+    return F.when(d.rlike(long), spelled(long, 1, 2, 3, 4)).when(d.rlike(short), spelled(short, 2, 1, 4, 3)).otherwise(d)
+
+
 def merged(stored: Column, new: Column, permitted: tuple[str, ...] = PERMITTED) -> Column:
     """The stored headers with those permitted ones that the revisit sends anew."""
     sent = F.map_filter(F.coalesce(new, F.create_map().cast("map<string,string>")), lambda k, _: k.isin(*permitted))
@@ -40,7 +59,8 @@ def resolve_revisits(records: DataFrame, stretch_s: int = 21_600) -> DataFrame:
     ``last_modified``, ``headers`` (map, lower-case names). Full responses are responses of status 200. The target is the
     full response of the same canonical URL that comes last before the revisit, by time, then id; a response at the same
     second counts as earlier if its id is smaller. ``outcome``: ``resolved`` (headers are merged), ``mismatch`` (an etag
-    that both have differs, or without etags a last-modified time that both have), ``unvalidated`` (no validator that both
+    that both have differs but for a mark of weakness, or without etags a last-modified time that both have, whatever
+    spelling of HTTP's dates it is in), ``unvalidated`` (no validator that both
     have; not merged), ``unresolved`` (no earlier full response). Null URLs or times are unresolved; rows of other kinds
     are left out; repeated records are each answered; extra columns are ignored. The result doesn't depend on
     ``stretch_s``, the length of the stretches of time.
@@ -64,8 +84,8 @@ def resolve_revisits(records: DataFrame, stretch_s: int = 21_600) -> DataFrame:
     etags, times = F.col("etag").isNotNull() & t["etag"].isNotNull(), F.col("last_modified").isNotNull() & t["last_modified"].isNotNull()
     outcome = (
         F.when(t.isNull(), "unresolved")
-        .when(etags, F.when(F.col("etag") == t["etag"], "resolved").otherwise("mismatch"))
-        .when(times, F.when(F.col("last_modified") == t["last_modified"], "resolved").otherwise("mismatch"))
+        .when(etags, F.when(opaque(F.col("etag")) == opaque(t["etag"]), "resolved").otherwise("mismatch"))
+        .when(times, F.when(instant(F.col("last_modified")) == instant(t["last_modified"]), "resolved").otherwise("mismatch"))
         .otherwise("unvalidated")
     )
     out = out.withColumn("outcome", outcome)

@@ -656,3 +656,30 @@ def test_canonical_ports(spark):
     urls = ["http://A.org:80/x/", "https://a.org:443/x", "http://a.org:443/x", "https://www.a.org:80?b=1&a=2#f", "a.org"]
     got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(warc_revisit.canonical_url(F.col("u"))).collect()]
     assert got == ["a.org/x", "a.org/x", "a.org:443/x", "a.org:80?a=2&b=1", "a.org"]
+
+
+def test_null_and_broken_media(spark):
+    good = media_avi.store(media_avi.padded("some text " * 300)[1])
+    rnd = random.Random(12)
+    files = [None, b"", b"RIFF", b"no media at all, but long enough", good, good[:40], good[:-7], good[: len(good) // 2], good.replace(b"idx1", b"idx2")]
+    files += [good[:k] + bytes([good[k] ^ 1 << rnd.randrange(8)]) + good[k + 1 :] for k in rnd.sample(range(len(good)), 60)]
+    df = spark.createDataFrame([(k, len(f or b""), f) for k, f in enumerate(files)] + [(4, 0, good)], "doc_id long, n_bytes long, media binary").withColumn("clips", F.lit(1))
+    out = media_avi.describe(df).collect()
+    got = {r.doc_id: r for r in out}
+    assert len(out) == len(files) + 1 and got[4].error is None and got[4].clips[0].start_s == 0 and sum(c.n_frames for c in got[4].clips) == got[4].payload_bytes // 192
+    assert got[0].error == "no file" and got[0].media_bytes is None and all(got[k].error for k in (1, 2, 3, 5, 6, 7))
+    for k, r in got.items():
+        if r.error:
+            assert r.payload_sha256 is None and r.feature is None and r.clips == [] and r.media_bytes == (None if k == 0 else len(files[k]))
+    whole = [r for r in media_avi.clips(df.drop("clips")).collect() if r.doc_id == 4]
+    assert [(c.start_s, c.n_frames) for c in got[4].clips] * 2 == [(c.start_s, c.n_frames) for c in whole] and media_avi.describe(df.limit(0)).count() == 0
+
+
+def test_weak_tags_and_spellings_of_dates(spark):
+    day = ["Sun, 06 Nov 1994 08:49:37 GMT", "Sunday, 06-Nov-94 08:49:37 GMT", "Sun Nov  6 08:49:37 1994", "sun, 6 nov 1994 08:49:37 gmt", "Sun, 06 Nov 1994 08:49:38 GMT", "yesterday", None, "Mon, 01-Jan-24 00:00:00 UTC"]
+    got = [r[0] for r in spark.createDataFrame([(d,) for d in day], "d string").select(warc_revisit.instant(F.col("d"))).collect()]
+    assert got == ["1994-11-06 08:49:37"] * 4 + ["1994-11-06 08:49:38", "yesterday", None, "2024-01-01 00:00:00"]
+    cases = [('"abc"', 'W/"abc"', None, None, "resolved"), ('W/"abc"', 'W/"abd"', None, None, "mismatch"), (None, '"x"', day[0], day[1], "resolved"), (None, None, day[0], day[4], "mismatch"), (None, None, "yesterday", "yesterday", "resolved"), ('"x"', None, None, day[0], "unvalidated")]
+    rows = [r for k, (a, b, x, y, _) in enumerate(cases) for r in ((2 * k, f"http://h/{k}", 1, "response", 200, a, x, None), (2 * k + 1, f"http://h/{k}", 2, "revisit", 304, b, y, None))]
+    df = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, status int, etag string, last_modified string, headers map<string,string>")
+    assert {r.record_id // 2: r.outcome for r in warc_revisit.resolve_revisits(df).collect()} == {k: c[4] for k, c in enumerate(cases)}
