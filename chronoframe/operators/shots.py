@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -175,42 +176,51 @@ def shot_sides(face_facts: DataFrame, shots: DataFrame) -> DataFrame:
     return s.select(*SHOT, "cluster", F.when(F.col("_l") > F.col("_r"), "left").otherwise("right").alias("side"))
 
 
-def _runs(shots: DataFrame, facts: DataFrame, cols: list[str], fold, out: str) -> DataFrame:
-    """A fold over the ordered shots of each video; ``facts`` has one row per shot that counts, others break a run."""
-    rows = shots.select(*SHOT, "start_s", "end_s").join(facts, SHOT, "left")
+def _pairs(shots: DataFrame, facts: DataFrame, cols: list[str]) -> DataFrame:
+    """Shots by their place ``i`` in the video (of ``n``) with their facts as ``x``, and ``x1``, ``x2`` of the two before; null where there is none."""
+    rows = shots.select(*SHOT, "start_s", "end_s").join(facts.select(*SHOT, *cols), SHOT, "left")
+    whole = F.when(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in cols)), F.struct(*cols))
+    w = _by_video().orderBy("start_s", "segment_id")
+    rows = rows.select("video_id", "start_s", "end_s", whole.alias("x"), F.row_number().over(w).alias("i"), F.count("*").over(_by_video()).alias("n"), F.col("segment_id"))
+    return rows.select("video_id", "start_s", "end_s", "x", (F.col("i") - 1).alias("i"), "n", F.lag("x").over(w).alias("x1"), F.lag("x", 2).over(w).alias("x2"))
 
-    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start_s", "segment_id"])
-        items = [None if any(pd.isna(v) for v in r) else r for r in zip(*[pdf[c] for c in cols], strict=True)]
-        found = fold(items)
-        return pd.DataFrame({"video_id": pdf.video_id.iloc[0], "first_shot": [i for i, _ in found], "last_shot": [j for _, j in found], "start_s": [pdf.start_s.iloc[i] for i, _ in found], "end_s": [pdf.end_s.iloc[j] for _, j in found]})
 
-    return rows.groupBy("video_id").applyInPandas(apply, out)
+def _islands(pairs: DataFrame, apart, **agg) -> DataFrame:
+    """Neighbouring pairs of shots, a new island where ``apart`` holds (or there is no pair before): ``first, last`` shots, ``n``, and ``agg``."""
+    w = _by_video().orderBy("i")
+    p = pairs.withColumn("_new", F.coalesce((F.lag("i").over(w) != F.col("i") - 1) | apart, F.lit(True)).cast("int"))
+    p = p.withColumn("_island", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return p.groupBy("video_id", "_island").agg((F.min("i") - 1).alias("first"), F.max("i").alias("last"), F.max("n").alias("n"), *[f.alias(k) for k, f in agg.items()]).drop("_island")
 
 
-RUN = "video_id long, first_shot int, last_shot int, start_s double, end_s double"
+def _named(runs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``video_id, first_shot, last_shot, start_s, end_s``"""
+    at = lambda c, t: pairs.select("video_id", F.col("i").alias(c), t)
+    return runs.select("video_id", F.col("first").cast("int").alias("first_shot"), F.col("last").cast("int").alias("last_shot")).join(at("first_shot", "start_s"), ["video_id", "first_shot"]).join(at("last_shot", "end_s"), ["video_id", "last_shot"]).select("video_id", "first_shot", "last_shot", "start_s", "end_s")
 
 
-def _greedy(items: list, opens, follows, min_len: int) -> list[tuple[int, int]]:
-    """Runs that start with a pair for which ``opens`` and go on while ``follows(first, second, k-th, k)``, not overlapping.
+def _alternating(shots: DataFrame, facts: DataFrame, cols: list[str], opens, min_len: int) -> DataFrame:
+    """Runs a b a b ... of shots where ``opens(a, b)``, chosen from the first to the last so that none overlap.
 
-    As a run needs room, it starts three shots or more before the end.
+    Islands of pairs that go on (a shot equals the last but one) are the longest runs; the next island shares one shot with
+    the one before at most, and loses it where that one is chosen. That changes the choice only for an island that is just
+    long enough, so among neighbours of that kind every other one is chosen: it is told by their distance from an island
+    whose choice is sure. A run that ends with the video has three shots or more, as it starts before the last two.
     """
-    out, i, n = [], 0, len(items)
-    while i < n - 2:
-        a, b = items[i], items[i + 1]
-        if a is None or b is None or not opens(a, b):
-            i += 1
-            continue
-        j = i + 2
-        while j < n and items[j] is not None and follows(a, b, items[j], j - i):
-            j += 1
-        if j - i >= min_len:
-            out.append((i, j - 1))
-            i = j
-        else:
-            i += 1
-    return out
+    p = _pairs(shots, facts, cols)
+    x = p.where("x is not null and x1 is not null")
+    runs = _islands(x, ~F.coalesce(F.col("x") == F.col("x2"), F.lit(False)), opens=F.max_by(opens(F.col("x1"), F.col("x")), -F.col("i")))
+    w = _by_video().orderBy("first")
+    need = F.when(F.col("last") == F.col("n") - 1, F.lit(max(min_len, 3))).otherwise(F.lit(min_len))
+    spare = F.col("last") - F.col("first") + 1 - need
+    r = runs.withColumn("_touch", F.coalesce(F.lag("last").over(w) == F.col("first"), F.lit(False))).withColumn("_spare", spare)
+    r = r.withColumn("_sure", (~(F.col("opens") & F.col("_touch") & (F.col("_spare") == 0))).cast("int"))
+    r = r.withColumn("_group", F.sum("_sure").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    g = W.partitionBy("video_id", "_group").orderBy("first")
+    chosen = F.first(F.col("opens") & (F.col("_spare") >= 0)).over(g) == (F.row_number().over(g) % 2 == 1)
+    r = r.withColumn("_chosen", chosen)
+    r = r.withColumn("first", F.col("first") + (F.col("_touch") & F.coalesce(F.lag("_chosen").over(w), F.lit(False))).cast("int"))
+    return _named(r.where("_chosen"), p)
 
 
 def single_faces(facts: DataFrame, sides: bool = False) -> DataFrame:
@@ -221,39 +231,27 @@ def single_faces(facts: DataFrame, sides: bool = False) -> DataFrame:
 
 def shot_reverse_shot(shot_faces: DataFrame, shots: DataFrame, min_len: int = 4) -> DataFrame:
     """Two clusters, each alone in its shots, that alternate."""
-    fold = lambda items: _greedy(items, lambda a, b: a != b, lambda a, b, x, k: x == (a if k % 2 == 0 else b), min_len)
-    return _runs(shots, single_faces(shot_faces), ["cluster"], fold, RUN)
+    return _alternating(shots, single_faces(shot_faces), ["cluster"], lambda a, b: a["cluster"] != b["cluster"], min_len)
 
 
 def opposition(sides: DataFrame, shots: DataFrame, min_len: int = 3) -> DataFrame:
     """As before, and the two are on different sides."""
-    fold = lambda items: _greedy(items, lambda a, b: a[0] != b[0] and a[1] != b[1], lambda a, b, x, k: x == (a if k % 2 == 0 else b), min_len)
-    return _runs(shots, single_faces(sides, True), ["cluster", "side"], fold, RUN)
+    return _alternating(shots, single_faces(sides, True), ["cluster", "side"], lambda a, b: (a["cluster"] != b["cluster"]) & (a["side"] != b["side"]), min_len)
 
 
 def frameshare(sides: DataFrame, shots: DataFrame, min_len: int = 3) -> DataFrame:
     """Two persons, who may be one, alternate on the same side."""
-    fold = lambda items: _greedy(items, lambda a, b: a[1] == b[1], lambda a, b, x, k: x == (a if k % 2 == 0 else b), min_len)
-    return _runs(shots, single_faces(sides, True), ["cluster", "side"], fold, RUN)
+    return _alternating(shots, single_faces(sides, True), ["cluster", "side"], lambda a, b: a["side"] == b["side"], min_len)
 
 
 def intensification(ranks: DataFrame, shots: DataFrame, min_len: int = 3) -> DataFrame:
-    """Shot sizes (larger ranks are wider) that drop and then never rise; shots without a rank are left out."""
-    def fold(items: list) -> list[tuple[int, int]]:
-        out, i, n = [], 0, len(items)
-        while i < n - 2:
-            if items[i] is None or items[i + 1] is None or not items[i + 1][0] < items[i][0]:
-                i += 1
-                continue
-            j = i + 2
-            while j < n and items[j] is not None and items[j][0] <= items[j - 1][0]:
-                j += 1
-            if j - i >= min_len:
-                out.append((i, j - 1))
-                i = j
-            else:
-                i += 1
-        return out
+    """Shot sizes (larger ranks are wider) that drop and then never rise; shots without a rank are left out, null ranks break a run.
 
+    Islands of pairs that do not rise never overlap; a run begins with its island's first drop.
+    """
     known = shots.join(ranks.select(*SHOT), SHOT, "left_semi")
-    return _runs(known, ranks.select(*SHOT, "rank"), ["rank"], fold, RUN)
+    p = _pairs(known, ranks.select(*SHOT, "rank"), ["rank"])
+    rank, before = F.col("x")["rank"], F.col("x1")["rank"]
+    runs = _islands(p.where(rank <= before), F.lit(False), drop=F.min(F.when(rank < before, F.col("i") - 1)))
+    runs = runs.where((F.col("last") - F.col("drop") + 1 >= F.lit(max(min_len, 2))) & (F.col("drop") < F.col("n") - 2))
+    return _named(runs.withColumn("first", F.col("drop")), p)

@@ -44,6 +44,25 @@ def _grid(how: str, order: str = "['click', 'view', 'purchase']") -> str:
     )
 
 
+def _walk(facts: str, opens: str, goes: str, back: int, least: int, *views: str) -> str:
+    """Runs of shots by a walk from shot to shot. ``facts``: video_id, segment_id, x; ``opens`` is of shots a and b, ``goes`` of shots j and k, ``back`` shots apart."""
+    return v(
+        f"""SELECT w.video_id, w.i::INT AS first_shot, st.e::INT AS last_shot, a.start_s, b.end_s FROM walk w JOIN st USING (video_id, i) JOIN sh a USING (video_id, i) JOIN sh b ON b.video_id = w.video_id AND b.i = st.e WHERE takes""",
+        "a_segments", *views,
+        extra=f"""facts AS ({facts}),
+    sh AS (SELECT s.video_id, start_s, end_s, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY s.video_id) AS n, x FROM a_segments s LEFT JOIN facts USING (video_id, segment_id) WINDOW w AS (PARTITION BY s.video_id ORDER BY start_s, segment_id)),
+    stop AS (SELECT k.video_id, k.i AS brk FROM sh k JOIN sh j ON j.video_id = k.video_id AND j.i = k.i - {back} WHERE NOT coalesce({goes}, false)),
+    ends AS (SELECT a.video_id, a.i, a.n, min(coalesce(brk, a.n)) - 1 AS e FROM sh a LEFT JOIN stop ON stop.video_id = a.video_id AND brk >= a.i + 2 GROUP BY a.video_id, a.i, a.n),
+    st AS (SELECT g.video_id, g.i, e, g.i < g.n - 2 AND coalesce({opens}, false) AND e - g.i + 1 >= {least} AS takes FROM ends g JOIN sh a ON a.video_id = g.video_id AND a.i = g.i LEFT JOIN sh b ON b.video_id = g.video_id AND b.i = g.i + 1),
+    walk AS (SELECT DISTINCT video_id, 0::BIGINT AS i FROM sh UNION ALL SELECT w.video_id, CASE WHEN takes THEN e + 1 ELSE w.i + 1 END FROM walk w JOIN st USING (video_id, i))""",
+    )
+
+
+SIDES = f"""SELECT video_id, segment_id, struct_pack(c := min(cluster), s := min(side)) AS x FROM (SELECT video_id, segment_id, cluster, CASE WHEN sum(l) > sum(r) THEN 'left' ELSE 'right' END AS side FROM (SELECT s.video_id, s.segment_id, p.cluster,
+    lx * oy / (p.w * p.h + 0.5 - lx * oy) AS l, rx * oy / (p.w * p.h + 0.5 - rx * oy) AS r FROM a_segments s JOIN (SELECT b.*, c.cluster, greatest(0, least(x + w, 0.5) - greatest(x, 0)) AS lx, greatest(0, least(x + w, 1) - greatest(x, 0.5)) AS rx, greatest(0, least(y + h, 1) - greatest(y, 0)) AS oy
+    FROM a_bboxes b JOIN a_clusters c ON b.video_id = c.video_id AND b.id = c.ref_id) p ON {IN} > s.start_s AND p.time < s.end_s) GROUP BY 1, 2, 3) GROUP BY 1, 2 HAVING count(DISTINCT cluster) = 1"""
+
+
 def _components(t: float) -> str:
     return f"""{UNITS},
     near AS (SELECT a.video_id, a.id AS a, b.id AS b FROM units a JOIN units b ON a.video_id = b.video_id AND a.id <> b.id AND 1 - list_dot_product(a.u, b.u) <= {t}),
@@ -250,6 +269,10 @@ ORACLES: dict[str, str] = {
         span AS (SELECT *, lag(last) OVER (PARTITION BY video_id ORDER BY k) AS prev FROM e)"""),
     "multi_scale_mean": v("""SELECT g.video_id, g.i, round_even(avg(coalesce(score, -5.0)), 1) AS score FROM (SELECT DISTINCT m.video_id, m.i, s.series FROM m JOIN (SELECT DISTINCT video_id, series FROM m) s USING (video_id)) g
         LEFT JOIN m ON m.video_id = g.video_id AND m.i = g.i AND m.series = g.series GROUP BY 1, 2""", "a_scalars", extra="m AS (SELECT video_id, series, row_number() OVER (PARTITION BY video_id, series ORDER BY time, y) - 1 AS i, floor(y * 8)::DOUBLE AS score FROM a_scalars)"),
+    "shot_reverse_shot": _walk(f"SELECT s.video_id, s.segment_id, min(p.cluster % 2) AS x FROM a_segments s JOIN a_clusters p ON {IN} > s.start_s AND p.time < s.end_s GROUP BY 1, 2", "a.x <> b.x", "k.x = j.x", 2, 3, "a_clusters"),
+    "opposition": _walk(SIDES, "a.x.c <> b.x.c AND a.x.s <> b.x.s", "k.x = j.x", 2, 2, "a_bboxes", "a_clusters"),
+    "frameshare": _walk(SIDES, "a.x.s = b.x.s", "k.x = j.x", 2, 2, "a_bboxes", "a_clusters"),
+    "intensification": _walk("SELECT video_id, segment_id, segment_id * 4 % 5 AS x FROM a_segments", "b.x < a.x", "k.x <= j.x", 1, 3),
     "shot_sides": v(f"""SELECT video_id, segment_id, cluster, CASE WHEN sum(l) > sum(r) THEN 'left' ELSE 'right' END AS side FROM (SELECT s.video_id, s.segment_id, p.cluster,
         lx * oy / (p.w * p.h + 0.5 - lx * oy) AS l, rx * oy / (p.w * p.h + 0.5 - rx * oy) AS r FROM a_segments s JOIN (SELECT b.*, c.cluster, greatest(0, least(x + w, 0.5) - greatest(x, 0)) AS lx, greatest(0, least(x + w, 1) - greatest(x, 0.5)) AS rx, greatest(0, least(y + h, 1) - greatest(y, 0)) AS oy
         FROM a_bboxes b JOIN a_clusters c ON b.video_id = c.video_id AND b.id = c.ref_id) p ON {IN} > s.start_s AND p.time < s.end_s) GROUP BY 1, 2, 3""", "a_segments", "a_bboxes", "a_clusters"),
