@@ -10,21 +10,102 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoframe.operators.boxes import face_size_filter
+from chronoframe.operators.stretches import numbered
 from chronoframe.sources.written import written
 
 
-def linking_pairs(embeddings: DataFrame, t: float, metric: str = "cosine", block: int = 1024) -> DataFrame:
+#: Rows of a video that the metric index measures distances from, at most.
+PIVOTS = 256
+
+
+def _distances(v: np.ndarray, metric: str) -> np.ndarray:
+    """Rows as points of a Euclidean space: unit vectors for cosines (where a distance of t is one of sqrt(2 t))."""
+    if metric != "cosine":
+        return v
+    n = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return np.divide(v, n, out=np.zeros_like(v), where=n > 0)
+
+
+def block_pairs(e: DataFrame, t: float, metric: str, block: int, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
+    """``e`` with ``_b``, its block, and the pairs of blocks ``video_id, _d, _i, _j`` that may hold rows within distance t.
+
+    ``e``: ``video_id, id, embedding, _d, _n`` (blocks that the video asks for). A few rows of a video, those of the least
+    hashes, are its pivots. Rows are ordered by their two nearest pivots (along a walk over these) and the distance from the nearest, and cut into
+    blocks; a block knows the least and largest distance from each pivot, of those of its rows that share a nearest pivot.
+    By the triangle inequality rows whose ranges from one pivot are more than t apart hold no link, and blocks without
+    rows that may do not meet. No other pair is left out, so the links are all found.
+    """
+    own = ["video_id", "_d"]
+
+    def chain(p: np.ndarray) -> np.ndarray:
+        """Each pivot's place in a walk from one to the nearest one left, so that those of one cluster are neighbours."""
+        free, place, at = np.ones(len(p), bool), np.zeros(len(p), np.int64), 0
+        for k in range(len(p)):
+            place[at], free[at] = k, False
+            d = np.where(free, ((p - p[at]) ** 2).sum(axis=1), np.inf)
+            at = int(d.argmin())
+        return place
+
+    first = F.row_number().over(W.partitionBy(*own).orderBy(F.xxhash64("id"), "id"))
+    chosen = e.withColumn("_r", first).where(F.col("_r") <= pivots).groupBy(*own, "_n").agg(F.sort_array(F.collect_list(F.struct("_r", "embedding"))).alias("_p"))
+    chosen = chosen.select(F.col("video_id").alias("_pv"), F.col("_d").alias("_pd"), "_p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_pk"))
+    dealt = e.withColumn("_k", F.pmod(F.xxhash64("id", F.lit(1)), F.col("_n")))
+    kinds = {f.name: f.dataType.simpleString() for f in e.schema}
+
+    def measure(key: tuple, rows: pa.Table, pivot: pa.Table) -> pa.Table:
+        size = rows.column("_d")[0].as_py() if rows.num_rows else 0
+        if not rows.num_rows or not pivot.num_rows:
+            return rows.select(["video_id", "_d", "id", "embedding"]).append_column("_key", pa.array([], pa.float64())).append_column("_near", pa.array([], pa.int32())).append_column("_far", pa.array([], pa.list_(pa.float32()))).slice(0, 0)
+        point = lambda column: _distances(pc.list_flatten(column).to_numpy().astype(float).reshape(-1, size), metric)
+        x = point(rows.column("embedding"))
+        p = point(pc.struct_field(pc.list_flatten(pivot.column("_p").slice(0, 1)), "embedding"))
+        far = np.sqrt(np.maximum(0.0, (x * x).sum(axis=1)[:, None] + (p * p).sum(axis=1)[None] - 2 * (x @ p.T)))
+        near = np.argsort(far, axis=1, kind="stable")[:, : min(2, len(p))]
+        r, rank = far[np.arange(len(x)), near[:, 0]], chain(p)
+        order = rank[near[:, 0]] * pivots + rank[near[:, -1]] + np.minimum(r / (1 + r), 0.999999)
+        lists = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * far.shape[1], far.astype(np.float32).ravel())
+        return rows.select(["video_id", "_d", "id", "embedding"]).append_column("_key", pa.array(order)).append_column("_near", pa.array(near[:, 0].astype(np.int32))).append_column("_far", lists)
+
+    out = f"video_id {kinds['video_id']}, _d {kinds['_d']}, id {kinds['id']}, embedding {kinds['embedding']}, _key double, _near int, _far array<float>"
+    placed = written(dealt.groupBy(*own, "_k").cogroup(chosen.groupBy("_pv", "_pd", "_pk")).applyInArrow(measure, out))
+    placed = written(numbered(placed, own, ["_key", "id"]).withColumn("_b", F.floor(F.col("_i") / block).cast("long")).drop("_i", "_n", "_key"))
+    ends = placed.select(*own, "_b", "_near", F.posexplode("_far").alias("_q", "_v")).groupBy(*own, "_b", "_near", "_q").agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    ends = written(ends.groupBy(*own, "_b", "_near").agg(F.sort_array(F.collect_list(F.struct("_q", "lo", "hi"))).alias("_s")))
+    reach = float(np.sqrt(2 * max(0.0, t)) if metric == "cosine" else t) + 1e-5  # the ranges are rounded to floats
+    side = lambda b, s: ends.select(*own, F.col("_b").alias(b), F.col("_s").alias(s))
+    apart = F.exists(F.zip_with("_si", "_sj", lambda x, y: F.greatest(x["lo"] - y["hi"], y["lo"] - x["hi"])), lambda gap: gap > reach)
+    pairs = side("_i", "_si").join(side("_j", "_sj"), own).where((F.col("_i") <= F.col("_j")) & ~apart)
+    return placed.drop("_far", "_near"), written(pairs.select(*own, "_i", "_j").distinct())
+
+
+def linking_pairs(embeddings: DataFrame, t: float, metric: str = "cosine", block: int = 1024, pivots: int = PIVOTS) -> DataFrame:
     """``video_id, a, b`` with the same components as all pairs of a video's rows within distance t.
 
-    Rows are dealt into blocks of about ``block``, as many as their number asks for, and blocks meet in pairs, one task's work
-    each. A pair of blocks gives its components as stars around their least ids: fewer pairs than it has rows, however many
-    copies of a vector there are. Null vectors link with nothing, and vectors of different lengths don't link.
+    A video of up to ``block`` rows is one task's work. Of longer ones, equal vectors are first known by one of them, and
+    the others are cut into blocks that meet in pairs; ``block_pairs`` rules out pairs that lie too far apart. A pair of
+    blocks gives its components as stars around their least ids: fewer pairs than it has rows. Null vectors link with
+    nothing, and vectors of different lengths don't link.
     """
     e = embeddings.where("embedding is not null").select("video_id", "id", "embedding", F.size("embedding").alias("_d"))
-    blocks = e.groupBy("video_id", "_d").agg(F.ceil(F.count("*") / block).alias("_n"))
-    e = e.join(blocks, ["video_id", "_d"]).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_n")))
-    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), lambda o: F.struct(F.least("_b", o).alias("_i"), F.greatest("_b", o).alias("_j")))
-    x = e.select("video_id", "_d", "id", "embedding", "_b", F.inline(cells))
+    sizes = e.groupBy("video_id", "_d").agg(F.ceil(F.count("*") / block).alias("_n"))
+    e, copies = e.join(sizes, ["video_id", "_d"]), None
+    whole = e.withColumn("_i", F.lit(0).cast("long")).withColumn("_j", F.col("_i"))
+    fields = ["video_id", "_d", "id", "embedding", "_i", "_j"]
+    if sizes.where("_n > 1").isEmpty():
+        x = whole.select(*fields)
+    else:
+        long = e.where("_n > 1")
+        if t > 1e-6:  # equal vectors are linked, but for cosines of vectors of zeros
+            alike = long.groupBy("video_id", "_d", "embedding", "_n").agg(F.min("id").alias("id"), F.count("*").alias("_c"))
+            zero = F.forall("embedding", lambda v: v == 0)
+            apart = zero & F.lit(metric == "cosine" and t < 1)
+            kept = alike.where(~apart).select("video_id", "id", "embedding", "_d").unionByName(long.where(apart).select("video_id", "id", "embedding", "_d"))
+            copies = long.where(~apart).join(alike.where("_c > 1").select("video_id", "_d", "embedding", F.col("id").alias("a")), ["video_id", "_d", "embedding"]).where("a <> id").select("video_id", "a", F.col("id").alias("b"))
+            kept = written(kept)
+            long = kept.join(kept.groupBy("video_id", "_d").agg(F.ceil(F.count("*") / block).alias("_n")), ["video_id", "_d"])
+        placed, pairs = block_pairs(long, t, metric, block, pivots)
+        ends = F.array_distinct(F.array("_i", "_j"))
+        x = placed.join(pairs.withColumn("_b", F.explode(ends)), ["video_id", "_d", "_b"]).select(*fields).unionByName(whole.where("_n = 1").select(*fields))
     video, key = (embeddings.schema[c].dataType.simpleString() for c in ("video_id", "id"))
 
     def stars(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,10 +126,8 @@ def linking_pairs(embeddings: DataFrame, t: float, metric: str = "cosine", block
 
     def run(cell: pa.Table) -> pa.Table:
         cell = cell.sort_by("id").combine_chunks()
-        v = pc.list_flatten(cell.column("embedding")).to_numpy().astype(float).reshape(cell.num_rows, cell.column("_d")[0].as_py())
+        v = _distances(pc.list_flatten(cell.column("embedding")).to_numpy().astype(float).reshape(cell.num_rows, cell.column("_d")[0].as_py()), metric)
         if metric == "cosine":
-            n = np.sqrt((v * v).sum(axis=1, keepdims=True))
-            v = np.divide(v, n, out=np.zeros_like(v), where=n > 0)
             near = 1 - v @ v.T <= t
         else:
             q = (v * v).sum(axis=1)
@@ -57,7 +136,8 @@ def linking_pairs(embeddings: DataFrame, t: float, metric: str = "cosine", block
         ids = cell.column("id")
         return pa.table({"video_id": cell.column("video_id").take(a), "a": ids.take(a), "b": ids.take(b)})
 
-    return x.groupBy("video_id", "_d", "_i", "_j").applyInArrow(run, f"video_id {video}, a {key}, b {key}")
+    found = x.groupBy("video_id", "_d", "_i", "_j").applyInArrow(run, f"video_id {video}, a {key}, b {key}")
+    return found if copies is None else found.unionByName(copies)
 
 
 def label_components(nodes: DataFrame, pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
