@@ -93,8 +93,9 @@ def unordered_pairs(df: DataFrame, group: str, key: str) -> DataFrame:
 
 def word_cloud(texts: DataFrame, stopwords: DataFrame, k: int = 40) -> DataFrame:
     """The k most frequent words: split at spaces, one closing comma or full stop off, lower case; size in percent of the top."""
-    w = texts.select(F.explode(F.split("text", " ")).alias("w")).select(F.lower(F.regexp_replace("w", r"[,.]\z", "")).alias("word"))
-    w = w.where(~F.col("word").isin("", "..", ".", "?", "!")).groupBy("word").agg(F.count("*").alias("n"))
+    raw = texts.select(F.explode(F.split("text", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("_n"))  # cleaned once for each distinct word
+    w = raw.select(F.lower(F.regexp_replace("w", r"[,.]\z", "")).alias("word"), "_n")
+    w = w.where(~F.col("word").isin("", "..", ".", "?", "!")).groupBy("word").agg(F.sum("_n").alias("n"))
     w = w.join(stopwords.select("word"), "word", "left_anti").orderBy(F.desc("n"), "word").limit(k)
     return w.select("word", "n", (F.col("n") / F.max("n").over(W.partitionBy(F.lit(0))) * 100).alias("size"))  # over k rows
 
