@@ -166,11 +166,17 @@ def frame(out: list[tuple[str, bool, bool, str, tuple[int, ...]]]) -> frozenset[
 
 
 def pick(found: list[tuple[str, bool, bool, str]], low: frozenset[str]) -> str:
-    """The blocks that stay: those that aren't a low leaf, nor (outside landmarks) under a low branch, its path and a slash."""
+    """The blocks that stay: those that aren't a low leaf, nor (outside landmarks) under a low branch, its path and a slash.
+
+    What makes up half or more of the text in a page's landmarks is its article, however many pages of the host share it:
+    then no block in them is removed.
+    """
     kept = [b for b in found if not b[1]]
     if low:
         branches = tuple(p for p in low if p.endswith("/"))
-        kept = [b for b in kept if b[0] not in low and (b[2] or not f"{b[0]}/".startswith(branches))]
+        inside = [b for b in kept if b[2]]
+        template = 2 * sum(len(b[3]) for b in inside if b[0] in low) < sum(len(b[3]) for b in inside)
+        kept = [b for b in kept if (b[0] not in low or (b[2] and not template)) and (b[2] or not f"{b[0]}/".startswith(branches))]
     return "\n".join(b[3] for b in kept)
 
 
@@ -223,8 +229,8 @@ def extract_text(pages: DataFrame, least_importance: float = 0.35, least_pages:
     null or empty page has the empty text; a null url belongs to the host without a name; repeated rows are each answered
     (and count as pages of their host); an empty table gives no rows; other columns are ignored. Style nodes of less than
     ``least_importance`` that ``least_pages`` pages of a host have are removed. In an article or main element only leaves
-    are judged, with ``prior`` more importance, and not where the element itself has less than ``least_importance``. The
-    list of such nodes is sent to every task if there are at most ``few``, else joined by host.
+    are judged, with ``prior`` more importance, not where the element itself has less than ``least_importance``, and not on
+    a page where they would be half or more of such elements' text. The list of such nodes is sent to every task if there are at most ``few``, else joined by host.
     """
     named = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
     nodes = cut(style_tree(named).where((F.col("importance") < least_importance) & (F.col("pages") >= least_pages)).withColumn("top", F.regexp_extract("path", LANDMARK, 1)))

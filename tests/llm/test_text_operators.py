@@ -604,6 +604,16 @@ def test_style_tree_judges_in_and_around_landmarks(spark):
     assert got[40] == "the story\ncard"
 
 
+def test_a_shared_article_body_stays(spark):
+    """Pages of a host with titles of their own and one body: the body is no template, a shorter shared line beside it is."""
+    body = "The same long paragraph stands on every page of this host, word for word."
+    rows = [(k, f"http://one.org/{k}", f"<article><h1>Title number {k}</h1><p>{body}</p></article>") for k in range(10)]
+    rows += [(k, f"http://two.org/{k}", f"<article><p>{body} {k} {k * 7}</p><div class=credit>Our own desk.</div></article>") for k in range(20, 30)]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(10):
+        assert got[k] == f"Title number {k}\n{body}" and got[k + 20] == f"{body} {k + 20} {(k + 20) * 7}"
+
+
 def test_items_with_one_stem_against_a_text_that_repeats_it(spark):
     rnd = random.Random(6)
     stem = "which of the following is true about "
