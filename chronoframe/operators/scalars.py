@@ -52,7 +52,8 @@ def aggregate_scalars(scalars: DataFrame, series: list[str], how: str = "prod",
     grid = s.join(longest, ["video_id", "series"], "left_semi").select("video_id", "time")
     asked = grid.join(sizes.select("video_id", "series"), "video_id").withColumn("_grid", F.lit(1))
     both = asked.unionByName(s.select("video_id", "series", "time", F.lit(0).alias("_grid"), F.struct("time", "y").alias("at")), allowMissingColumns=True)
-    both = with_known(both, SERIES, "time", "_grid", "at", size, parts).where("_grid = 1")
+    long = not sizes.where(F.col("_n") * 2 > size).isEmpty()  # a series' samples and the grid, which is the longest one's
+    both = with_known(both, SERIES, "time", "_grid", "at", size, parts, long).where("_grid = 1")
     a, b = F.coalesce("_last", "_next"), F.coalesce("_next", "_last")
     y = F.when(a["time"] == b["time"], a["y"]).otherwise(a["y"] + (b["y"] - a["y"]) * (F.col("time") - a["time"]) / (b["time"] - a["time"]))
     return both.withColumn("y", y).groupBy("video_id", "time").agg(combine(F.col("y"), how).alias("y"))

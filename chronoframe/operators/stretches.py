@@ -25,6 +25,11 @@ def _met(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFr
     return left.join(named, on, how).drop(*[f"_k_{k}" for k in keys])
 
 
+def any_long(df: DataFrame, keys: list[str], size: int) -> bool:
+    """Whether a series has more than ``size`` rows (one aggregate, run at once)."""
+    return not df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > size).isEmpty()
+
+
 def stretched(df: DataFrame, keys: list[str], by: str, size: int = SIZE, parts: int = PARTS) -> DataFrame:
     """``df`` with ``_stretch``: 0 for short series, else 0 to ``parts`` - 1 in the order of ``by`` (equal values together).
 
@@ -44,6 +49,9 @@ def _over(keys: list[str], order: list):
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], size: int = SIZE, parts: int = PARTS) -> DataFrame:
     """``df`` with ``_i``, a row's place in its series from 0, and ``_n``, the series' rows. ``order[0]`` is the column that deals."""
+    if not any_long(df, keys, size):
+        w = W.partitionBy(*keys)
+        return df.withColumn("_i", (F.row_number().over(w.orderBy(*order)) - 1).cast("long")).withColumn("_n", F.count("*").over(w))
     s = stretched(df, keys, order[0], size, parts)
     counts = s.groupBy(*keys, "_stretch").agg(F.count("*").alias("rows"))
     listed = counts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_stretch", "rows"))).alias("_s"))  # at most ``parts``
@@ -67,17 +75,25 @@ def with_halo(rows: DataFrame, before: int, after: int, size: int = SIZE) -> Dat
 
 def over_rows(df: DataFrame, keys: list[str], order: list[str], before: int, after: int, make, size: int = SIZE, parts: int = PARTS) -> DataFrame:
     """``df`` with the columns that ``make(window)`` names, which look ``before`` rows back and ``after`` rows ahead at most."""
+    if not any_long(df, keys, size):
+        return df.withColumns(make(W.partitionBy(*keys).orderBy(*order)))
     x = with_halo(numbered(df, keys, order, size, parts), before, after, size)
     return x.withColumns(make(W.partitionBy(*keys, "_chunk").orderBy("_i"))).where("_own").drop("_chunk", "_own", "_i", "_n")
 
 
-def with_known(df: DataFrame, keys: list[str], by: str, tie: str, value: str, size: int = SIZE, parts: int = PARTS) -> DataFrame:
+def with_known(df: DataFrame, keys: list[str], by: str, tie: str, value: str, size: int = SIZE, parts: int = PARTS, long: bool | None = None) -> DataFrame:
     """``df`` with ``_last``, the value at or before each row in the order of ``by`` and ``tie``, and ``_next``, that at or after it.
 
     For ``_next`` rows of equal ``by`` stand in the falling order of ``tie``: with 0 for rows that have a value and 1 for
     those that ask, a row that asks sees the values of its own ``by`` from either side. Running values are kept within a
-    stretch; the last value known is handed from stretch to stretch.
+    stretch; the last value known is handed from stretch to stretch. ``long`` says whether a series has more than ``size``
+    rows (None: they are counted).
     """
+    if not (any_long(df, keys, size) if long is None else long):
+        w = W.partitionBy(*keys)
+        back = w.orderBy(by, tie).rowsBetween(W.unboundedPreceding, W.currentRow)
+        ahead = w.orderBy(F.col(by), F.col(tie).desc()).rowsBetween(W.currentRow, W.unboundedFollowing)
+        return df.withColumn("_last", F.last(value, ignorenulls=True).over(back)).withColumn("_next", F.first(value, ignorenulls=True).over(ahead))
     s = stretched(df, keys, by, size, parts)
     back = _over(keys, [by, tie]).rowsBetween(W.unboundedPreceding, W.currentRow)
     ahead = _over(keys, [F.col(by), F.col(tie).desc()]).rowsBetween(W.currentRow, W.unboundedFollowing)

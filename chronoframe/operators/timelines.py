@@ -79,17 +79,44 @@ def merge_segments(segs: DataFrame, links: DataFrame, edits: DataFrame) -> dict[
     return {"segments": kept.unionByName(made), "segment_annotations": links.join(into, "segment_id", "left_anti").select("segment_id", "annotation_id").unionByName(moved)}
 
 
+def _ranges_apart(segs: DataFrame, links: DataFrame, e: DataFrame) -> dict[str, DataFrame]:
+    """``annotate_range`` for timelines of which each has one edit: an old segment has two pieces at most."""
+    each = e.select("timeline_id", "edit_id", "a", "b").distinct()
+    s = segs.join(each.select("timeline_id", "a", "b"), "timeline_id")
+    piece = lambda i, x, y: F.struct(i.alias("i"), x.alias("a"), y.alias("b"))
+    left = piece(F.col("segment_id"), F.col("start_s"), F.least("end_s", "a"))
+    right = piece(F.when(F.col("start_s") < F.col("a"), F.xxhash64("segment_id", "b")).otherwise(F.col("segment_id")), F.greatest("start_s", "b"), F.col("end_s"))
+    apart = (F.col("end_s") <= F.col("a")) | (F.col("start_s") >= F.col("b"))
+    both = F.array_compact(F.array(F.when(F.col("start_s") < F.col("a"), left), F.when(F.col("end_s") > F.col("b"), right)))
+    parts = F.when(apart, F.array(piece(F.col("segment_id"), F.col("start_s"), F.col("end_s")))).otherwise(both)
+    out = s.select("video_id", "timeline_id", F.col("segment_id").alias("_old"), F.explode(parts).alias("_p"))
+    out = out.select("video_id", "timeline_id", "_old", F.col("_p.i").alias("segment_id"), F.col("_p.a").alias("start_s"), F.col("_p.b").alias("end_s"))
+    video = segs.groupBy("timeline_id").agg(F.min("video_id").alias("video_id"))
+    new = e.join(video, "timeline_id").withColumn("segment_id", F.xxhash64("timeline_id", "edit_id", "a", "b"))
+    made = new.select("video_id", "timeline_id", "segment_id", F.col("a").alias("start_s"), F.col("b").alias("end_s")).distinct()
+    moved = links.withColumnRenamed("segment_id", "_old").join(out.select("_old", "segment_id"), "_old").select("segment_id", "annotation_id")
+    noted = new.where(F.col("annotation_id").isNotNull()).select("segment_id", "annotation_id").distinct()
+    return {"segments": out.drop("_old").unionByName(made), "segment_annotations": moved.unionByName(noted)}
+
+
 def annotate_range(segs: DataFrame, links: DataFrame, edits: DataFrame) -> dict[str, DataFrame]:
     """New segments [a, b] with annotations: what they cover goes, what they overlap is trimmed, what encloses them is cut in two.
 
     ``edits``: (timeline_id, a, b, annotation_id), any number for a timeline, in the order of ``edit_id`` (without that
     column all are one step, in the order of a and b): of overlapping ones the last stays whole, the others keep what is
     left. Rows of one edit with equal bounds name several annotations; an edit without length or bound changes nothing. The
-    first piece of an old segment keeps its id. Instead of step by step, the last writer of every stretch between bounds
-    is found in one sweep.
+    first piece of an old segment keeps its id. Timelines with one edit are cut directly; for those with more, instead of
+    step by step, the last writer of every stretch between bounds is found in one sweep.
     """
     e = edits if "edit_id" in edits.columns else edits.withColumn("edit_id", F.lit(0).cast("long"))
     e = e.where("timeline_id is not null and a < b").select("timeline_id", "edit_id", F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"), "annotation_id")
+    several = e.select("timeline_id", "edit_id", "a", "b").distinct().groupBy("timeline_id").agg(F.count("*").alias("_n")).where("_n > 1").select("timeline_id")
+    if several.isEmpty():
+        edited = e.select("timeline_id").distinct()
+        rest = segs.join(edited, "timeline_id", "left_anti").select("video_id", "timeline_id", "segment_id", "start_s", "end_s")
+        cut = _ranges_apart(segs, links, e)
+        still = links.join(rest.select("segment_id"), "segment_id", "left_semi").select("segment_id", "annotation_id")
+        return {"segments": cut["segments"].unionByName(rest), "segment_annotations": cut["segment_annotations"].unionByName(still)}
     each = e.select("timeline_id", "edit_id", "a", "b").distinct()
     # new segments: an edit's bounds are part of what tells it apart
     steps = each.select("timeline_id", "edit_id", F.col("a").alias("from"), F.col("b").alias("to"), "a", "b")

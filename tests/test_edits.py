@@ -82,6 +82,17 @@ def test_ranges_one_after_the_other(spark, corpus):
     assert len(kept & {s[2] for s in segs}) > 30
 
 
+def test_one_range_for_each_timeline(spark, corpus):
+    """The direct way for timelines with one edit agrees with the sweep over the same edits and one more elsewhere."""
+    segs, links = corpus
+    edits = [(t, t, 3.0 + t, 14.0 + t * t, 100 + t) for t in range(1, 7)] + [(3, 3, 6.0, 23.0, 300)]
+    far = [(90, 8, 900.0, 901.0, 1), (91, 8, 902.0, 903.0, 1)]
+    schema = "edit_id long, timeline_id long, a double, b double, annotation_id long"
+    one = outcome(timelines.annotate_range(*tables(spark, segs, links), spark.createDataFrame(edits, schema)))
+    more = outcome(timelines.annotate_range(*tables(spark, segs, links), spark.createDataFrame(edits + far, schema)))
+    assert one == more - Counter({(8, 900.0, 901.0, (1,)): 1, (8, 902.0, 903.0, (1,)): 1}) and one[(3, 6.0, 23.0, (103, 300))] == 1
+
+
 def merged_one_by_one(segs, links, edits):
     state = {k: [t, a, b, {n for i, n in links if i == k}] for _, t, k, a, b in segs}
     many = {k: sorted(n for i, n in links if i == k) for k in state}

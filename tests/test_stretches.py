@@ -110,9 +110,9 @@ def test_operators_do_not_depend_on_the_stretches(spark, points):
 
 
 def test_no_window_by_series_alone(spark):
-    """Every window of these plans is over a stretch or a chunk."""
+    """Where a series is long, every window of these plans is over a stretch or a chunk."""
     df = spark.createDataFrame([(1, "a", 0.0, 0.5, 0, 0.1, 1)], "video_id long, series string, time double, y double, i long, score double, sr int").withColumn("track_id", F.lit(1))
-    for out in (scalars.resample_approx(df), scalars.aggregate_scalars(df, ["a"]), shots.median_filter(df), shots.active_speaker(df), shots.row_batches(df, 2, True), signal.audio_amplitude(df)):
+    for out in (scalars.resample_approx(df, size=0), scalars.aggregate_scalars(df, ["a"], size=0), shots.median_filter(df, size=0.5), shots.active_speaker(df, size=0.5), shots.row_batches(df, 2, True, size=0), signal.audio_amplitude(df, size=0.5)):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         windows = re.findall(r"Window \[.*?\], \[(.*?)\]", plan)
         assert windows and all("_stretch" in w or "_chunk" in w for w in windows), plan
