@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +15,7 @@ from pyspark.sql import functions as F
 from chronoframe.operators.clusters import label_components
 from chronoframe.operators.joins import interval_join, overlap_join
 from chronoframe.operators.sweeps import painted, regions, uncovered
+from chronoframe.operators.whole_groups import fold_groups
 from chronoframe.sources.written import written
 
 
@@ -32,6 +37,44 @@ def split_segments(segs: DataFrame, links: DataFrame, edits: DataFrame) -> dict[
     return {"segments": out.select(*segs.columns), "segment_annotations": moved}
 
 
+def _merged(line, old: list, a: list, b: list, edit: list) -> list[tuple]:
+    """What the edits of a region merge, as (timeline, segment, last edit, bounds of what it went into).
+
+    Segments come first, without an edit and in the order of their bounds; then the edits' segments in the order of edits.
+    What is there is kept in order, so that an edit looks only at what starts within its range.
+    """
+    place, start, end, steps = {}, [], [], {}
+    for o, x, y, e in zip(old, a, b, edit, strict=True):
+        if e is not None:
+            steps.setdefault(e, []).append(o)
+        elif o not in place:
+            place[o] = len(start)
+            start.append(x)
+            end.append(y)
+    holder, maker = list(range(len(start))), [None] * len(start)
+    there = list(zip(start, end, holder, strict=True))
+
+    def find(i: int) -> int:
+        while holder[i] != i:
+            holder[i] = i = holder[holder[i]]
+        return i
+
+    for e, names in steps.items():
+        heads = {find(place[o]) for o in names if o in place}
+        if len(heads) > 1:
+            lo, hi = min(start[h] for h in heads), max(end[h] for h in heads)
+            i, j = bisect_left(there, (lo,)), bisect_right(there, (hi, math.inf))
+            stay, went = [], []
+            for x in there[i:j]:
+                (stay if x[1] > hi else went).append(x)
+            head = went[0][2]
+            for x in went:
+                holder[x[2]] = head
+            start[head], end[head], maker[head] = lo, hi, e
+            there[i:j] = sorted([*stay, (lo, hi, head)])
+    return [(line, o, maker[h], start[h], end[h]) for o, i in place.items() if maker[h := find(i)] is not None]
+
+
 def merge_segments(segs: DataFrame, links: DataFrame, edits: DataFrame) -> dict[str, DataFrame]:
     """Segments of an edit become one over their whole range; what lies inside it goes, its annotations move.
 
@@ -48,27 +91,22 @@ def merge_segments(segs: DataFrame, links: DataFrame, edits: DataFrame) -> dict[
     as_segments = bounds.select(F.col("timeline_id").alias("video_id"), F.col("region").alias("segment_id"), F.col("_from").alias("start_s"), F.col("_to").alias("end_s"))
     inside = interval_join(segs.select(F.col("timeline_id").alias("video_id"), F.col("segment_id").alias("old"), F.col("start_s").alias("time"), F.col("end_s").alias("until")), as_segments, "closed").where("until <= end_s")
     inside = inside.select(F.col("video_id").alias("timeline_id"), F.col("segment_id").alias("region"), "old", F.col("time").alias("a"), F.col("until").alias("b"))
-    steps = asked.join(spans.select("edit_id", "timeline_id", "region"), "edit_id")
     kind = {c: dict(f.dtypes)[n] for c, f, n in (("timeline_id", segs, "timeline_id"), ("old", segs, "segment_id"), ("edit_id", edits, "edit_id"))}
+    bare = lambda c, t: F.lit(None).cast(t).alias(c)
+    steps = asked.join(spans.select("edit_id", "timeline_id", "region"), "edit_id")
+    steps = steps.select("timeline_id", "region", F.col("segment_id").cast(kind["old"]).alias("old"), bare("a", "double"), bare("b", "double"), "edit_id")
+    rows = inside.select("timeline_id", "region", "old", F.col("a").cast("double"), F.col("b").cast("double"), bare("edit_id", kind["edit_id"])).unionByName(steps)
 
-    def fold(keys: tuple, own: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
-        own = own.drop_duplicates("old")
-        a, b = own["a"].to_numpy(copy=True), own["b"].to_numpy(copy=True)
-        holder, maker = np.arange(len(own)), np.full(len(own), None, object)  # a row's segment is that of its holder
-        place = {v: i for i, v in enumerate(own["old"])}
-        for edit, names in todo.groupby("edit_id", sort=True)["segment_id"]:
-            heads = np.unique(holder[[place[v] for v in names]])
-            if len(heads) > 1:
-                lo, hi = a[heads].min(), b[heads].max()
-                gone = (a[holder] >= lo) & (b[holder] <= hi)
-                head = heads[0]
-                holder[gone], a[head], b[head], maker[head] = head, lo, hi, edit
-        done = np.array([m is not None for m in maker[holder]], bool)
-        at = holder[done]
-        return pd.DataFrame({"timeline_id": keys[0], "old": own["old"].to_numpy()[done], "edit_id": maker[at], "a": a[at], "b": b[at]})
+    def fold(batch: pa.RecordBatch, starts: np.ndarray) -> dict:
+        line, old, a, b, edit = (batch.column(c).to_pylist() for c in ("timeline_id", "old", "a", "b", "edit_id"))
+        out = [found for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True) for found in _merged(line[i], old[i:j], a[i:j], b[i:j], edit[i:j])]
+        cols = list(zip(*out, strict=True)) or [()] * 5
+        types = (batch.schema.field(c).type for c in ("timeline_id", "old", "edit_id", "a", "b"))
+        return {c: pa.array(x, t) for c, x, t in zip(("timeline_id", "old", "edit_id", "a", "b"), cols, types, strict=True)}
 
     out = f"timeline_id {kind['timeline_id']}, old {kind['old']}, edit_id {kind['edit_id']}, a double, b double"
-    gone = inside.groupBy("timeline_id", "region").cogroup(steps.groupBy("timeline_id", "region")).applyInPandas(fold, out)
+    # segments (no edit_id) by their bounds, then the edits in their order
+    gone = written(fold_groups(rows, ["timeline_id", "region"], [F.col("edit_id").asc_nulls_first(), "a", "b", "old"], fold, out))
     gone = gone.withColumn("_new", F.xxhash64("edit_id", "timeline_id"))
     into = gone.select(F.col("old").alias("segment_id"), "_new")
     video = segs.groupBy("timeline_id").agg(F.min("video_id").alias("video_id"))

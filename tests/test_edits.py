@@ -169,3 +169,17 @@ def test_sweeps_of_many_ranges(spark):
         gaps = sorted((r.a, r.b) for r in sweeps.uncovered(df, "key", low).where(f"key = {k}").collect())
         assert [any(a <= p < b for a, b in gaps) for p in range(290)] == [x is None for x in last[:290]]
         assert gaps[0][0] <= -5 and gaps[-1][1] >= 290
+
+
+def test_merges_in_batches_that_cut_groups(spark):
+    """Regions longer than an Arrow batch are folded whole; a segment that ends before it starts does not stop its edit."""
+    segs = [(t, t, t * 100 + k, float(k), float(k + 2)) for t in range(40) for k in range(t % 7 + 2)] + [(50, 50, 5000, 0.0, 4.0), (50, 50, 5001, 6.0, 1.0), (50, 50, 5002, 2.0, 5.0)]
+    edits = {t * 10 + n: [t * 100 + n, t * 100 + n + 1] for t in range(40) for n in range(t % 7 + 1)}
+    asked = spark.createDataFrame([(n, v) for n, names in {**edits, 900: [5000, 5001, 5002]}.items() for v in names], "edit_id long, segment_id long")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = outcome(timelines.merge_segments(*tables(spark, segs, []), asked))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert got == merged_one_by_one(segs[:-3], [], edits) + Counter({(50, 0.0, 5.0, ()): 1, (50, 6.0, 1.0, ()): 1})
