@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoframe.operators.stretches import PARTS, SIZE, over_rows
+from chronoframe.operators.whole_groups import fold_groups
 
 
 def _scaled(df: DataFrame, normalize: bool) -> DataFrame:
@@ -32,36 +32,55 @@ def dominant_colors(pixels: DataFrame, k: int = 4, max_iter: int = 10) -> DataFr
     """``video_id, frame_idx, rank, r, g, b`` in [0, 1]: k-means centres of a frame's pixels, the smallest cluster first.
 
     k = 1 is the mean colour. Centres start at evenly spaced pixels in the order of brightness. Equal pixels are counted
-    first, so that a frame is at most its distinct colours.
+    first, so that a frame is at most its distinct colours; the centres of many frames are computed at once.
     """
     if k == 1:
         return pixels.groupBy("video_id", "frame_idx").agg(*[(F.avg(c) / 255).alias(c) for c in "rgb"]).withColumn("rank", F.lit(0)).select("video_id", "frame_idx", "rank", "r", "g", "b")
     counted = pixels.groupBy("video_id", "frame_idx", "r", "g", "b").agg(F.count("*").alias("n"))
 
-    frames = counted.groupBy("video_id", "frame_idx").agg(F.collect_list(F.struct("r", "g", "b", "n")).alias("px"))
-
-    def centres(px: np.ndarray) -> np.ndarray:
-        x, n = px[:, :3], px[:, 3]
-        order = np.lexsort((x[:, 2], x[:, 1], x[:, 0], x.sum(axis=1)))
-        x, n = x[order], n[order]
-        c = x[np.linspace(0, len(x) - 1, min(k, len(x))).round().astype(int)]
+    rows = counted.select(F.col("video_id").cast("long"), F.col("frame_idx").cast("long"), *(F.col(c).cast("double") for c in "rgb"), F.col("n").cast("double"))
+    bright = F.col("r") + F.col("g") + F.col("b")
+
+    def means(batch: pa.RecordBatch, starts: np.ndarray) -> dict:
+        x, n = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in "rgb"], axis=1), batch.column("n").to_numpy()
+        first, size = starts[:-1], np.diff(starts)
+        # frame f has the centres c[f, :many[f]]
+        many = np.minimum(size, k)
+        steps = np.arange(k)[None] * ((size - 1) / np.maximum(many - 1, 1))[:, None]
+        steps[np.arange(len(many)), many - 1] = np.where(many > 1, size - 1, 0)
+        c = x[first[:, None] + np.minimum(steps.round().astype(np.int64), (size - 1)[:, None])]
+        frame = np.repeat(np.arange(len(size)), size)
+
+        def nearest(at: np.ndarray, f: np.ndarray) -> np.ndarray:
+            best, own = np.full(len(at), np.inf), np.zeros(len(at), np.int64)
+            for j in range(k):
+                d = at - c[f, j]
+                d = np.where(j < many[f], d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2], np.inf)
+                own[d < best] = j
+                best = np.minimum(best, d)
+            return own
+
+        def sums(slot: np.ndarray, weights: np.ndarray) -> np.ndarray:
+            return np.bincount(slot, weights, len(size) * k).reshape(len(size), k)
+
+        todo = np.ones(len(size), bool)
         for _ in range(max_iter):
-            own = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
-            new = np.array([np.average(x[own == j], axis=0, weights=n[own == j]) if (own == j).any() else c[j] for j in range(len(c))])
-            if np.allclose(new, c):
+            rows = np.flatnonzero(todo[frame])
+            slot = frame[rows] * k + nearest(x[rows], frame[rows])
+            held = sums(slot, n[rows])
+            total = np.stack([sums(slot, x[rows, j] * n[rows]) for j in range(3)], axis=2)
+            new = np.where((held > 0)[:, :, None], total / np.maximum(held, 1)[:, :, None], c)
+            todo &= ~np.isclose(new, c).all(axis=(1, 2))
+            c[todo] = new[todo]
+            if not todo.any():
                 break
-            c = new
-        own = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
-        return c[np.argsort(np.bincount(own, weights=n, minlength=len(c)), kind="stable")] / 255
-
-    def means(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [centres(np.array([(p["r"], p["g"], p["b"], p["n"]) for p in px], float)) for px in pdf["px"]]
-            sizes = [len(c) for c in found]
-            c = np.concatenate(found) if found else np.zeros((0, 3))
-            yield pd.DataFrame({"video_id": np.repeat(pdf["video_id"], sizes), "frame_idx": np.repeat(pdf["frame_idx"], sizes), "rank": [r for n in sizes for r in range(n)], "r": c[:, 0], "g": c[:, 1], "b": c[:, 2]})
-
-    return frames.mapInPandas(means, "video_id long, frame_idx long, rank int, r double, g double, b double")
+        held = np.where(np.arange(k)[None] < many[:, None], sums(frame * k + nearest(x, frame), n), np.inf)
+        order = np.argsort(held, axis=1, kind="stable")
+        f, rank = np.nonzero(np.arange(k)[None] < many[:, None])
+        out, at = c[f, order[f, rank]] / 255, pa.array(first[f])
+        return {"video_id": batch.column("video_id").take(at), "frame_idx": batch.column("frame_idx").take(at), "rank": rank.astype(np.int32)} | {ch: out[:, j] for j, ch in enumerate("rgb")}
+
+    return fold_groups(rows, ["video_id", "frame_idx"], [bright, "r", "g", "b"], means, "video_id long, frame_idx long, rank int, r double, g double, b double")
 
 
 def audio_rms(signal: DataFrame, hop: int = 512, size: int = 2048, normalize: bool = False) -> DataFrame:
