@@ -165,14 +165,20 @@ def fill_chunk_bounds(chunks: DataFrame, videos: DataFrame) -> DataFrame:
 
 
 def shot_sides(face_facts: DataFrame, shots: DataFrame) -> DataFrame:
-    """The half of the picture that each cluster's faces overlap more in a shot: left if strictly more, else right."""
+    """The half of the picture that each cluster's faces overlap more in a shot: left if strictly more, else right.
+
+    The faces are added up in the order of their ids, so that sums which all but agree do not depend on how rows are dealt.
+    """
     def iou(x0: float):
         ox = F.greatest(F.lit(0.0), F.least(F.col("x") + F.col("w"), F.lit(x0 + 0.5)) - F.greatest(F.col("x"), F.lit(x0)))
         oy = F.greatest(F.lit(0.0), F.least(F.col("y") + F.col("h"), F.lit(1.0)) - F.greatest(F.col("y"), F.lit(0.0)))
         union = F.col("w") * F.col("h") + 0.5 - ox * oy
         return F.when(union > 0, ox * oy / union).otherwise(F.lit(0.0))
 
-    s = interval_join(face_facts, shots, "open").groupBy(*SHOT, "cluster").agg(F.sum(iou(0.0)).alias("_l"), F.sum(iou(0.5)).alias("_r"))
+    added = lambda c: F.aggregate(F.filter(f"_f.{c}", lambda v: v.isNotNull()), F.lit(0.0), lambda a, v: a + v)
+    faces = F.sort_array(F.collect_list(F.struct("face_id", iou(0.0).alias("l"), iou(0.5).alias("r"))))  # one cluster's in one shot
+    s = interval_join(face_facts, shots, "open").groupBy(*SHOT, "cluster").agg(faces.alias("_f"))
+    s = s.withColumn("_l", added("l")).withColumn("_r", added("r"))
     return s.select(*SHOT, "cluster", F.when(F.col("_l") > F.col("_r"), "left").otherwise("right").alias("side"))
 
 
