@@ -103,17 +103,24 @@ def tag_vector(tokens: DataFrame, slots: dict[str, int], default: int, n_slots:
     return counts.select("video_id", "segment_id", F.array(*[F.coalesce(F.col(str(k)), F.lit(0)).cast("long") for k in range(n_slots)]).alias("counts"))
 
 
+def _exact(prob: Column) -> Column:
+    """A probability to 15 places as a decimal (null if it is no number): sums of these are the same in any order, so equal sums are ties."""
+    return prob.try_cast("decimal(28,15)")
+
+
 def merge_topk(chunk_probs: DataFrame, k: int = 3) -> DataFrame:
     """The k best labels over each chunk's k best, as shares of all that these sum to."""
     own = W.partitionBy("video_id", "segment_id")
     top = chunk_probs.withColumn("_r", F.row_number().over(W.partitionBy("video_id", "segment_id", "chunk").orderBy(F.desc("prob"), "label"))).where(F.col("_r") <= k)
-    s = top.groupBy("video_id", "segment_id", "label").agg(F.sum("prob").alias("prob"))
-    s = s.withColumn("prob", F.col("prob") / F.sum("prob").over(own)).withColumn("rank", F.row_number().over(own.orderBy(F.desc("prob"), "label")))
+    s = top.groupBy("video_id", "segment_id", "label").agg(F.sum(_exact(F.col("prob"))).alias("prob"))
+    s = s.withColumn("rank", F.row_number().over(own.orderBy(F.desc("prob"), "label")))
+    s = s.withColumn("prob", F.col("prob").cast("double") / F.sum("prob").over(own).cast("double"))
     return s.where(F.col("rank") <= k)
 
 
 def chunk_mean_label(chunk_probs: DataFrame) -> DataFrame:
-    mean = chunk_probs.groupBy("video_id", "segment_id", "label").agg(F.avg("prob").alias("prob"))
+    """The label of the highest mean over chunks; of equal means the first label."""
+    mean = chunk_probs.groupBy("video_id", "segment_id", "label").agg((F.sum(_exact(F.col("prob"))).cast("double") / F.count("prob")).alias("prob"))
     return best_label(mean, ["video_id", "segment_id"])
 
 

@@ -302,3 +302,17 @@ def test_spectrogram_against_numpy(spark):
     s = spark.createDataFrame(data, "video_id long, i long, y double, sr int")
     got = {(r.video_id, r.frame): r.bins for r in signal.spectrogram(s, 16).collect()}
     assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_equal_sums_are_ties(spark):
+    """0.1 + 0.2 + 0.3 is 0.3 + 0.3, in whatever order it is added up: the first label wins."""
+    c = table(spark, "video_id long, segment_id long, chunk long, label string, prob double", *[(1, 1, k, n, p) for n, ps in (("b", (0.1, 0.2, 0.3)), ("a", (0.0, 0.3, 0.3))) for k, p in enumerate(ps)]).coalesce(1)
+    assert rows(vectors.merge_topk(c), "rank", "label", "prob") == [(1, "a", 0.5), (2, "b", 0.5)]
+    assert rows(vectors.chunk_mean_label(c), "label", "prob") == [("a", 0.2)]
+
+
+def test_sides_do_not_depend_on_the_order_of_rows(spark):
+    faces = [(1, n, 0.5, *box, 3) for n, box in enumerate(((0.0, 0.0, 0.1, 0.2), (0.0, 0.0, 0.1, 0.22), (0.0, 0.0, 0.1, 0.23), (0.5, 0.0, 0.1, 0.65)))]
+    for some in (faces, faces[::-1]):
+        f = table(spark, "video_id long, face_id long, time double, x double, y double, w double, h double, cluster long", *some).coalesce(1)
+        assert rows(shots.shot_sides(f, segs(spark, (0, 2))), "cluster", "side") == [(3, "left")]
