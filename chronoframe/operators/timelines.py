@@ -137,24 +137,61 @@ def _ranges_apart(segs: DataFrame, links: DataFrame, e: DataFrame) -> dict[str,
     return {"segments": out.drop("_old").unionByName(made), "segment_annotations": moved.unionByName(noted)}
 
 
-def annotate_range(segs: DataFrame, links: DataFrame, edits: DataFrame) -> dict[str, DataFrame]:
-    """New segments [a, b] with annotations: what they cover goes, what they overlap is trimmed, what encloses them is cut in two.
+#: A timeline with up to so many edits is painted at once; longer ones take the sweep.
+FEW = 64
+
+
+def _painted_row(a: list, b: list) -> list[tuple]:
+    """Ranges painted in order as stretches (from, to, the range on top or None), with all before and after them."""
+    points = sorted({*a, *b})
+    at = {p: i for i, p in enumerate(points)}
+    top = [None] * (len(points) - 1)
+    for k, (x, y) in enumerate(zip(a, b, strict=True)):
+        top[at[x] : at[y]] = [k] * (at[y] - at[x])
+    out = [(-math.inf, points[0], None)]
+    for i, k in enumerate(top):
+        if i and k == top[i - 1]:
+            out[-1] = (out[-1][0], points[i + 1], k)
+        else:
+            out.append((points[i], points[i + 1], k))
+    return [*out, (points[-1], math.inf, None)]
+
+
+def _ranges_few(segs: DataFrame, links: DataFrame, e: DataFrame) -> dict[str, DataFrame]:
+    """``annotate_range`` for timelines of few edits: what they cover and leave is found timeline by timeline, many at a time."""
+    each = e.select("timeline_id", "edit_id", "a", "b").distinct()
+    kind = dict(each.dtypes)
 
-    ``edits``: (timeline_id, a, b, annotation_id), any number for a timeline, in the order of ``edit_id`` (without that
-    column all are one step, in the order of a and b): of overlapping ones the last stays whole, the others keep what is
-    left. Rows of one edit with equal bounds name several annotations; an edit without length or bound changes nothing. The
-    first piece of an old segment keeps its id. Timelines with one edit are cut directly; for those with more, instead of
-    step by step, the last writer of every stretch between bounds is found in one sweep.
-    """
-    e = edits if "edit_id" in edits.columns else edits.withColumn("edit_id", F.lit(0).cast("long"))
-    e = e.where("timeline_id is not null and a < b").select("timeline_id", "edit_id", F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"), "annotation_id")
-    several = e.select("timeline_id", "edit_id", "a", "b").distinct().groupBy("timeline_id").agg(F.count("*").alias("_n")).where("_n > 1").select("timeline_id")
-    if several.isEmpty():
-        edited = e.select("timeline_id").distinct()
-        rest = segs.join(edited, "timeline_id", "left_anti").select("video_id", "timeline_id", "segment_id", "start_s", "end_s")
-        cut = _ranges_apart(segs, links, e)
-        still = links.join(rest.select("segment_id"), "segment_id", "left_semi").select("segment_id", "annotation_id")
-        return {"segments": cut["segments"].unionByName(rest), "segment_annotations": cut["segment_annotations"].unionByName(still)}
+    def fold(batch: pa.RecordBatch, starts: np.ndarray) -> dict:
+        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+        rows = [(i, x, y, None if k is None else i + k) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True) for x, y, k in _painted_row(a[i:j], b[i:j])]
+        of, x, y, top = zip(*rows, strict=True)
+        own, by = batch.column("timeline_id").take(pa.array(of)), pa.array(top, pa.int64())
+        return {"timeline_id": own, "edit_id": batch.column("edit_id").take(by), "from": batch.column("a").take(by), "to": batch.column("b").take(by), "a": x, "b": y}
+
+    runs = written(fold_groups(each, ["timeline_id"], ["edit_id", "a", "b"], fold, f"timeline_id {kind['timeline_id']}, edit_id {kind['edit_id']}, from double, to double, a double, b double"))
+    ranges = e.groupBy("timeline_id").agg(F.collect_set(F.struct(F.col("a").alias("from"), F.col("b").alias("to"))).alias("_r"))
+    gaps = runs.where("from is null").groupBy("timeline_id").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("_gaps")).join(ranges, "timeline_id")
+    # old segments: their parts in gaps, the first of which keeps the id; those without length go if a range reaches beyond them
+    piece = lambda i, a, b: F.struct(i.alias("i"), a.alias("a"), b.alias("b"))
+    met = F.filter("_gaps", lambda g: F.greatest("start_s", g["a"]) < F.least("end_s", g["b"]))
+    parts = F.transform(met, lambda g, k: piece(F.when(k == 0, F.col("segment_id")).otherwise(F.xxhash64("segment_id", F.greatest("start_s", g["a"]))), F.greatest("start_s", g["a"]), F.least("end_s", g["b"])))
+    whole = F.array(piece(F.col("segment_id"), F.col("start_s").cast("double"), F.col("end_s").cast("double")))
+    hidden = F.exists("_r", lambda x: (x["from"] < F.col("start_s")) & (F.col("start_s") < x["to"]))
+    s = segs.select("video_id", "timeline_id", "segment_id", "start_s", "end_s").join(gaps, "timeline_id", "left")
+    kept = F.when(F.col("_r").isNull(), whole).when(F.col("start_s") < F.col("end_s"), parts).when(F.coalesce(hidden, F.lit(False)), F.filter(whole, lambda x: F.lit(False))).otherwise(whole)
+    out = s.select("video_id", "timeline_id", F.col("segment_id").alias("_old"), F.explode(kept).alias("_x")).select("video_id", "timeline_id", "_old", F.col("_x.i").alias("segment_id"), F.col("_x.a").alias("start_s"), F.col("_x.b").alias("end_s"))
+    video = segs.groupBy("timeline_id").agg(F.min("video_id").alias("video_id"))
+    new = runs.where("from is not null").join(video, "timeline_id").withColumn("segment_id", F.xxhash64("timeline_id", "edit_id", "from", "to", "a"))
+    made = new.select("video_id", "timeline_id", "segment_id", F.col("a").alias("start_s"), F.col("b").alias("end_s"))
+    moved = links.withColumnRenamed("segment_id", "_old").join(out.select("_old", "segment_id"), "_old").select("segment_id", "annotation_id")
+    notes = e.select("timeline_id", "edit_id", F.col("a").alias("from"), F.col("b").alias("to"), "annotation_id").where("annotation_id is not null").distinct()
+    noted = new.join(notes, ["timeline_id", "edit_id", "from", "to"]).select("segment_id", "annotation_id")
+    return {"segments": out.drop("_old").unionByName(made), "segment_annotations": moved.unionByName(noted)}
+
+
+def _ranges_swept(segs: DataFrame, links: DataFrame, e: DataFrame) -> dict[str, DataFrame]:
+    """``annotate_range`` for timelines of many edits."""
     each = e.select("timeline_id", "edit_id", "a", "b").distinct()
     # new segments: an edit's bounds are part of what tells it apart
     steps = each.select("timeline_id", "edit_id", F.col("a").alias("from"), F.col("b").alias("to"), "a", "b")
@@ -184,6 +221,32 @@ def annotate_range(segs: DataFrame, links: DataFrame, edits: DataFrame) -> dict[
     return {"segments": out.drop("_old").unionByName(made), "segment_annotations": moved.unionByName(noted)}
 
 
+def annotate_range(segs: DataFrame, links: DataFrame, edits: DataFrame) -> dict[str, DataFrame]:
+    """New segments [a, b] with annotations: what they cover goes, what they overlap is trimmed, what encloses them is cut in two.
+
+    ``edits``: (timeline_id, a, b, annotation_id), any number for a timeline, in the order of ``edit_id`` (without that
+    column all are one step, in the order of a and b): of overlapping ones the last stays whole, the others keep what is
+    left. Rows of one edit with equal bounds name several annotations; an edit without length or bound changes nothing. The
+    first piece of an old segment keeps its id. Timelines with one edit are cut directly, those with a few many at a time;
+    for those with more, instead of step by step, the last writer of every stretch between bounds is found in one sweep.
+    """
+    e = edits if "edit_id" in edits.columns else edits.withColumn("edit_id", F.lit(0).cast("long"))
+    e = e.where("timeline_id is not null and a < b").select("timeline_id", "edit_id", F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"), "annotation_id")
+    counts = e.select("timeline_id", "edit_id", "a", "b").distinct().groupBy("timeline_id").agg(F.count("*").alias("_n"))
+    most = counts.agg(F.max("_n")).first()[0] or 0
+    if most > 1:
+        if most > FEW:
+            long = counts.where(F.col("_n") > FEW).select("timeline_id")
+            swept = _ranges_swept(segs, links, e.join(long, "timeline_id", "left_semi"))
+            segs, links, e = swept["segments"], swept["segment_annotations"], e.join(long, "timeline_id", "left_anti")
+        return _ranges_few(segs, links, e)
+    edited = e.select("timeline_id").distinct()
+    rest = segs.join(edited, "timeline_id", "left_anti").select("video_id", "timeline_id", "segment_id", "start_s", "end_s")
+    cut = _ranges_apart(segs, links, e)
+    still = links.join(rest.select("segment_id"), "segment_id", "left_semi").select("segment_id", "annotation_id")
+    return {"segments": cut["segments"].unionByName(rest), "segment_annotations": cut["segment_annotations"].unionByName(still)}
+
+
 def replace_annotations(links: DataFrame, dims: DataFrame, edits: DataFrame) -> dict[str, DataFrame]:
     """The annotations of the edited segments are replaced by (segment_id, name, category_id); missing ones are made."""
     wanted = edits.join(dims.select("annotation_id", "name", "category_id"), ["name", "category_id"], "left")
@@ -267,11 +330,11 @@ def annotation_cells(segs: DataFrame, links: DataFrame, annotations: DataFrame,
     a = annotations.join(categories.select("category_id", "category_name"), "category_id", "left")
     cell = F.concat(F.coalesce(F.concat("category_name", F.lit("::")), F.lit("")), F.col("name"))
     named = links.join(a.select("annotation_id", cell.alias("cell")), "annotation_id")
-    g = segs.join(named, "segment_id", "left").groupBy("video_id", "segment_id").agg(F.array_join(F.sort_array(F.collect_list("cell")), "+").alias("cell"))
+    g = segs.join(named, "segment_id", "left").groupBy("video_id", "segment_id").agg(F.array_join(F.sort_array(F.collect_list("cell")), "+").alias("cell"), F.min("start_s").alias("start_s"))
     g = g.withColumn("cell", F.when(F.col("cell") == "", "None").otherwise(F.col("cell")))
     if target is None:
-        return g
-    own = segs.select("video_id", "segment_id", "start_s").join(g, ["video_id", "segment_id"]).withColumnRenamed("segment_id", "b_id")
+        return g.drop("start_s")
+    own = g.withColumnRenamed("segment_id", "b_id")
     met = overlap_join(target, segs, strict=False).join(own, ["video_id", "b_id"])
     cells = F.transform(F.sort_array(F.collect_list(F.struct("start_s", "b_id", "cell"))), lambda x: x["cell"])
     met = met.groupBy("video_id", F.col("a_id").alias("segment_id")).agg(F.array_join(cells, "+").alias("cell"))

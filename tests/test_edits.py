@@ -183,3 +183,10 @@ def test_merges_in_batches_that_cut_groups(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     assert got == merged_one_by_one(segs[:-3], [], edits) + Counter({(50, 0.0, 5.0, ()): 1, (50, 6.0, 1.0, ()): 1})
+
+
+def test_ranges_of_few_and_many_edits(spark, corpus, monkeypatch):
+    """Timelines of up to FEW edits and longer ones, side by side, give what the edits give one after the other."""
+    for few in (0, 20, 25):
+        monkeypatch.setattr(timelines, "FEW", few)
+        test_ranges_one_after_the_other(spark, corpus)
