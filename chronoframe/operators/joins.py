@@ -54,7 +54,7 @@ def overlap_join(a: DataFrame, b: DataFrame, strict: bool) -> DataFrame:
     # the longer of a pair decides the level: either one's bins are looked up at the levels of the other
     def at_levels(x: DataFrame, levels: DataFrame, names: tuple[str, str]) -> DataFrame:
         width = F.pow(F.lit(2.0), F.col("_level"))
-        rows = x.join(levels, "video_id").where(F.col("_level") >= _level(F.col("start_s"), F.col("end_s")))
+        rows = x.withColumn(f"{names[0]}_level", _level(F.col("start_s"), F.col("end_s"))).join(levels, "video_id").where(F.col("_level") >= F.col(f"{names[0]}_level"))
         rows = rows.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start_s") / width), F.floor(F.greatest("end_s", "start_s") / width))))
         return rows.withColumnsRenamed({"start_s": names[0], "end_s": names[1]})
 
@@ -62,7 +62,9 @@ def overlap_join(a: DataFrame, b: DataFrame, strict: bool) -> DataFrame:
     x, y = at_levels(left, levels, ("as_", "ae")), at_levels(right, levels, ("bs", "be"))
     both = x.join(y, ["video_id", "_level", "_bin"])
     ok = (F.least("ae", "be") - F.greatest("as_", "bs") > 0) if strict else ((F.col("as_") <= F.col("be")) & (F.col("bs") <= F.col("ae")))
-    return both.where(ok).select("video_id", "a_id", "b_id").distinct()
+    # each pair once: at the level of the longer one, in the bin where the later one starts
+    once = (F.col("_level") == F.greatest("as__level", "bs_level")) & (F.col("_bin") == F.floor(F.greatest("as_", "bs") / F.pow(F.lit(2.0), F.col("_level"))))
+    return both.where(once & ok).select("video_id", "a_id", "b_id")
 
 
 def sample_frames(frames: DataFrame, shots: DataFrame, start: bool = False, middle: bool = True, end: bool = False) -> DataFrame:
